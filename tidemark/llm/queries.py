@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import license_scan, shard, url_filter
-from .common import read_table
+from . import decontaminate, fuzzy_hash, lang_id, license_scan, shard, token_store, url_filter
+from .common import read_table, shared_folder
 
 
 def op1_url_filters(spark, sf_dir):
@@ -20,13 +21,33 @@ def op2_license_scan(spark, sf_dir):
     return license_scan.license_scan(read_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark, sf_dir):
+    found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.drop("spans")
+
+
+def op5_token_store(spark, sf_dir):
+    folder = shared_folder(spark)
+    token_store.write_store(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.digests(spark, folder)
+
+
 def op6_feistel_shards(spark, sf_dir):
     return shard.shard_rows(read_table(spark, sf_dir, "documents"))
 
 
+def op8_fuzzy_fingerprints(spark, sf_dir):
+    return fuzzy_hash.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return lang_id.language_of(docs, lang_id.learn(docs))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_url_filters, op2_license_scan, op6_feistel_shards)}
+    return {f.__name__: f for f in (op1_url_filters, op2_license_scan, op4_decontamination, op5_token_store, op6_feistel_shards, op8_fuzzy_fingerprints, op10_language_id)}
 
 
 def oracle_sql():
-    return {"op2_license_scan": license_scan.oracle(), "op6_feistel_shards": shard.oracle()}
+    return {"op2_license_scan": license_scan.oracle(), "op4_decontamination": decontaminate.oracle(), "op6_feistel_shards": shard.oracle()}
