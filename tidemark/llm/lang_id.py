@@ -1,13 +1,14 @@
 """Language ID: the language whose zstandard dictionary compresses a text best.
 
-For each language a raw-content dictionary is made of excerpts of a bounded hashed sample.  A
-text is cut into blocks of BLOCK bytes, so that the dictionary and not the text's own beginning
-decides, and each block is compressed under every dictionary.  The smallest sum wins; a narrow
+For each language a raw-content dictionary is made of excerpts of a bounded hashed sample.
+Texts are reduced to lower-case letters and single spaces and cut into blocks of BLOCK bytes, so that the dictionary and not the text's own beginning decides, and each block is compressed under every dictionary.  The smallest sum wins; a narrow
 margin over the runner-up marks the prediction as rejected.
 """
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -17,11 +18,17 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 1500
 #: More languages than this would not fit the broadcast; the operator then refuses.
 MOST_LANGUAGES = 300
-BLOCK, LEVEL = 4096, 3
-MARGIN = 0.01
+BLOCK, LEVEL = 4096, 9
+MARGIN = 0.02
 UNKNOWN = "und"
 RESULT = "doc_id bigint, held_out boolean, lang_pred string, score double, confident boolean"
 
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    return _NO_LETTERS.sub(" ", text.lower()).encode()
+
 
 def held_out(key: Column) -> Column:
     """Documents that are never learned from: crc32 of the doc_id as text, modulo 4, is 2."""
@@ -43,7 +50,8 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, key: str = "doc_id",
     for r in some.select("lang", F.xxhash64("k", F.lit("order")).alias("h"), F.substring("t", 1, SAMPLE_CHARS).alias("t")).orderBy("lang", "h", "t").toLocalIterator():
         if len(best[r["lang"]]) < sample_docs:
             best[r["lang"]].append(r["t"])
-    return {name: "\n".join(texts).encode() for name, texts in sorted(best.items())}
+    order = sorted(best, key=lambda name: (-counts[name], name))
+    return {name: letters("\n".join(best[name])) for name in order}
 
 
 class Judge:
@@ -56,9 +64,10 @@ class Judge:
             self.coders.append(zstandard.ZstdCompressor(dict_data=own, write_content_size=False, write_checksum=False))
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
 
-    def judge(self, text: bytes) -> tuple[str, float]:
-        """The best language and its margin over the next, from 0 to 1; ties go to the first by name."""
-        blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
+    def judge(self, text: str) -> tuple[str, float]:
+        """The best language and its margin over the next, from 0 to 1; ties go to the language learned from most documents."""
+        data = letters(text)
+        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
         sizes = [sum(len(c.compress(b)) for b in blocks) for c in self.coders]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         rest = [s for i, s in enumerate(sizes) if i != best] or [sum(len(self.plain.compress(b)) for b in blocks)]
@@ -78,7 +87,7 @@ def language_of(docs: DataFrame, dictionaries: dict[str, bytes], margin: float =
     def predict(batches):
         judge = Judge(shared.value)
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            texts = batch.column("text").to_pylist()
             found = [judge.judge(t) if t and judge.names else (UNKNOWN, 0.0) for t in texts]
             sure = [name != UNKNOWN and score >= margin for name, score in found]
             yield pa.RecordBatch.from_arrays(
@@ -97,7 +106,7 @@ def only_known(docs: DataFrame, dictionaries: dict[str, bytes], margin: float =
         judge = Judge(shared.value)
         for batch in batches:
             texts = batch.column(text).to_pylist()
-            sure = [bool(t) and bool(judge.names) and any(map(str.isalpha, t)) and judge.judge(t.encode())[1] >= margin for t in texts]
+            sure = [bool(t) and bool(judge.names) and any(map(str.isalpha, t)) and judge.judge(t)[1] >= margin for t in texts]
             yield batch.filter(pa.array(sure, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
