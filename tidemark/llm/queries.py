@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, fuzzy_hash, lang_id, license_scan, shard, token_store, url_filter
+from . import decontaminate, fuzzy_hash, lang_id, license_scan, near_dup, shard, token_store, url_filter
 from .common import read_table, shared_folder
 
 
@@ -21,6 +21,10 @@ def op2_license_scan(spark, sf_dir):
     return license_scan.license_scan(read_table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark, sf_dir):
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents")).drop("n_equal")
+
+
 def op4_decontamination(spark, sf_dir):
     found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.drop("spans")
@@ -46,8 +50,8 @@ def op10_language_id(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_url_filters, op2_license_scan, op4_decontamination, op5_token_store, op6_feistel_shards, op8_fuzzy_fingerprints, op10_language_id)}
+    return {f.__name__: f for f in (op1_url_filters, op2_license_scan, op3_near_duplicates, op4_decontamination, op5_token_store, op6_feistel_shards, op8_fuzzy_fingerprints, op10_language_id)}
 
 
 def oracle_sql():
-    return {"op2_license_scan": license_scan.oracle(), "op4_decontamination": decontaminate.oracle(), "op6_feistel_shards": shard.oracle()}
+    return {"op2_license_scan": license_scan.oracle(), "op3_near_duplicates": near_dup.oracle(), "op4_decontamination": decontaminate.oracle(), "op6_feistel_shards": shard.oracle()}
