@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -29,6 +31,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per session, so that tasks can import it."""
+    context = spark.sparkContext
+    if not getattr(context, "_tidemark_shipped", False):
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        context.addPyFile(shutil.make_archive(f"{folder}/tidemark", "zip", os.path.dirname(package), os.path.basename(package)))
+        context._tidemark_shipped = True
+
+
 def literal_rows(spark: SparkSession, rows: Sequence[dict], schema: str) -> DataFrame:
     """A small table of literals inside the plan; ``schema`` is the DDL of its rows."""
     names = [part.strip().split(" ")[0] for part in schema.split(",")]

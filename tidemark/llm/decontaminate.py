@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, WORD_BYTES
+from .common import LOWER, ship, UPPER, WORD_BYTES
 
 #: Benchmark text of at most so many bytes is searched for, and broadcast, at a time.
 BLOCK_BYTES = 16 << 20
@@ -121,6 +121,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, block
     each document carrying its hits along.
     """
     spark = docs.sparkSession
+    ship(spark)
     state = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.expr("array() :: array<struct<start:int,end:int>>").alias("spans"), F.expr("array() :: array<string>").alias("items"))
     blocks = list(_blocks(benchmark, length, block_bytes, item, item_text))
     for k, windows in enumerate(blocks):
@@ -152,6 +153,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, block
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
     """The documents in which no benchmark window occurs, with all their columns."""
+    ship(docs.sparkSession)
     for windows in _blocks(benchmark, length, block_bytes, "item_id", "text"):
         shared = docs.sparkSession.sparkContext.broadcast(windows)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import literal_rows, width
+from .common import literal_rows, ship, width
 
 WINDOW, LEAST_BLOCK, LENGTH = 7, 3, 64
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -143,6 +143,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows = rows.select("doc_id", "text", "at.bucket", "at.peek").repartition(width(spark), "bucket")
     rows = rows.sortWithinPartitions("bucket", "peek", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
 
+    ship(docs.sparkSession)
     def judged(batches):
         last, names = None, [f.split(" ")[0] for f in RESULT.split(", ")]
         for batch in batches:

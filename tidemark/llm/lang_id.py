@@ -14,6 +14,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 #: Learning takes about so many documents of a language and so many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 1500
 #: More languages than this would not fit the broadcast; the operator then refuses.
@@ -84,6 +86,7 @@ def language_of(docs: DataFrame, dictionaries: dict[str, bytes], margin: float =
     shared = spark.sparkContext.broadcast(dictionaries)
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("text"))
 
+    ship(docs.sparkSession)
     def predict(batches):
         judge = Judge(shared.value)
         for batch in batches:
@@ -102,6 +105,7 @@ def only_known(docs: DataFrame, dictionaries: dict[str, bytes], margin: float =
     """The documents whose prediction is confident, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
+    ship(docs.sparkSession)
     def keep(batches):
         judge = Judge(shared.value)
         for batch in batches:

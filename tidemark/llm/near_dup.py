@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, discard, shared_folder, staged
+from .common import discard, LOWER_BYTES, shared_folder, ship, staged
 
 SHINGLE, PERCENT = 3, 85
 BUNDLES, ROWS = 9, 3
@@ -86,6 +86,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 def signatures(docs: DataFrame, key: str, text: str, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, set_key (null for an empty set) and bundles of every row."""
 
+    ship(docs.sparkSession)
     def signed(batches):
         for batch in batches:
             counts, keys, found = [], [], []
@@ -119,6 +120,7 @@ def measured(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFra
     second = texts.select(F.col("node").alias("b"), F.col("set_key").alias("key_b"), F.col("text").alias("text_b"))
     met = pairs.select("a", "b").join(first, "a").join(second, "b")
 
+    ship(pairs.sparkSession)
     def counted(batches):
         last: tuple = (None, None)
         for batch in batches:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, fuzzy_hash, lang_id, license_scan, near_dup, shard, token_store, url_filter
+import corpus_pipeline
+
+from . import decontaminate, fuzzy_hash, kn_quality, lang_id, license_scan, near_dup, pieces, shard, token_store, url_filter
 from .common import read_table, shared_folder
 
 
@@ -40,17 +42,33 @@ def op6_feistel_shards(spark, sf_dir):
     return shard.shard_rows(read_table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark, sf_dir):
+    return pieces.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_fuzzy_fingerprints(spark, sf_dir):
     return fuzzy_hash.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op9_kn_quality(spark, sf_dir):
+    return kn_quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_language_id(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return lang_id.language_of(docs, lang_id.learn(docs))
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_url_filters, op2_license_scan, op3_near_duplicates, op4_decontamination, op5_token_store, op6_feistel_shards, op8_fuzzy_fingerprints, op10_language_id)}
+    own = (
+        op1_url_filters, op2_license_scan, op3_near_duplicates, op4_decontamination, op5_token_store, op6_feistel_shards,
+        op7_sentencepiece, op8_fuzzy_fingerprints, op9_kn_quality, op10_language_id, pipeline,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql():

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import literal_rows, width
+from .common import literal_rows, ship, width
 
 #: The dictionary is trained on about so many documents, evenly hashed, and on so many ids of each.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 64 << 10
@@ -115,6 +115,7 @@ def write_store(docs: DataFrame, folder: str, path: str) -> str:
     spark.createDataFrame([(sha, bytearray(data))], "sha256 string, data binary").coalesce(1).write.parquet(f"{folder}/dictionary")
     shared = spark.sparkContext.broadcast(data)
 
+    ship(docs.sparkSession)
     def blocks(batches):
         own = encoder(path)
         size = np.dtype(own.kind).itemsize
@@ -172,6 +173,7 @@ def _read(spark: SparkSession, folder: str, schema: str, made, kind) -> DataFram
     table = table.join(F.broadcast(literal_rows(spark, starts, "part int, before bigint")), "part")
     shared = spark.sparkContext.broadcast(data)
 
+    ship(spark)
     def documents(batches):
         unzip = zstandard.ZstdDecompressor(**_dictionary(shared.value))
         for batch in batches:
