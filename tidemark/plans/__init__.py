@@ -1 +1,6 @@
-"""Analytics over many populations, on Spark."""
+"""Queries over the order tables."""
+
+from . import basics
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "basics"]
