@@ -48,13 +48,11 @@ def aic(n: Column, variance: Column, parameters: int) -> Column:
 
 
 def arms(df: DataFrame, keys: Sequence[str], arm: str, names: Sequence[str], x: str, y: str) -> DataFrame:
-    """The moments of each arm side by side, in one grouping."""
-    cells = []
-    for a in names:
-        own = F.col(arm) == a
-        m = moments(F.when(own, F.col(x).cast("double")), F.when(own, F.col(y).cast("double")))
-        cells += [c.alias(f"{k}_{a}") for k, c in m.items()]
-    return df.groupBy(*keys).agg(*cells)
+    """The moments of each arm side by side; both groupings share one exchange by the keys."""
+    m = moments(F.col(x).cast("double"), F.col(y).cast("double"))
+    each = df.where(F.col(arm).isin(*names)).repartition(*keys).groupBy(*keys, arm).agg(F.struct(*[c.alias(k) for k, c in m.items()]).alias("m"))
+    wide = each.groupBy(*keys).agg(*[F.max(F.when(F.col(arm) == a, F.col("m"))).alias(a) for a in names])
+    return wide.select(*keys, *[F.col(a)[k].alias(f"{k}_{a}") for a in names for k in m])
 
 
 def contrasts(df: DataFrame, keys: Sequence[str], arm: str = "arm", ref: str = "ref", obs: str = "obs", x: str = "yr", y: str = "y", least: int = 4) -> DataFrame:

@@ -47,6 +47,6 @@ def filtered(populations: DataFrame, qc: DataFrame, keys: Sequence[str], classes
 
 
 def region_numbers(rows: DataFrame, species: str = "species", region: str = "region") -> DataFrame:
-    """Regions of a species numbered by their first appearance (column row_id)."""
+    """Regions of a species numbered by their first appearance (column row_id; ties by name)."""
     first = rows.groupBy(species, region).agg(F.min("row_id").alias("_first"))
-    return first.withColumn("region_no", F.row_number().over(Window.partitionBy(species).orderBy("_first"))).drop("_first")
+    return first.withColumn("region_no", F.row_number().over(Window.partitionBy(species).orderBy("_first", region))).drop("_first")

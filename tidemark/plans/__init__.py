@@ -1,6 +1,6 @@
 """Queries over the order tables."""
 
-from . import basics
+from . import basics, domain
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "basics"]
+__all__ = ["QUERIES", "SQL", "basics", "domain"]
