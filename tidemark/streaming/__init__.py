@@ -1 +1 @@
-"""Analytics over many populations, on Spark."""
+"""Incremental refresh.  The domain has no unbounded streams: new files are taken in batches."""
