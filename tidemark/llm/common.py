@@ -41,6 +41,13 @@ def ship(spark: SparkSession) -> None:
         context._tidemark_shipped = True
 
 
+def sliced(batches, rows: int = 256):
+    """Arrow batches in slices of few rows, so that a task holds little text as Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def literal_rows(spark: SparkSession, rows: Sequence[dict], schema: str) -> DataFrame:
     """A small table of literals inside the plan; ``schema`` is the DDL of its rows."""
     names = [part.strip().split(" ")[0] for part in schema.split(",")]

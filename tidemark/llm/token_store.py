@@ -9,6 +9,7 @@ the dictionary's hash, so one document is read by slicing and decompressing its
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 
@@ -18,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import literal_rows, ship, width
+from .common import literal_rows, ship, sliced, width
 
 #: The dictionary is trained on about so many documents, evenly hashed, and on so many ids of each.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 64 << 10
@@ -26,11 +27,12 @@ BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 LEVEL = 3
 END_ID = 0
 #: Encodings of so many pieces of text are remembered by a Python worker.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 BLOCKS = "first bigint, doc_ids array<bigint>, counts array<int>, offsets array<int>, dictionary_sha256 string, id_bytes int, payload binary"
 RESULT = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
-_SPACES = re.compile(r"\s\s")
+#: Where the quick cuts would be wrong: white space after white space, or a stop or comma after anything but a letter or digit.
+_SPACES, _STOPS = re.compile(r"\s\s"), re.compile(r"[.,](?<![^\W_][.,])")
 #: White space followed by other characters.  The controls 1C-1F are no white space to tokenizers.
 _CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 _encoders: dict[str, Encoder] = {}
@@ -39,22 +41,27 @@ _encoders: dict[str, Encoder] = {}
 class Encoder:
     """Encodes texts piece by piece and remembers pieces.
 
-    No token of a byte-level vocabulary crosses from a character to white space after it, so a
-    text may be cut before white space that follows something else, and the pieces' ids joined.
+    Byte-level vocabularies split a text, before any merge, into words with at most one space before
+    them, runs of other signs, and white space.  So a text may be cut before white space that
+    follows something else, after a single line end, and between a letter or digit and a stop or comma.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
-        if _SPACES.search(text) or "\x01" in text:
+        if "\x01" in text or _SPACES.search(text):
             return _CHUNK.findall(text)
-        return text.replace(" ", "\x01 ").replace("\n", "\x01\n").split("\x01")
+        text = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01")
+        if not _STOPS.search(text):
+            text = text.replace(".", "\x01.").replace(",", "\x01,")
+        return text.split("\x01")
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian integers."""
@@ -129,7 +136,7 @@ def write_store(docs: DataFrame, folder: str, path: str) -> str:
             names = ["first", "doc_ids", "counts", "offsets", "dictionary_sha256", "id_bytes", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 raw = own.encode(text or "") + end
                 frame = zip_.compress(raw)
@@ -176,7 +183,7 @@ def _read(spark: SparkSession, folder: str, schema: str, made, kind) -> DataFram
     ship(spark)
     def documents(batches):
         unzip = zstandard.ZstdDecompressor(**_dictionary(shared.value))
-        for batch in batches:
+        for batch in sliced(batches):
             for row in batch.to_pylist():
                 if row["dictionary_sha256"] != sha:
                     raise ValueError("a block was written under another dictionary")
