@@ -11,8 +11,14 @@ ALPHA = 0.05
 def response(r: Column, d: Column, i: Column, p_r: Column, p_d: Column, p_i: Column) -> Column:
     """struct(scenario, response) from reference slope, slope deviation, intercept deviation and their P values.
 
-    The rules are read from the top; the first that holds decides, none gives null.
+    The rules are read from the top; the first that holds decides, none gives null.  They are
+    evaluated inside a lambda over one struct, so each input is computed once.
     """
+    row = F.struct(*[c.cast("double").alias(n) for c, n in zip((r, d, i, p_r, p_d, p_i), ("r", "d", "i", "p_r", "p_d", "p_i"), strict=True)])
+    return F.element_at(F.transform(F.array(row), lambda s: _rules(s["r"], s["d"], s["i"], s["p_r"], s["p_d"], s["p_i"])), 1)
+
+
+def _rules(r: Column, d: Column, i: Column, p_r: Column, p_d: Column, p_i: Column) -> Column:
     both = r + d
     sr, sd, si = p_r < ALPHA, p_d < ALPHA, p_i < ALPHA
     nr, nd, ni = p_r >= ALPHA, p_d >= ALPHA, p_i >= ALPHA

@@ -60,7 +60,8 @@ def contrasts(df: DataFrame, keys: Sequence[str], arm: str = "arm", ref: str = "
 
     ``int_alone`` and ``slope_alone`` belong to the observed arm fitted by itself.
     """
-    s = arms(df, keys, arm, (ref, obs), x, y).where((F.col(f"n_{ref}") >= least) & (F.col(f"n_{obs}") >= least) & (F.col(f"sxx_{ref}") > 0) & (F.col(f"sxx_{obs}") > 0))
+    # An exchange of one row per group: with the grouping the projections below would outgrow one generated method.
+    s = arms(df, keys, arm, (ref, obs), x, y).repartition(*keys).where((F.col(f"n_{ref}") >= least) & (F.col(f"n_{obs}") >= least) & (F.col(f"sxx_{ref}") > 0) & (F.col(f"sxx_{obs}") > 0))
     c = lambda k, a: F.col(f"{k}_{a}")
     b = {a: c("sxy", a) / c("sxx", a) for a in (ref, obs)}
     s = s.withColumns({**{f"b_{a}": v for a, v in b.items()}, **{f"a_{a}": c("my", a) - v * c("mx", a) for a, v in b.items()}, **{f"rss_{a}": F.greatest(c("syy", a) - v * c("sxy", a), F.lit(0.0)) for a, v in b.items()}})

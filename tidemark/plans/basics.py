@@ -18,7 +18,7 @@ r4 = lambda c: F.round(c, 4)
 # --- sources and sinks
 
 
-@query("s01_table_resolver", "SELECT * FROM nation")
+@query("s01_s02_table_resolver", "SELECT * FROM nation")
 def _(spark, d):
     return tables.table(spark, "nation", f"{d}/output-of-no-run", d)
 
@@ -344,7 +344,7 @@ def _(spark, d):
     return survey(spark, d).groupBy(*POP).agg(F.array_join(F.array_sort(F.collect_set("yr")), ",").alias("years"))
 
 
-@query("a11_nth_from_end", sql("SELECT region, species, yr, site FROM optima QUALIFY row_number() OVER (PARTITION BY region, species ORDER BY yr DESC) = 2", "optima"))
+@query("a11_w09_nth_from_end", sql("SELECT region, species, yr, site FROM optima QUALIFY row_number() OVER (PARTITION BY region, species ORDER BY yr DESC) = 2", "optima"))
 def _(spark, d):
     return rel.nth_from_end(optima(spark, d), POP, "yr", 2).select("region", "species", "yr", "site")
 

@@ -166,6 +166,23 @@ def _(spark, d):
     return out.withColumn("ambient_temp_mean", r4("ambient_temp_mean"))
 
 
+_SERIES = {
+    "cube": "SELECT CAST(floor(lon / 5) AS BIGINT) AS cx, CAST(floor(lat / 5) AS BIGINT) AS cy, day, avg(temp) AS value FROM survey JOIN sites USING (site, region) WHERE yr = 1996 GROUP BY ALL",
+    "cells": "SELECT site, CAST(floor(lon / 5) AS BIGINT) AS cx, CAST(floor(lat / 5) AS BIGINT) AS cy FROM sites",
+    "steps": "SELECT CAST(unnest([0, 1, 1, 1, 2, 2, 2, 2, 2]) AS INTEGER) AS level, unnest([0, -1, 0, 1, -2, -1, 0, 1, 2]) AS o",
+    "vals": "SELECT site, level, day, avg(value) AS v FROM cells, steps, cube WHERE cube.cx = cells.cx + o AND cube.cy = cells.cy + o GROUP BY ALL",
+    "chosen": "SELECT site, min(level) AS level FROM (SELECT site, level, 1 - count(*) / (SELECT count(DISTINCT day) FROM cube) AS missing FROM vals GROUP BY ALL) WHERE level = 0 AND missing <= 0.1 OR level > 0 AND missing < 1 GROUP BY 1",
+}
+
+
+@query("d03_site_series", sql("SELECT site, level, count(v) AS days, round(avg(v), 3) AS mean FROM chosen JOIN vals USING (site, level) GROUP BY ALL", "survey", "sites", **_SERIES))
+def _(spark, d):
+    cell = [F.floor(F.col(c) / 5).alias(n) for c, n in (("lon", "cx"), ("lat", "cy"))]
+    cube = survey(spark, d).where("yr = 1996").join(sites(spark, d), ["site", "region"]).groupBy(*cell, "day").agg(F.avg("temp").alias("value"))
+    series = exposure.site_series(sites(spark, d).select("site", *cell), cube, cube.select("day").distinct(), reject=False)
+    return series.groupBy("site", "level").agg(F.count("v").alias("days"), F.round(F.avg("v"), 3).alias("mean"))
+
+
 def _reference_sql(pick):
     return sql(f"SELECT x.region, x.species, x.yr, x.site, {_metric_sql(('q90',), (), False)} FROM (SELECT r.region, r.species, r.site, d.yr, d.v FROM (SELECT region, species, {pick} AS site FROM optima GROUP BY ALL) r JOIN daily d ON d.site = r.site WHERE d.yr BETWEEN 1993 AND 2001 AND r.site IS NOT NULL) x JOIN thresholds t USING (species) GROUP BY ALL", "daily", "optima", "thresholds")
 
@@ -289,14 +306,14 @@ def _(spark, d):
     return rel.first_of_each(both, POP, F.col("aic").asc_nulls_last(), F.col("spec")).select(*POP, "spec", F.round("aic", 3).alias("aic"))
 
 
-@query("d16b_d19c_shift_speed", sql(f"SELECT direction, significant, count(*) AS n, round(avg(speed), 3) AS mean, round(stddev_samp(speed) / sqrt(count(*)), 3) AS se FROM (SELECT CASE WHEN slope > 0 THEN 'poleward' ELSE 'equatorward' END AS direction, coalesce(abs(slope / nullif(sqrt(var / sxx), 0)) > {Z}, false) AS significant, abs(slope) * 111 * 10 AS speed FROM trend WHERE abs(slope) > 1e-9) GROUP BY ALL", "optima", trend=_TREND))
+@query("d19c_shift_speed", sql(f"SELECT direction, significant, count(*) AS n, round(avg(speed), 3) AS mean, round(stddev_samp(speed) / sqrt(count(*)), 3) AS se FROM (SELECT CASE WHEN slope > 0 THEN 'poleward' ELSE 'equatorward' END AS direction, coalesce(abs(slope / nullif(sqrt(var / sxx), 0)) > {Z}, false) AS significant, abs(slope) * 111 * 10 AS speed FROM trend WHERE abs(slope) > 1e-9) GROUP BY ALL", "optima", trend=_TREND))
 def _(spark, d):
     t = _lat_trends(spark, d).where("abs(slope) > 1e-9")
     t = t.select(F.when(F.col("slope") > 0, "poleward").otherwise("equatorward").alias("direction"), F.coalesce(F.abs("z") > Z, F.lit(False)).alias("significant"), (F.abs("slope") * scalar.KM_PER_DEGREE * 10).alias("speed"))
     return t.groupBy("direction", "significant").agg(F.count("*").alias("n"), F.round(F.avg("speed"), 3).alias("mean"), F.round(F.stddev_samp("speed") / F.sqrt(F.count("*")), 3).alias("se"))
 
 
-@query("d16c_shift_classes", sql(f"SELECT CASE WHEN abs(slope / nullif(sqrt(var / sxx), 0)) > {Z} AND slope > 0 THEN 'Sig_poleward' WHEN abs(slope / nullif(sqrt(var / sxx), 0)) > {Z} AND slope < 0 THEN 'Sig_equatorward' ELSE 'NS' END AS class, count(*) AS n FROM trend GROUP BY 1", "optima", trend=_TREND))
+@query("d16b_shift_classes", sql(f"SELECT CASE WHEN abs(slope / nullif(sqrt(var / sxx), 0)) > {Z} AND slope > 0 THEN 'Sig_poleward' WHEN abs(slope / nullif(sqrt(var / sxx), 0)) > {Z} AND slope < 0 THEN 'Sig_equatorward' ELSE 'NS' END AS class, count(*) AS n FROM trend GROUP BY 1", "optima", trend=_TREND))
 def _(spark, d):
     return _lat_trends(spark, d).groupBy(classify.shift_class(F.col("slope"), F.abs("z") > Z).alias("class")).agg(F.count("*").alias("n"))
 

@@ -150,7 +150,7 @@ def _(spark, d):
     return models.fitted(s, POP, grid)
 
 
-@query("d40_signed_longitude_refit")
+@query("d16c_d40_signed_longitude_refit")
 def _(spark, d):
     grid = spark.createDataFrame([(f"Lon_{a}", a, "NULL", "gaussian") for a in ("no_autocor", "ou", "ar1")], "spec string, autocor string, trans string, family string")
     s = win.with_time_coordinate(optima(spark, d)).withColumn("y", F.col("lon"))
