@@ -6,11 +6,14 @@ bundle j of the second.  81 tables of 6 hashes so need 54 minhashes instead of 4
 the threshold of 0.85 shares no key with a chance of 2 * (1 - 0.85^3)^9 = 0.0004, one at 0.9 with
 0.00002.
 
-Documents with equal sets are one class.  In every table each class is compared with the first
-class of its bucket (its pivot), which needs no pairs within the bucket.  The links give
-components.  Only buckets that still hold several components are gone through again: of their
-pairs across components those remain whose sizes and whose distances to their common pivot
-(Jaccard distance is a metric) allow a link.  Every link is confirmed on the full sets.
+Documents with equal sets are one class.  In every table each class is compared with one class
+of its bucket, the pivot: the one that shares most buckets, so the original of a group of edited copies
+rather than a copy.  That needs no pairs within buckets.  The links give components.  Then only
+buckets that still hold several components are gone through again, for classes that their pivot did not take in.
+Each class carries a parity sketch: a bit is set if an odd number of its shingles fall on it.  What
+two classes share cancels in the exclusive or, so its bits can't outnumber the shingles in which they
+differ; pairs with more bits than a link allows are left out, exactly.
+Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -20,14 +23,16 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, LOWER_BYTES, shared_folder, ship, staged
+from .common import discard, LOWER_BYTES, shared_folder, ship, sliced, staged
 
 SHINGLE, PERCENT = 3, 85
 BUNDLES, ROWS = 9, 3
-REMEMBERED = 500_000
+#: Bits of a parity sketch.
+SKETCH = 512
+REMEMBERED = 100_000
 
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 _words: dict[bytes, int] = {}
@@ -68,8 +73,8 @@ def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
 def bundles(hashes: np.ndarray) -> list[int]:
     """The bundles of both collections, one after the other."""
     least = np.full(2 * BUNDLES * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for i in range(0, len(hashes), 1 << 15):
-        least = np.minimum(least, ((hashes[None, i : i + (1 << 15)] ^ _XOR) * _TIMES).min(axis=1))
+    for i in range(0, len(hashes), 1 << 13):
+        least = np.minimum(least, ((hashes[None, i : i + (1 << 13)] ^ _XOR) * _TIMES).min(axis=1))
     grouped = least.reshape(2 * BUNDLES, ROWS)
     out = np.zeros(2 * BUNDLES, np.uint64)
     for k in range(ROWS):
@@ -77,41 +82,41 @@ def bundles(hashes: np.ndarray) -> list[int]:
     return out.view(np.int64).tolist()
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Sizes of the intersection and of the union."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both, len(a) + len(b) - both
+def sketch(hashes: np.ndarray) -> list[int]:
+    """The parity of the number of shingles on each bit, as 64-bit integers."""
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set) and bundles of every row."""
+    """doc_id, n_shingles, set_key (null for an empty set), bundles and sketch of every row."""
 
     ship(docs.sparkSession)
     def signed(batches):
-        for batch in batches:
-            counts, keys, found = [], [], []
+        for batch in sliced(batches):
+            counts, keys, found, marks = [], [], [], []
             for value in batch.column("text").cast(pa.binary()).to_pylist():
                 hashes = shingles(value, size)
                 counts.append(len(hashes))
-                keys.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None)
+                keys.append(digest(hashes) if len(hashes) else None)
                 found.append(bundles(hashes) if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bundles"])
+                marks.append(sketch(hashes) if len(hashes) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bundles", "sketch"])
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(signed, "doc_id bigint, n_shingles bigint, set_key binary, bundles array<bigint>")
+    return rows.mapInArrow(signed, "doc_id bigint, n_shingles bigint, set_key binary, bundles array<bigint>, sketch array<bigint>")
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
-    """(key, node, n) for every class and table."""
-    first, second = F.sequence(F.lit(1), F.lit(BUNDLES)), F.sequence(F.lit(BUNDLES + 1), F.lit(2 * BUNDLES))
-    left = classes.select("node", "n", "bundles", F.explode(first).alias("i")).select("node", "n", "bundles", "i", F.element_at("bundles", F.col("i")).alias("a"))
-    both = left.select("node", "n", "i", "a", F.posexplode(F.slice("bundles", BUNDLES + 1, BUNDLES)).alias("j", "b"))
-    return both.select(F.xxhash64("i", "a", "j", "b").alias("key"), "node", F.col("n").cast("int").alias("n"))
-
-
-def _close(n: Column, m: Column, percent: int) -> Column:
-    """Whether two sizes allow the overlap."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    """(key, node) for every class and table."""
+    first = F.sequence(F.lit(1), F.lit(BUNDLES))
+    left = classes.select("node", "bundles", F.explode(first).alias("i")).select("node", "bundles", "i", F.element_at("bundles", F.col("i")).alias("a"))
+    both = left.select("node", "i", "a", F.posexplode(F.slice("bundles", BUNDLES + 1, BUNDLES)).alias("j", "b"))
+    return both.select(F.xxhash64("i", "a", "j", "b").alias("key"), "node")
 
 
 def measured(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -119,11 +124,11 @@ def measured(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFra
     first = texts.select(F.col("node").alias("a"), F.col("set_key").alias("key_a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("node").alias("b"), F.col("set_key").alias("key_b"), F.col("text").alias("text_b"))
     met = pairs.select("a", "b").join(first, "a").join(second, "b")
-
     ship(pairs.sparkSession)
+
     def counted(batches):
         last: tuple = (None, None)
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             columns = [batch.column(c).to_pylist() for c in ("a", "b", "key_a", "key_b")]
             texts_a, texts_b = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b"))
@@ -131,8 +136,9 @@ def measured(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFra
                 if last[0] != a:
                     last = (a, shingles(text_a, size))
                 x, y = last[1], shingles(text_b, size)
-                if hashlib.blake2b(x.tobytes(), digest_size=16).digest() == key_a and hashlib.blake2b(y.tobytes(), digest_size=16).digest() == key_b:
-                    out.append((a, b, *overlap(x, y)))
+                if digest(x) == key_a and digest(y) == key_b:
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    out.append((a, b, common, len(x) + len(y) - common))
                 else:
                     last = (None, None)  # rows of another text under the same doc_id
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["a", "b", "common", "united"])
@@ -175,46 +181,46 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     spark = docs.sparkSession
     folder = shared_folder(spark)
     signed = staged(signatures(docs, key, text, size), f"{folder}/signed")
-    classes = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_equal"), F.first("n_shingles").alias("n"), F.first("bundles").alias("bundles"))
+    classes = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_equal"), F.first("n_shingles").alias("n"), F.first("bundles").alias("bundles"), F.first("sketch").alias("sketch"))
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), f"{folder}/classes")
 
-    # Tables: every class that shares a bucket, with the bucket's pivot.
+    # Tables: every class that shares a bucket, and the bucket's pivot.
     rows = table_keys(classes)
-    pivots = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("members")).where("members > 1")
-    pivots = pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    members = staged(rows.join(pivots, "key"), f"{folder}/members")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    members = staged(rows.join(sizes, "key"), f"{folder}/members")
+    shares = members.groupBy("node").agg(F.sum("members").alias("shares"))
+    pivots = members.select("key", "node").join(shares, "node").groupBy("key").agg(F.max_by("node", F.struct("shares", "node")).alias("a"))
+    pivots = staged(pivots, f"{folder}/pivots")
+    tested = staged(members.join(pivots, "key").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct(), f"{folder}/tested")
 
-    tested = members.where(F.col("node") != F.col("pivot")).where(_close(F.col("n"), F.col("pivot_n"), percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    tested = staged(tested, f"{folder}/tested")
     held = members.select("node").distinct().join(classes.select("node", "set_key", "rep"), "node")
     own = docs.select(F.col(key).cast("bigint").alias("rep"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     texts = own.join(held, own["rep"].eqNullSafe(held["rep"])).select("node", "set_key", "text")
     texts = staged(texts, f"{folder}/texts")
-    first = staged(measured(tested, texts, size), f"{folder}/first")
-    links = first.where(F.col("common") * 100 >= F.col("united") * percent).select("a", "b")
+    linked = F.col("common") * 100 >= F.col("united") * percent
+    links = staged(measured(tested, texts, size).where(linked).select("a", "b"), f"{folder}/links")
     roots = components(links)
 
-    # Buckets that hold several components: pairs across them that the bounds don't rule out.
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = staged(placed, f"{folder}/placed")
+    # Buckets that hold several components: classes apart from their pivot against all others.
+    placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    far = first.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("common") / F.col("united")).alias("far"))
-    left = placed.where(F.col("node") != F.col("pivot")).join(mixed, "key", "left_semi").join(far, ["pivot", "node"], "left").select("key", "node", "n", "root", "far")
-    left = staged(left, f"{folder}/left")
-    other = left.toDF("key", "node_b", "n_b", "root_b", "far_b")
-    slack = 1 - percent / 100 + 1e-9
-    across = left.join(other, "key").where((F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & _close(F.col("n"), F.col("n_b"), percent))
-    across = across.where(F.coalesce(F.abs(F.col("far") - F.col("far_b")) <= slack, F.lit(True)))
-    rest = staged(across.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), f"{folder}/rest")
-    more = measured(rest, texts, size).where(F.col("common") * 100 >= F.col("united") * percent).select("a", "b")
-    more = staged(more, f"{folder}/more")
+    main = pivots.join(mixed, "key").select("key", F.col("a").alias("node")).join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("main"))
+    left = staged(placed.join(main, "key").join(classes.select("node", "n", "sketch"), "node"), f"{folder}/left")
+    other = left.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other_root"), (F.col("root") != F.col("main")).alias("apart"), F.col("sketch").alias("other_sketch"))
+    differ = F.lit(0)
+    for i in range(SKETCH // 64):
+        differ = differ + F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("other_sketch")[i]))
+    able = (F.col("root") != F.col("other_root")) & (differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+    rest = left.where("root <> main").join(other, "key").where(able & (~F.col("apart") | (F.col("node") < F.col("b"))))
+    rest = staged(rest.select(F.col("node").alias("a"), "b").distinct(), f"{folder}/rest")
+    more = staged(measured(rest, texts, size).where(linked).select("a", "b"), f"{folder}/more")
     if more.limit(1).count():
         roots = components(links.union(more))
 
     named = classes.select("node", "set_key", "rep", "n_equal").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes_out = staged(named.join(least, "root").select("set_key", "component_id", "n_equal"), f"{folder}/named")
-    for name in ("members", "tested", "texts", "first", "placed", "left", "rest", "more"):
+    for name in ("members", "pivots", "tested", "texts", "links", "left", "rest", "more"):
         discard(spark, f"{folder}/{name}")
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes_out, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
