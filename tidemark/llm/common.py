@@ -91,6 +91,23 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def count_below(bounds: Sequence[int], value: Column) -> Column:
+    """How many of the sorted bounds are less than the value, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded into one literal
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        less = F.get(array, mid) < value
+        open_ = s["lo"] < s["hi"]
+        return F.struct(F.when(open_ & less, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~less, mid).otherwise(s["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1))
+    return F.aggregate(steps, start, halve, lambda s: s["lo"])
+
+
 def numbered(df: DataFrame, order: Sequence[Column], name: str = "row_no") -> tuple[DataFrame, int]:
     """Adds the global row number (from 0) by ``order``; also returns the number of rows.
 

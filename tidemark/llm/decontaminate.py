@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, ship, UPPER, WORD_BYTES
+from .common import LOWER, ship, sliced, UPPER, WORD_BYTES
 
 #: Benchmark text of at most so many bytes is searched for, and broadcast, at a time.
 BLOCK_BYTES = 16 << 20
@@ -129,7 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, block
 
         def scan(batches, shared=shared, final=final):
             windows = shared.value
-            for batch in batches:
+            for batch in sliced(batches):
                 out = []
                 for doc, value, spans, items in zip(batch.column("doc_id").to_pylist(), _texts(batch, "text"), batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
                     hit, found = windows.search(value)
@@ -158,7 +158,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10
         shared = docs.sparkSession.sparkContext.broadcast(windows)
 
         def clean(batches, shared=shared):
-            for batch in batches:
+            for batch in sliced(batches):
                 keep = [not shared.value.search(value)[1] for value in _texts(batch, text)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 

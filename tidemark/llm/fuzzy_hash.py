@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import literal_rows, ship, width
+from .common import count_below, literal_rows, ship, sliced, width
 
 WINDOW, LEAST_BLOCK, LENGTH = 7, 3, 64
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -131,7 +131,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = 4 * width(spark)
     bounds = sorted({int(x) for x in docs.select(F.col(key).cast("bigint").alias("k")).where("k is not null").approxQuantile("k", [i / n for i in range(1, n)], 0.25 / n)})
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: F.col("doc_id") <= b)))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(len(bounds) - count_below(bounds, F.col("doc_id")))
     rows = rows.withColumn("bucket", bucket.cast("int"))
     heads = sorted((r["bucket"], r["head"]) for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())
     before = [{"bucket": b, "head": h, "previous": heads[i - 1][0]} for i, (b, h) in enumerate(heads)]
@@ -146,7 +146,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     ship(docs.sparkSession)
     def judged(batches):
         last, names = None, [f.split(" ")[0] for f in RESULT.split(", ")]
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for doc, value, at, peek in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "peek")), strict=True):
                 if peek and (last is None or last[3] != at):

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, sliced
 
 #: Learning takes about so many documents of a language and so many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 1500
@@ -89,7 +89,7 @@ def language_of(docs: DataFrame, dictionaries: dict[str, bytes], margin: float =
     ship(docs.sparkSession)
     def predict(batches):
         judge = Judge(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             found = [judge.judge(t) if t and judge.names else (UNKNOWN, 0.0) for t in texts]
             sure = [name != UNKNOWN and score >= margin for name, score in found]
@@ -108,7 +108,7 @@ def only_known(docs: DataFrame, dictionaries: dict[str, bytes], margin: float =
     ship(docs.sparkSession)
     def keep(batches):
         judge = Judge(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(text).to_pylist()
             sure = [bool(t) and bool(judge.names) and any(map(str.isalpha, t)) and judge.judge(t)[1] >= margin for t in texts]
             yield batch.filter(pa.array(sure, pa.bool_()))

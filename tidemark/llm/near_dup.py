@@ -23,7 +23,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, LOWER_BYTES, shared_folder, ship, sliced, staged
@@ -119,6 +119,17 @@ def table_keys(classes: DataFrame) -> DataFrame:
     return both.select(F.xxhash64("i", "a", "j", "b").alias("key"), "node")
 
 
+def first_key(bundles: Column, others: Column) -> Column:
+    """The key of the first table in which two classes meet."""
+
+    def first(start: int) -> Column:
+        same = F.zip_with(F.slice(bundles, start, BUNDLES), F.slice(others, start, BUNDLES), lambda x, y: x == y)
+        return F.array_position(same, F.lit(True)).cast("int")
+
+    i, j = first(1), first(BUNDLES + 1)
+    return F.xxhash64(i, F.element_at(bundles, i), j - 1, F.element_at(bundles, j + BUNDLES))
+
+
 def measured(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(a, b, common, united) of each pair (a, b) of nodes, from the full texts (node, set_key, text)."""
     first = texts.select(F.col("node").alias("a"), F.col("set_key").alias("key_a"), F.col("text").alias("text_a"))
@@ -205,13 +216,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     main = pivots.join(mixed, "key").select("key", F.col("a").alias("node")).join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("main"))
-    left = staged(placed.join(main, "key").join(classes.select("node", "n", "sketch"), "node"), f"{folder}/left")
-    other = left.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other_root"), (F.col("root") != F.col("main")).alias("apart"), F.col("sketch").alias("other_sketch"))
+    left = staged(placed.join(main, "key").join(classes.select("node", "n", "sketch", "bundles"), "node"), f"{folder}/left")
+    other = left.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other_root"), (F.col("root") != F.col("main")).alias("apart"), F.col("sketch").alias("other_sketch"), F.col("bundles").alias("other_bundles"))
     differ = F.lit(0)
     for i in range(SKETCH // 64):
         differ = differ + F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("other_sketch")[i]))
     able = (F.col("root") != F.col("other_root")) & (differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
-    rest = left.where("root <> main").join(other, "key").where(able & (~F.col("apart") | (F.col("node") < F.col("b"))))
+    once = first_key(F.col("bundles"), F.col("other_bundles")) == F.col("key")
+    rest = left.where("root <> main").join(other, "key").where(able & (~F.col("apart") | (F.col("node") < F.col("b"))) & once)
     rest = staged(rest.select(F.col("node").alias("a"), "b").distinct(), f"{folder}/rest")
     more = staged(measured(rest, texts, size).where(linked).select("a", "b"), f"{folder}/more")
     if more.limit(1).count():
