@@ -411,6 +411,13 @@ def test_repetition_is_marked():
     assert kn_quality.marked(b"be be  be x") == b"be\0be  be x"
 
 
+def test_toxic_documents_are_not_trusted(spark):
+    rows = [(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, None), (5, 1, 0), (5, 1, 1), (6, 1, 0), (6, 1, 0), (None, 1, 0)]
+    labels = spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
+    learned, apart = kn_quality.trusted_sample(table(spark, [PROSE] * 8), labels)
+    assert sorted(r["doc_id"] for r in learned.union(apart).collect()) == [1, 4, 6]
+
+
 def test_quality_on_labels(spark, awkward, nothing):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = kn_quality.classify(docs, labels).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
