@@ -414,8 +414,16 @@ def test_repetition_is_marked():
 def test_toxic_documents_are_not_trusted(spark):
     rows = [(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, None), (5, 1, 0), (5, 1, 1), (6, 1, 0), (6, 1, 0), (None, 1, 0)]
     labels = spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
-    learned, apart = kn_quality.trusted_sample(table(spark, [PROSE] * 8), labels)
-    assert sorted(r["doc_id"] for r in learned.union(apart).collect()) == [1, 4, 6]
+    assert sorted(r["doc_id"] for r in kn_quality.trusted_ids(labels).collect()) == [1, 4, 6]
+
+
+def test_all_trusted_documents_are_learned_from(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(kn_quality, "train", lambda docs, text: seen.update(learned=docs.count()) or np.zeros(kn_quality.SYMBOLS**kn_quality.ORDER, np.float16))
+    monkeypatch.setattr(kn_quality, "bounds", lambda scored, quantiles: seen.update(apart=scored.count()) or {})
+    docs = spark.range(30_000).select("id", F.lit("a b").alias("text"), F.lit("en").alias("lang")).withColumnRenamed("id", "doc_id")
+    kn_quality.classify(docs, docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    assert sum(seen.values()) == 30_000 and abs(seen["apart"] - 7_500) < 500
 
 
 def test_quality_on_labels(spark, awkward, nothing):
