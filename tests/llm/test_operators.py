@@ -176,6 +176,23 @@ def test_one_of_each(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
 
 
+def test_one_of_each_goes_by_row(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    near = lambda t: t + " end"
+    rows = [(1, a), (2, near(a)), (2, b), (2, b), (3, c), (3, near(c)), (None, near(b)), (None, "alone with no number"), (None, "alone with no number"), (None, ""), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [tuple(r) for r in near_dup.one_of_each(docs, 80, 5).collect()]
+    assert sorted(((d, t) for d, t in got if d != 3), key=str) == sorted([(1, a), (2, b), (None, "alone with no number"), (None, ""), (4, None), (5, "")], key=str)
+    assert len([t for d, t in got if d == 3]) == 1
+
+
+def test_lower_thresholds_lose_no_more_pairs():
+    assert near_dup.banding(85) == (near_dup.BUNDLES, near_dup.ROWS)
+    for percent in (50, 70, 80, 85, 90):
+        n, rows = near_dup.banding(percent)
+        assert 2 * (1 - (percent / 100) ** rows) ** n <= near_dup.LOSS
+
+
 def test_tables_and_sketches():
     assert len(near_dup.bundles(near_dup.shingles(b"a b c d"))) == 2 * near_dup.BUNDLES
     a, b = (near_dup.shingles(t.encode()) for t in variants(4, 1, 2))

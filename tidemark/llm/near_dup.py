@@ -4,7 +4,7 @@ A document is the set of its shingles.  Two collections of BUNDLES bundles of RO
 give BUNDLES^2 tables: the key of table (i, j) joins bundle i of the first collection with
 bundle j of the second.  81 tables of 6 hashes so need 54 minhashes instead of 486.  A pair at
 the threshold of 0.85 shares no key with a chance of 2 * (1 - 0.85^3)^9 = 0.0004, one at 0.9 with
-0.00002.
+0.00002.  A lower threshold takes shorter bundles: at 0.8 those of 2 hashes, 2 * (1 - 0.8^2)^9 = 0.0002.
 
 Documents with equal sets are one class.  In every table each class is compared with one class
 of its bucket, the pivot: the one that shares most buckets, so the original of a group of edited copies
@@ -19,6 +19,7 @@ Every link is confirmed on the full sets.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from .common import discard, LOWER_BYTES, shared_folder, ship, sliced, staged
 
 SHINGLE, PERCENT = 3, 85
 BUNDLES, ROWS = 9, 3
+#: A pair at the threshold shares no key with this chance at most.
+LOSS = 0.0004
 #: Bits of a parity sketch.
 SKETCH = 512
 REMEMBERED = 100_000
@@ -44,8 +47,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_seeds = _mixed(np.arange(1, 4 * BUNDLES * ROWS + 1, dtype=np.uint64) * np.uint64(_ODD[0]))
-_XOR, _TIMES = _seeds[: 2 * BUNDLES * ROWS, None], _seeds[2 * BUNDLES * ROWS :, None] | np.uint64(1)
+def banding(percent: int) -> tuple[int, int]:
+    """Bundles in a collection and minhashes in a bundle that lose at most LOSS of the pairs at the threshold."""
+    at = min(max(percent, 1), 99) / 100
+    for rows in range(ROWS, 0, -1):
+        n = math.ceil(math.log(LOSS / 2) / math.log(1 - at**rows))
+        if n <= BUNDLES:
+            return BUNDLES, rows
+    return n, 1
+
+
+_seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What n minhashes are mixed with."""
+    if n not in _seeds:
+        both = _mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(_ODD[0]))
+        _seeds[n] = both[:n, None], both[n:, None] | np.uint64(1)
+    return _seeds[n]
 
 
 def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -70,14 +90,15 @@ def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(sums)
 
 
-def bundles(hashes: np.ndarray) -> list[int]:
-    """The bundles of both collections, one after the other."""
-    least = np.full(2 * BUNDLES * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+def bundles(hashes: np.ndarray, n: int = BUNDLES, rows: int = ROWS) -> list[int]:
+    """The n bundles of each collection, one after the other."""
+    xor, times = seeds(2 * n * rows)
+    least = np.full(2 * n * rows, np.uint64(0xFFFFFFFFFFFFFFFF))
     for i in range(0, len(hashes), 1 << 13):
-        least = np.minimum(least, ((hashes[None, i : i + (1 << 13)] ^ _XOR) * _TIMES).min(axis=1))
-    grouped = least.reshape(2 * BUNDLES, ROWS)
-    out = np.zeros(2 * BUNDLES, np.uint64)
-    for k in range(ROWS):
+        least = np.minimum(least, ((hashes[None, i : i + (1 << 13)] ^ xor) * times).min(axis=1))
+    grouped = least.reshape(2 * n, rows)
+    out = np.zeros(2 * n, np.uint64)
+    for k in range(rows):
         out = _mixed(out * np.uint64(_ODD[1]) + grouped[:, k])
     return out.view(np.int64).tolist()
 
@@ -92,8 +113,14 @@ def digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def signatures(docs: DataFrame, key: str, text: str, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set), bundles and sketch of every row."""
+def text_key(text: Column) -> Column:
+    """128 bits that tell texts apart."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def signatures(docs: DataFrame, key: str, text: str, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_key, n_shingles, set_key (null for an empty set), bundles and sketch of every row."""
+    n, width = banding(percent)
 
     ship(docs.sparkSession)
     def signed(batches):
@@ -103,31 +130,31 @@ def signatures(docs: DataFrame, key: str, text: str, size: int = SHINGLE) -> Dat
                 hashes = shingles(value, size)
                 counts.append(len(hashes))
                 keys.append(digest(hashes) if len(hashes) else None)
-                found.append(bundles(hashes) if len(hashes) else None)
+                found.append(bundles(hashes, n, width) if len(hashes) else None)
                 marks.append(sketch(hashes) if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bundles", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_shingles", "set_key", "bundles", "sketch"])
 
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(signed, "doc_id bigint, n_shingles bigint, set_key binary, bundles array<bigint>, sketch array<bigint>")
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), text_key(F.col(text)).alias("text_key"))
+    return rows.mapInArrow(signed, "doc_id bigint, text_key binary, n_shingles bigint, set_key binary, bundles array<bigint>, sketch array<bigint>")
 
 
-def table_keys(classes: DataFrame) -> DataFrame:
+def table_keys(classes: DataFrame, n: int = BUNDLES) -> DataFrame:
     """(key, node) for every class and table."""
-    first = F.sequence(F.lit(1), F.lit(BUNDLES))
+    first = F.sequence(F.lit(1), F.lit(n))
     left = classes.select("node", "bundles", F.explode(first).alias("i")).select("node", "bundles", "i", F.element_at("bundles", F.col("i")).alias("a"))
-    both = left.select("node", "i", "a", F.posexplode(F.slice("bundles", BUNDLES + 1, BUNDLES)).alias("j", "b"))
+    both = left.select("node", "i", "a", F.posexplode(F.slice("bundles", n + 1, n)).alias("j", "b"))
     return both.select(F.xxhash64("i", "a", "j", "b").alias("key"), "node")
 
 
-def first_key(bundles: Column, others: Column) -> Column:
+def first_key(bundles: Column, others: Column, n: int = BUNDLES) -> Column:
     """The key of the first table in which two classes meet."""
 
     def first(start: int) -> Column:
-        same = F.zip_with(F.slice(bundles, start, BUNDLES), F.slice(others, start, BUNDLES), lambda x, y: x == y)
+        same = F.zip_with(F.slice(bundles, start, n), F.slice(others, start, n), lambda x, y: x == y)
         return F.array_position(same, F.lit(True)).cast("int")
 
-    i, j = first(1), first(BUNDLES + 1)
-    return F.xxhash64(i, F.element_at(bundles, i), j - 1, F.element_at(bundles, j + BUNDLES))
+    i, j = first(1), first(n + 1)
+    return F.xxhash64(i, F.element_at(bundles, i), j - 1, F.element_at(bundles, j + n))
 
 
 def measured(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -182,21 +209,19 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, n_equal (rows with an equal set).
-
-    ``component_id`` is the smallest doc_id that links reach, ``kept`` whether it is the own one.
-    A null, empty or wordless text has no shingles and links with nothing; a null doc_id takes
-    part but is never a component_id nor kept.  Repeated rows stay repeated.  Only key and text are read.
+def grouped(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, text_key, set_key, n_shingles, n_equal, and first: the doc_id and the text_key of
+    the first row of its component, by doc_id with null at the end and then by text; null without shingles.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    signed = staged(signatures(docs, key, text, size), f"{folder}/signed")
-    classes = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_equal"), F.first("n_shingles").alias("n"), F.first("bundles").alias("bundles"), F.first("sketch").alias("sketch"))
+    n, _ = banding(percent)
+    signed = staged(signatures(docs, key, text, size, percent), f"{folder}/signed")
+    classes = signed.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep"), F.count("*").alias("n_equal"), F.first("n_shingles").alias("n"), F.first("bundles").alias("bundles"), F.first("sketch").alias("sketch"))
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), f"{folder}/classes")
 
     # Tables: every class that shares a bucket, and the bucket's pivot.
-    rows = table_keys(classes)
+    rows = table_keys(classes, n)
     sizes = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = staged(rows.join(sizes, "key"), f"{folder}/members")
     shares = members.groupBy("node").agg(F.sum("members").alias("shares"))
@@ -204,9 +229,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     pivots = staged(pivots, f"{folder}/pivots")
     tested = staged(members.join(pivots, "key").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct(), f"{folder}/tested")
 
-    held = members.select("node").distinct().join(classes.select("node", "set_key", "rep"), "node")
-    own = docs.select(F.col(key).cast("bigint").alias("rep"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    texts = own.join(held, own["rep"].eqNullSafe(held["rep"])).select("node", "set_key", "text")
+    held = members.select("node").distinct().join(classes.select("node", "set_key", F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("rep_text")), "node")
+    own = docs.select(F.col(key).cast("bigint").alias("rep"), F.col(text).alias("text"), text_key(F.col(text)).alias("rep_text")).where(F.col("text").isNotNull()).withColumnRenamed("rep", "own")
+    texts = own.join(held, own["own"].eqNullSafe(held["rep"]) & (own["rep_text"] == held["rep_text"])).select("node", "set_key", "text")
     texts = staged(texts, f"{folder}/texts")
     linked = F.col("common") * 100 >= F.col("united") * percent
     links = staged(measured(tested, texts, size).where(linked).select("a", "b"), f"{folder}/links")
@@ -222,7 +247,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     for i in range(SKETCH // 64):
         differ = differ + F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("other_sketch")[i]))
     able = (F.col("root") != F.col("other_root")) & (differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
-    once = first_key(F.col("bundles"), F.col("other_bundles")) == F.col("key")
+    once = first_key(F.col("bundles"), F.col("other_bundles"), n) == F.col("key")
     rest = left.where("root <> main").join(other, "key").where(able & (~F.col("apart") | (F.col("node") < F.col("b"))) & once)
     rest = staged(rest.select(F.col("node").alias("a"), "b").distinct(), f"{folder}/rest")
     more = staged(measured(rest, texts, size).where(linked).select("a", "b"), f"{folder}/more")
@@ -230,23 +255,35 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         roots = components(links.union(more))
 
     named = classes.select("node", "set_key", "rep", "n_equal").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes_out = staged(named.join(least, "root").select("set_key", "component_id", "n_equal"), f"{folder}/named")
+    least = named.groupBy("root").agg(F.min("rep").alias("first"))
+    classes_out = staged(named.join(least, "root").select("set_key", "first", "n_equal"), f"{folder}/named")
     for name in ("members", "pivots", "tested", "texts", "links", "left", "rest", "more"):
         discard(spark, f"{folder}/{name}")
-    out = signed.select("doc_id", "n_shingles", "set_key").join(classes_out, "set_key", "left")
-    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.coalesce("n_equal", F.lit(1)).cast("bigint").alias("n_equal"))
+    out = signed.select("doc_id", "text_key", "n_shingles", "set_key").join(classes_out, "set_key", "left")
+    return out.withColumn("n_equal", F.coalesce("n_equal", F.lit(1)).cast("bigint"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, n_equal (rows with an equal set).
+
+    ``component_id`` is the smallest doc_id that links reach, ``kept`` whether it is the own one.
+    A null, empty or wordless text has no shingles and links with nothing; a null doc_id takes
+    part but is never a component_id nor kept.  Repeated rows stay repeated.  Only key and text are read.
+    """
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return grouped(docs, percent, size, key, text).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "n_equal")
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without near-duplicates: of each component the row of its smallest doc_id, with all columns.
+    """The documents without near-duplicates: of each component one row with all columns, that of its smallest doc_id and,
+    where rows share it, of the first text by hash.
 
-    Rows that repeat both doc_id and text are one document.  A component of null doc_ids alone stays whole.
+    Rows that repeat both doc_id and text are one document.  A null doc_id comes after all others.
     """
-    found = near_duplicates(docs, percent, size, key, text)
-    gone = found.where(~F.col("kept") & F.col("component_id").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, key, "left_anti").dropDuplicates([key, text])
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    gone = grouped(docs, percent, size, key, text).where(F.col("set_key").isNotNull() & ~is_first).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_text")).distinct()
+    same = F.col(key).cast("bigint").eqNullSafe(F.col("_gone")) & (text_key(F.col(text)) == F.col("_gone_text"))
+    return docs.join(gone, same, "left_anti").dropDuplicates([key, text])
 
 
 def oracle(percent: int = PERCENT) -> str:
