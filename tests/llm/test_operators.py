@@ -274,6 +274,15 @@ def test_pieces_of_text_are_exact(text):
     assert np.frombuffer(own.encode(text), own.kind).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "a.<|endoftext|><|endoftext|>\n\nb, c", "<|endoftext", PROSE * 3 + "<|endoftext|>"])
+def test_added_tokens_are_those_of_the_library(text):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = token_store.Encoder(path)
+    assert np.frombuffer(own.encode(text), own.kind).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 # --- 6 sharding
 
 

@@ -51,7 +51,8 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that hold one of these literally are left to the library as a whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
 
@@ -65,6 +66,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian integers."""
+        if any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         pieces = self.pieces(text)
         found = list(map(self.known.get, pieces))
         if None in found:
