@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,21 @@ def sliced(batches, rows: int = 256):
             yield batch.slice(i, rows)
 
 
+def gathered(values: Sequence[bytes], index: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The integers in ``values[i]`` for each i of the index, one after the other, and how many each gave."""
+    flat = np.frombuffer(b"".join(values), kind)
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(kind).itemsize
+    starts, own = np.cumsum(sizes) - sizes, sizes[index]
+    return flat[np.repeat(starts[index] - (np.cumsum(own) - own), own) + np.arange(own.sum())], own
+
+
+def sums_by(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of the values, one for each length."""
+    sums = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(lengths)
+    return sums[ends] - sums[ends - lengths]
+
+
 def literal_rows(spark: SparkSession, rows: Sequence[dict], schema: str) -> DataFrame:
     """A small table of literals inside the plan; ``schema`` is the DDL of its rows."""
     names = [part.strip().split(" ")[0] for part in schema.split(",")]

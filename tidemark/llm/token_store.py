@@ -2,8 +2,9 @@
 
 A store is a folder with two tables.  ``dictionary`` has one row: the dictionary's bytes and
 their SHA-256.  ``blocks`` has rows of up to about a megabyte: the frames of consecutive
-documents one after the other, with the offset, the number of ids and the doc_id of each, and
-the dictionary's hash, so one document is read by slicing and decompressing its own frame.
+documents one after the other, with the offset, the number of ids and the doc_id of each, the
+least and the largest doc_id, and the dictionary's hash, so one document is read by slicing and
+decompressing its own frame.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import literal_rows, ship, sliced, width
+from .common import gathered, literal_rows, ship, sliced, sums_by, width
 
 #: The dictionary is trained on about so many documents, evenly hashed, and on so many ids of each.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 64 << 10
@@ -28,13 +30,17 @@ LEVEL = 3
 END_ID = 0
 #: Encodings of so many pieces of text are remembered by a Python worker.
 REMEMBERED = 1_000_000
-BLOCKS = "first bigint, doc_ids array<bigint>, counts array<int>, offsets array<int>, dictionary_sha256 string, id_bytes int, payload binary"
+#: New pieces that the library gets in one call.
+TOGETHER = 64
+BLOCKS = "first bigint, least bigint, most bigint, doc_ids array<bigint>, counts array<int>, offsets array<int>, dictionary_sha256 string, id_bytes int, payload binary"
 RESULT = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 #: Where the quick cuts would be wrong: white space after white space, or a stop or comma after anything but a letter or digit.
-_SPACES, _STOPS = re.compile(r"\s\s"), re.compile(r"[.,](?<![^\W_][.,])")
+_SPACES, _STOPS = r"[\pZ\s\x0b\x1c-\x1f\x85]{2}", r"(^|[^\pL\pN])[.,]"
 #: White space followed by other characters.  The controls 1C-1F are no white space to tokenizers.
 _CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+_PLAIN = re.compile(r" ?\S{1,64}").fullmatch
+_CUT = "\x01"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -44,6 +50,7 @@ class Encoder:
     Byte-level vocabularies split a text, before any merge, into words with at most one space before
     them, runs of other signs, and white space.  So a text may be cut before white space that
     follows something else, after a single line end, and between a letter or digit and a stop or comma.
+    Arrow cuts a batch of texts and finds its distinct pieces; only those are looked up or encoded.
     """
 
     def __init__(self, path: str):
@@ -54,34 +61,60 @@ class Encoder:
         #: Texts that hold one of these literally are left to the library as a whole.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else -1
         self.known: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        if "\x01" in text or _SPACES.search(text):
-            return _CHUNK.findall(text)
-        text = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01")
-        if not _STOPS.search(text):
-            text = text.replace(".", "\x01.").replace(",", "\x01,")
-        return text.split("\x01")
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian integers."""
-        if any(t in text for t in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        pieces = self.pieces(text)
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            new = list({p for p, f in zip(pieces, found, strict=True) if f is None})
+    def pieces(self, texts: pa.Array) -> pa.ListArray:
+        """The pieces of each text; texts with white space in runs are cut one by one."""
+        hard = pc.or_(pc.match_substring(texts, _CUT), pc.match_substring_regex(texts, _SPACES))
+        for t in self.added:
+            hard = pc.or_(hard, pc.match_substring(texts, t))
+        cut = pc.replace_substring(pc.replace_substring(texts, " ", f"{_CUT} "), "\n", f"{_CUT}\n{_CUT}")
+        stops = pc.replace_substring(pc.replace_substring(cut, ".", f"{_CUT}."), ",", f"{_CUT},")
+        cut = pc.split_pattern(pc.if_else(pc.match_substring_regex(texts, _STOPS), cut, stops), _CUT)
+        if not pc.any(hard).as_py():
+            return cut
+        apart = [([t] if any(x in t for x in self.added) else _CHUNK.findall(t)) if h else None for t, h in zip(texts.to_pylist(), hard.to_pylist(), strict=True)]
+        return pc.if_else(hard, pa.array(apart, pa.list_(pa.string())), cut)
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many ids each has."""
+        cut = self.pieces(texts)
+        distinct = cut.flatten().dictionary_encode()
+        names = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, names))
+        new = [p for p, f in zip(names, found, strict=True) if f is None]
+        if new:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            own = {}
-            for i in range(0, len(new), 512):
-                part = new[i : i + 512]
-                for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    own[piece] = np.array(e.ids, self.kind).tobytes()
+            own = self.fresh(new)
             self.known.update((p, v) for p, v in own.items() if len(p) < 64)
-            found = [own[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
-        return b"".join(found)
+            found = [own[p] if f is None else f for p, f in zip(names, found, strict=True)]
+        ids, sizes = gathered(found, distinct.indices.to_numpy(), self.kind)
+        return ids, sums_by(sizes, pc.list_value_length(cut).to_numpy())
+
+    def fresh(self, pieces: list[str]) -> dict[str, bytes]:
+        """Encodings by the library.  Pieces without inner white space go many to a call, a line end between
+        them: it is a token of its own before and after such a piece, and tells them apart again."""
+        out, size = {}, np.dtype(self.kind).itemsize
+        plain = [p for p in pieces if _PLAIN(p) and not any(t in p for t in self.added)]
+        for i in range(0, len(plain), TOGETHER):
+            part = plain[i : i + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(ids == self.line)
+            if len(ends) == len(part) - 1:
+                raw, stops = ids.tobytes(), [*(ends * size).tolist(), len(ids) * size]
+                out.update((p, raw[a:b]) for p, a, b in zip(part, [0, *[e + size for e in stops[:-1]]], stops, strict=True))
+        rest = [p for p in pieces if p not in out]
+        for i in range(0, len(rest), TOGETHER):
+            part = rest[i : i + TOGETHER]
+            out.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        return out
+
+    def encode(self, text: str) -> bytes:
+        """The ids of one text as little-endian integers."""
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
 
 
 def encoder(path: str) -> Encoder:
@@ -117,7 +150,9 @@ def write_store(docs: DataFrame, folder: str, path: str) -> str:
     """Encodes rows (doc_id, text) and writes them in ascending doc_id order; returns the hash of the dictionary.
 
     Rows are ranged by doc_id and the hash of the text, so that no doc_id fills a task alone
-    unless its texts are equal too; a null doc_id comes first, a null text is empty.
+    unless its texts are equal too; a null doc_id comes first, a null text is empty.  Repeated rows
+    stay repeated, rows of one doc_id are ordered by the hash of their texts.  An empty table gives
+    a store without blocks.  A very long text is one frame, in a block of its own.  Other columns are not read.
     """
     spark = docs.sparkSession
     data = train_dictionary(docs, path)
@@ -134,14 +169,16 @@ def write_store(docs: DataFrame, folder: str, path: str) -> str:
         done, ids, counts, offsets, frames, at = 0, [], [], [], [], 0
 
         def block():
-            row = [[done], [ids], [counts], [offsets], [sha], [size], [b"".join(frames)]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string(), pa.int32(), pa.binary()]
-            names = ["first", "doc_ids", "counts", "offsets", "dictionary_sha256", "id_bytes", "payload"]
+            row = [[done], [min((i for i in ids if i is not None), default=None)], [max((i for i in ids if i is not None), default=None)], [ids], [counts], [offsets], [sha], [size], [b"".join(frames)]]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string(), pa.int32(), pa.binary()]
+            names = ["first", "least", "most", "doc_ids", "counts", "offsets", "dictionary_sha256", "id_bytes", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=names)
 
-        for batch in sliced(batches):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw = own.encode(text or "") + end
+        for batch in sliced(batches, 1024):
+            every, lengths = own.encode_all(pc.fill_null(batch.column("text"), ""))
+            stops = np.cumsum(lengths)
+            for doc, start, stop in zip(batch.column("doc_id").to_pylist(), (stops - lengths).tolist(), stops.tolist(), strict=True):
+                raw = every[start:stop].tobytes() + end
                 frame = zip_.compress(raw)
                 if ids and (at + len(frame) > BLOCK_BYTES or len(ids) >= BLOCK_DOCS):
                     yield block()
@@ -201,9 +238,12 @@ def _read(spark: SparkSession, folder: str, schema: str, made, kind) -> DataFram
 
 
 def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[list[int]]:
-    """The ids of one document, from its own frame alone (several lists where rows repeat the doc_id)."""
+    """The ids of one document, from its own frame alone (several lists where rows repeat the doc_id).
+
+    The scan gets the bounds of doc_id, so files and row groups of other documents are not read.
+    """
     data = bytes(spark.read.parquet(f"{folder}/dictionary").first()["data"])
-    table = spark.read.parquet(f"{folder}/blocks").where(F.array_contains("doc_ids", doc_id))
+    table = spark.read.parquet(f"{folder}/blocks").where((F.col("least") <= doc_id) & (F.col("most") >= doc_id)).where(F.array_contains("doc_ids", doc_id))
     at = table.select("id_bytes", "payload", F.explode(F.arrays_zip("doc_ids", "offsets", F.concat(F.slice("offsets", F.lit(2), F.size("offsets")), F.array(F.length("payload"))).alias("ends"))).alias("d"))
     at = at.where(F.col("d.doc_ids") == doc_id).select("id_bytes", F.expr("substring(payload, d.offsets + 1, d.ends - d.offsets)").alias("frame"))
     unzip = zstandard.ZstdDecompressor(**_dictionary(data))
