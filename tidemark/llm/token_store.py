@@ -29,7 +29,7 @@ BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 LEVEL = 3
 END_ID = 0
 #: Encodings of so many pieces of text are remembered by a Python worker.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: New pieces that the library gets in one call.
 TOGETHER = 64
 BLOCKS = "first bigint, least bigint, most bigint, doc_ids array<bigint>, counts array<int>, offsets array<int>, dictionary_sha256 string, id_bytes int, payload binary"
@@ -86,8 +86,8 @@ class Encoder:
         found = list(map(self.known.get, names))
         new = [p for p, f in zip(names, found, strict=True) if f is None]
         if new:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
+            if len(self.known) > REMEMBERED:  # pieces that this batch holds too are frequent ones
+                self.known = {p: f for p, f in zip(names, found, strict=True) if f is not None and len(p) < 64}
             own = self.fresh(new)
             self.known.update((p, v) for p, v in own.items() if len(p) < 64)
             found = [own[p] if f is None else f for p, f in zip(names, found, strict=True)]
@@ -174,7 +174,7 @@ def write_store(docs: DataFrame, folder: str, path: str) -> str:
             names = ["first", "least", "most", "doc_ids", "counts", "offsets", "dictionary_sha256", "id_bytes", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=names)
 
-        for batch in sliced(batches, 1024):
+        for batch in sliced(batches, 512):
             every, lengths = own.encode_all(pc.fill_null(batch.column("text"), ""))
             stops = np.cumsum(lengths)
             for doc, start, stop in zip(batch.column("doc_id").to_pylist(), (stops - lengths).tolist(), stops.tolist(), strict=True):
