@@ -329,19 +329,75 @@ def test_sentencepiece_equals_the_library(spark, awkward, nothing, model):
 
 
 def test_lattice_equals_merging(spark, model):
-    found = ["▁hello", "▁▁▁x", "abcabcabc", "▁thtionble", "ing", "▁été", "▁a"]
+    found = ["▁hello", "▁▁▁x", "abcabcabc", "▁thtionble", "ing", "▁été", "▁a", "▁" + "internationalization" * 2, "a" * 60]
     words_ = spark.createDataFrame([(w,) for w in found], "word string")
     got = {r["word"]: list(r["ids"]) for r in pieces.encoded_words(words_, model).collect()}
-    assert got == {w: model.merged(w) for w in found}
+    assert got == {w: model.cut(w) for w in found}
 
 
-@pytest.mark.parametrize("text", ["", " ", "  Hello  wörld\n x\tééé 日本", "a ", "\n\n b", "<s> <0x41> hi", " " * 40, "x" * 300, "🙂a\x01b  c"])
-def test_merging_equals_the_library(model, text):
+@pytest.mark.parametrize("seed", range(4))
+def test_merging_with_a_heap_is_the_same(model, seed):
+    rng = random.Random(seed)
+    for _ in range(200):
+        word = "".join(rng.choices("▁aeinstrthou", k=rng.randrange(1, 40)))
+        assert model.merged(word) == model.merged_long(word)
+
+
+HARD_TEXTS = ["", " ", "  Hello  wörld\n x\tééé 日本", "a ", "\n\n b", "<s> <0x41> hi", " " * 40, "x" * 300, "🙂a\x01b  c"]
+
+
+def test_merging_equals_the_library(model):
+    import pyarrow as pa
     import sentencepiece
 
     own = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    ids = pieces.Coder(model, {}).encode(text).tolist()
-    assert ids == own.encode(text) and model.decode(ids) == text == own.decode(ids)
+    coder = pieces.Coder(model, {})
+    ids = coder.encode(pa.array(HARD_TEXTS))
+    assert ids.to_pylist() == [own.encode(t) for t in HARD_TEXTS]
+    assert coder.decode(ids).to_pylist() == HARD_TEXTS == [own.decode(i) for i in ids.to_pylist()]
+    cut_short = [[], None, [1, 300, 2], [own.piece_to_id("<0xF0>"), own.piece_to_id("<0x41>")], [0, 5, 400]]
+    assert coder.decode(pa.array(cut_short, pa.list_(pa.int32()))).to_pylist() == [None if i is None else model.decode(i) for i in cut_short]
+
+
+def unigram_model(folder, **rules):
+    """A model of a few pieces written down by hand."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    kinds = proto.SentencePiece
+    rows = [("<unk>", 0, kinds.UNKNOWN), ("<s>", 0, kinds.CONTROL), ("</s>", 0, kinds.CONTROL), *((f"<0x{b:02X}>", 0, kinds.BYTE) for b in range(256))]
+    rows += [(p, s, kinds.NORMAL) for p, s in (("▁", -3), ("a", -2), ("b", -2.5), ("c", -4), ("ab", -3), ("bc", -4.5), ("abc", -7.5), ("▁a", -3.5), ("▁ab", -5), ("cab", -5.5), ("bb", -5))]
+    for piece, score, kind in rows:
+        proto.pieces.add(piece=piece, score=score, type=kind)
+    proto.trainer_spec.model_type = 1
+    proto.trainer_spec.byte_fallback = True
+    proto.normalizer_spec.name = "identity"
+    proto.normalizer_spec.add_dummy_prefix = True
+    proto.normalizer_spec.remove_extra_whitespaces = rules.get("remove_extra_whitespaces", False)
+    path = f"{folder}/own.model"
+    with open(path, "wb") as f:
+        f.write(proto.SerializeToString())
+    return path
+
+
+def test_unigram_models_take_the_best_path(spark, tmp_path):
+    import sentencepiece
+
+    path = unigram_model(tmp_path)
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(7)
+    texts = ["", " ", "abc", "é abz", *("".join(rng.choices("abc  \nz", k=rng.randrange(1, 30))) for _ in range(300))]
+    got = {r["doc_id"]: list(r["ids"]) for r in pieces.encode(table(spark, texts), path).collect()}
+    assert got == {i: own.encode(t) for i, t in enumerate(texts)}
+    model_ = pieces.Model(path)
+    words_ = ["".join(rng.choices("abc▁", k=rng.randrange(1, 12))) for _ in range(200)]
+    lattice = {r["word"]: list(r["ids"]) for r in pieces.encoded_words(spark.createDataFrame([(w,) for w in sorted(set(words_))], "word string"), model_).collect()}
+    assert lattice == {w: model_.cut(w) for w in set(words_)}
+
+
+def test_models_that_would_come_out_wrong_are_refused(tmp_path):
+    with pytest.raises(ValueError, match="normalises"):
+        pieces.Model(unigram_model(tmp_path, remove_extra_whitespaces=True))
 
 
 # --- 8 fingerprints
