@@ -87,11 +87,13 @@ def plain_license(text):
     at = sorted(i for v in places.values() for i in v)
     base = sorted(k for k, v in places.items() if v)
     more, best = set(), 0.0
-    for line in (text or "").split("\n"):
-        own = set(words(line))
-        for label, t in license_scan.TEMPLATES:
-            k = set(license_scan.template_words(t))
-            if len(own & k) >= max(1, -(-8 * len(k) // 10)):
+    for label, t, keys, bars in license_scan.TEMPLATES:
+        k, size = set(words(t)), license_scan.LEAST_REACH
+        while size < len(words(t)):
+            size *= 2
+        for start in range(0, max(len(w) - size, 1), size):
+            own = set(w[start : start + 2 * size])
+            if len(own & k) >= max(1, -(-8 * len(k) // 10)) and own >= set(keys) and not own & set(bars):
                 more.add(label)
                 best = max(best, len(own & k) / len(k))
     return len(w), len(at), at[0] if at else None, at[-1] if at else None, ",".join(base), ",".join(sorted({*base, *more})), 1.0 if at else best
@@ -110,6 +112,21 @@ def test_license_scan(spark, awkward, nothing):
     assert license_scan.license_scan(nothing).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"), ("Licensed under the GNU Lesser General Public License, version 3", "lgpl-3"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "lgpl-3"), ("This work is licensed under the GNU General Public License, version 2.", ""),
+        ("This work is licensed\nunder the GNU\nGeneral Public License,\nversion 3.", "gpl-3"), ("Released under the BSD License", ""), ("Licensed under CC BY-NC-SA 4.0", "cc-by-nc"),
+        (PROSE * 300 + "This work is licensed under the GNU General Public License, version 3. " + PROSE * 300, "gpl-3"),
+        ("licensed " + PROSE * 3 + "gnu " + PROSE * 3 + "general public " + PROSE * 3 + "license version 3 this work is under the", ""),
+        ("Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles, to deal in the Software without restriction", "mit"),
+    ],
+)
+def test_licences_are_told_apart(spark, text, want):
+    assert license_scan.license_scan(table(spark, [text])).first()["labels"] == want
+
+
 # --- 3 near-duplicates
 
 
