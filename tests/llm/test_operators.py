@@ -78,6 +78,43 @@ def test_url_mining(spark):
     assert url_filter.url_filter(pages.limit(0), labelled).count() == 0
 
 
+def test_rules_of_few_pages_are_not_mined(spark):
+    rows = [(f"http://a{i}.org/en/{i}", False) for i in range(40)] + [("http://x.biz/q", True)] * 19
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    assert url_filter.mined_rules(labelled, 0.005, 0.8).count() == 0
+    assert {tuple(r["tokens"]) for r in url_filter.mined_rules(labelled.union(labelled.where("blocked").limit(1)), 0.005, 0.8).collect()} == {("h:biz",), ("h:x",), ("p:q",)}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mining_against_all_combinations(spark, seed):
+    from itertools import combinations
+
+    rng = random.Random(seed)
+    rows = [(f"http://{rng.choice('abc')}.{rng.choice(['org', 'biz'])}/{rng.choice('pq')}/{rng.choice('xy')}", rng.random() < 0.5) for _ in range(120)]
+    rows = [(u, b or (".biz/" in u and "/p/" in u)) for u, b in rows]
+    baskets = [({"h:" + u.split("/")[2].split(".")[0], "h:" + u.split("/")[2].split(".")[1], "p:" + u.split("/")[3], "p:" + u.split("/")[4]}, b) for u, b in rows]
+    found = {}
+    for k in range(1, 5):
+        for items in combinations(sorted(set().union(*(x for x, _ in baskets))), k):
+            held = [b for x, b in baskets if x >= set(items)]
+            if sum(held) >= 10 and sum(held) / len(held) >= 0.75:
+                found[items] = sum(held) / len(held)
+    want = {x for x, c in found.items() if not any(set(y) < set(x) and d >= c for y, d in found.items())}
+    got = url_filter.mined_rules(spark.createDataFrame(rows, "url string, blocked boolean"), 0.005, 0.75, 10)
+    assert {tuple(r["tokens"]) for r in got.collect()} == want and want
+
+
+def test_many_fixed_rules_are_joined(spark):
+    rules = [*url_filter.RULES, *(("block", f"h{i}.net", "/x/") for i in range(200)), ("allow", "h3.net", "/x/y")]
+    urls = ["http://h3.net/x/y/z", "http://a.h3.net/x/q", "http://h3.net/q", "http://b.org/fr/", "no", None, "", "http://q.com/", "http://h7.net/x/y", "http://h7.net/x/y"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    none = spark.createDataFrame([], "url string, blocked boolean")
+    got = url_filter.url_filter(pages, none, rules=rules).collect()
+    hosts = pages.withColumns(dict(zip(("host", "path"), url_filter.host_and_path(F.col("url")), strict=True)))
+    want = {r["page_id"]: r["f"] and r["f"]["rule"] for r in hosts.select("page_id", url_filter.fixed_verdict(F.col("host"), F.col("path"), rules).alias("f")).collect()}
+    assert len(got) == len(urls) and {r["page_id"]: r["rule"] for r in got} == want
+
+
 # --- 2 license scans
 
 
@@ -203,6 +240,18 @@ def test_one_of_each_goes_by_row(spark):
     assert len([t for d, t in got if d == 3]) == 1
 
 
+def test_many_near_copies_without_number(spark):
+    """Pairs stay in proportion to rows: 2,000 near copies under the null doc_id, some more under one number."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    copies = lambda n: [" ".join([*base[: (k := rng.randrange(60))], f"x{rng.randrange(500)}", *base[k + 1 :]]) for _ in range(n)]
+    rows = [(None, t) for t in copies(2000)] + [(7, t) for t in copies(200)] + [(9, "some other text of its own")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = near_dup.near_duplicates(docs).groupBy("doc_id", "component_id").count().collect()
+    assert {(r["doc_id"], r["component_id"], r["count"]) for r in got} == {(None, 7, 2000), (7, 7, 200), (9, 9, 1)}
+    assert sorted(r["doc_id"] for r in near_dup.one_of_each(docs).collect()) == [7, 9]
+
+
 def test_lower_thresholds_lose_no_more_pairs():
     assert near_dup.banding(85) == (near_dup.BUNDLES, near_dup.ROWS)
     for percent in (50, 70, 80, 85, 90):
@@ -551,6 +600,14 @@ def test_language_held_out_accuracy(spark, awkward, nothing):
     assert lang_id.language_of(nothing, known).count() == 0
 
 
+def test_many_languages_are_judged_in_parts(spark, awkward, monkeypatch):
+    known = lang_id.learn(spark.read.parquet(f"{SF}/documents.parquet"))
+    judged = lambda: sorted(map(tuple, lang_id.language_of(awkward, known).collect()), key=str)
+    want = judged()
+    monkeypatch.setattr(lang_id, "TOGETHER", 1)
+    assert judged() == want and len(known) > 2
+
+
 # --- pipeline and queries
 
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_folder, ship, staged  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -32,16 +30,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per session, so that tasks can import it."""
-    context = spark.sparkContext
-    if not getattr(context, "_tidemark_shipped", False):
-        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        context.addPyFile(shutil.make_archive(f"{folder}/tidemark", "zip", os.path.dirname(package), os.path.basename(package)))
-        context._tidemark_shipped = True
-
-
 def sliced(batches, rows: int = 256):
     """Arrow batches in slices of few rows, so that a task holds little text as Python objects."""
     for batch in batches:
@@ -77,26 +65,6 @@ def literal_rows(spark: SparkSession, rows: Sequence[dict], schema: str) -> Data
     return table.select(*[F.col(p.strip().split(" ")[0]).cast(p.strip().split(" ", 1)[1]) for p in schema.split(",")])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where that setting is absent (tests, one machine) a temporary folder is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, so that its rows and their
-    order stay fixed and a lost executor costs no recomputation."""
-    path = path or shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a staged table by way of the file system that its path names."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

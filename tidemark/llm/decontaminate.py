@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, ship, sliced, UPPER, WORD_BYTES
+from .common import LOWER, ship, sliced, staged, UPPER, WORD_BYTES
 
 #: Benchmark text of at most so many bytes is searched for, and broadcast, at a time.
 BLOCK_BYTES = 16 << 20
@@ -35,11 +35,11 @@ class Tables:
     def __init__(self, length: int, windows: dict[tuple[int, ...], tuple[str, ...]]):
         self.length, self.block = length, min(2, length)
         self.shift = np.full(1 << TABLE_BITS, length - self.block + 1, np.uint16)
-        self.bucket: dict[int, list] = defaultdict(list)
+        self.bucket: dict[int, dict] = defaultdict(dict)
         for window, items in windows.items():
             codes = self.codes(np.array(window, np.int64))
             np.minimum.at(self.shift, self.slots(codes), np.arange(len(codes) - 1, -1, -1, dtype=np.uint16))
-            self.bucket[int(codes[-1])].append((window, items))
+            self.bucket[int(codes[-1])][window] = items
 
     def codes(self, ids: np.ndarray) -> np.ndarray:
         return ids if self.block == 1 else (ids[:-1] << 31) + ids[1:]
@@ -61,9 +61,11 @@ class Tables:
             if skip:
                 at += skip
                 continue
-            for window, owners in self.bucket.get(int(codes[at]), ()):
+            bucket = self.bucket.get(int(codes[at]))
+            if bucket:
                 start = at - back
-                if tuple(ids[start : start + m]) == window:
+                owners = bucket.get(tuple(ids[start : start + m].tolist()))
+                if owners:
                     hit[start : start + m] = True
                     items.update(owners)
             at += 1
@@ -93,14 +95,14 @@ class Windows:
         return hit, items
 
 
-def _blocks(benchmark: DataFrame, length: int, block_bytes: int, item: str, text: str) -> Iterator[Windows]:
-    """The benchmark in blocks of bounded size, whatever its own size."""
+def _blocks(benchmark: DataFrame, length: int, block_bytes: int, item: str, text: str) -> Iterator[tuple[Windows, bool]]:
+    """The benchmark in blocks of bounded size, whatever its own size, and whether each is the last; only one is built at a time."""
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else rows
-        yield Windows([(r["item"], r["text"].encode()) for r in part.collect()], length)
+        yield Windows([(r["item"], r["text"].encode()) for r in part.collect()], length), k == n - 1
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
@@ -116,16 +118,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, block
     """One row per document: words, words hit, items found, and the spans [start, end) hit.
 
     A null, empty or wordless text has no words and no hits; repeated rows stay repeated; a
-    benchmark without words hits nothing.  Items count by their id; a null id reads ``null``.
-    Only key and text are read.  A benchmark over ``block_bytes`` is searched block by block,
-    each document carrying its hits along.
+    benchmark without words hits nothing, an empty table of documents gives no rows.  Items count by
+    their id; a null id reads ``null``, and items that share an id are one.  Very long texts are searched whole.
+    Only key and text are read, whatever other columns are called.  A benchmark over ``block_bytes`` is
+    searched block by block: the driver holds one block, and documents are written with their hits in between.
     """
     spark = docs.sparkSession
     ship(spark)
     state = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.expr("array() :: array<struct<start:int,end:int>>").alias("spans"), F.expr("array() :: array<string>").alias("items"))
-    blocks = list(_blocks(benchmark, length, block_bytes, item, item_text))
-    for k, windows in enumerate(blocks):
-        shared, final = spark.sparkContext.broadcast(windows), k == len(blocks) - 1
+    for windows, final in _blocks(benchmark, length, block_bytes, item, item_text):
+        shared = spark.sparkContext.broadcast(windows)
 
         def scan(batches, shared=shared, final=final):
             windows = shared.value
@@ -148,13 +150,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, block
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
         state = state.mapInArrow(scan, RESULT if final else state.schema)
+        if not final:
+            state = staged(state)
+            shared.unpersist()
     return state
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
-    """The documents in which no benchmark window occurs, with all their columns."""
+    """The documents in which no benchmark window occurs, with all their columns; those without words stay, and so do repeated rows."""
     ship(docs.sparkSession)
-    for windows in _blocks(benchmark, length, block_bytes, "item_id", "text"):
+    for windows, final in _blocks(benchmark, length, block_bytes, "item_id", "text"):
         shared = docs.sparkSession.sparkContext.broadcast(windows)
 
         def clean(batches, shared=shared):
@@ -163,6 +168,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
+        if not final:
+            docs = staged(docs)
+            shared.unpersist()
     return docs
 
 

@@ -268,7 +268,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
     ``component_id`` is the smallest doc_id that links reach, ``kept`` whether it is the own one.
     A null, empty or wordless text has no shingles and links with nothing; a null doc_id takes
-    part but is never a component_id nor kept.  Repeated rows stay repeated.  Only key and text are read.
+    part but is never a component_id nor kept.  Repeated rows stay repeated, rows that tie for the smallest
+    doc_id are all kept, an empty table gives no rows.  Very long texts are compared whole.  Only key and text
+    are read, whatever other columns are called.
     """
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
     return grouped(docs, percent, size, key, text).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "n_equal")
@@ -278,7 +280,8 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, ke
     """The documents without near-duplicates: of each component one row with all columns, that of its smallest doc_id and,
     where rows share it, of the first text by hash.
 
-    Rows that repeat both doc_id and text are one document.  A null doc_id comes after all others.
+    Rows that repeat both doc_id and text are one document.  A null doc_id comes after all others.  Texts
+    without shingles link with nothing and stay; an empty table gives no rows; very long texts are compared whole.
     """
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     gone = grouped(docs, percent, size, key, text).where(F.col("set_key").isNotNull() & ~is_first).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_text")).distinct()
