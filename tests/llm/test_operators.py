@@ -243,8 +243,8 @@ def test_one_of_each_goes_by_row(spark):
 def test_many_near_copies_without_number(spark):
     """Pairs stay in proportion to rows: 2,000 near copies under the null doc_id, some more under one number."""
     rng = random.Random(8)
-    base = [f"w{i}" for i in range(60)]
-    copies = lambda n: [" ".join([*base[: (k := rng.randrange(60))], f"x{rng.randrange(500)}", *base[k + 1 :]]) for _ in range(n)]
+    base = [f"w{i}" for i in range(200)]
+    copies = lambda n: [" ".join([*base[: (k := rng.randrange(200))], f"x{rng.randrange(500)}", *base[k + 1 :]]) for _ in range(n)]
     rows = [(None, t) for t in copies(2000)] + [(7, t) for t in copies(200)] + [(9, "some other text of its own")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = near_dup.near_duplicates(docs).groupBy("doc_id", "component_id").count().collect()
