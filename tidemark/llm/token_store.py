@@ -84,32 +84,34 @@ class Encoder:
         distinct = cut.flatten().dictionary_encode()
         names = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.known.get, names))
-        new = [p for p, f in zip(names, found, strict=True) if f is None]
-        if new:
+        if None in found:
             if len(self.known) > REMEMBERED:  # pieces that this batch holds too are frequent ones
                 self.known = {p: f for p, f in zip(names, found, strict=True) if f is not None and len(p) < 64}
-            own = self.fresh(new)
-            self.known.update((p, v) for p, v in own.items() if len(p) < 64)
-            found = [own[p] if f is None else f for p, f in zip(names, found, strict=True)]
+            places = [i for i, f in enumerate(found) if f is None]
+            new = [names[i] for i in places]
+            made = self.fresh(new)
+            for i, f in zip(places, made, strict=True):
+                found[i] = f
+            self.known.update(zip(new, made, strict=True) if max(map(len, new)) < 64 else ((p, f) for p, f in zip(new, made, strict=True) if len(p) < 64))
         ids, sizes = gathered(found, distinct.indices.to_numpy(), self.kind)
         return ids, sums_by(sizes, pc.list_value_length(cut).to_numpy())
 
-    def fresh(self, pieces: list[str]) -> dict[str, bytes]:
+    def fresh(self, pieces: list[str]) -> list[bytes]:
         """Encodings by the library.  Pieces without inner white space go many to a call, a line end between
         them: it is a token of its own before and after such a piece, and tells them apart again."""
-        out, size = {}, np.dtype(self.kind).itemsize
-        plain = [p for p in pieces if _PLAIN(p) and not any(t in p for t in self.added)]
-        for i in range(0, len(plain), TOGETHER):
-            part = plain[i : i + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.flatnonzero(ids == self.line)
-            if len(ends) == len(part) - 1:
-                raw, stops = ids.tobytes(), [*(ends * size).tolist(), len(ids) * size]
-                out.update((p, raw[a:b]) for p, a, b in zip(part, [0, *[e + size for e in stops[:-1]]], stops, strict=True))
-        rest = [p for p in pieces if p not in out]
-        for i in range(0, len(rest), TOGETHER):
-            part = rest[i : i + TOGETHER]
-            out.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        out: list[bytes] = []
+        for i in range(0, len(pieces), TOGETHER):
+            part = pieces[i : i + TOGETHER]
+            joined = "\n".join(part)
+            if all(map(_PLAIN, part)) and not any(t in joined for t in self.added):
+                ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind)
+                ends = np.flatnonzero(ids == self.line)
+                if len(ends) == len(part) - 1:
+                    raw, size = ids.tobytes(), ids.itemsize
+                    starts, stops = [0, *((ends + 1) * size).tolist()], [*(ends * size).tolist(), len(raw)]
+                    out += [raw[a:b] for a, b in zip(starts, stops, strict=True)]
+                    continue
+            out += [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
         return out
 
     def encode(self, text: str) -> bytes:
