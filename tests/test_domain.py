@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import classify, exposure, models, path, regress, shape, spatial
+from tidemark.operators import classify, exposure, models, path, regress, relational, shape, spatial
 from tidemark.operators import windows as win
 from tidemark.sources import tables
 
@@ -219,3 +219,77 @@ def test_refresh_takes_new_files_once(spark, tmp_path):
     rows.withColumn("v", F.lit("again")).write.mode("append").parquet(source)
     refresh(spark, source, rows.schema, target, ["k"], lambda df: df, str(tmp_path / "cp")).awaitTermination(60)
     assert sorted(map(tuple, spark.read.parquet(target).collect())) == [(1, "a"), (2, "b")]
+
+
+def test_path_tests_and_outcomes(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(12):
+        for t in range(8):
+            rows += [(k, t, "ref", 0.5 * t + rng.normal()), (k, t, "obs", 0.3 * t + rng.normal()), (k, t, "best", 3.0 if k < 3 else -0.4 * t * (k % 3) + rng.normal())]
+    df = spark.createDataFrame([(int(k), int(t), a, float(y)) for k, t, a, y in rows], "k int, yr int, arm string, y double")
+    got = {r["k"]: r for r in regress.path_tests(df, ["k"]).withColumn("outcome", classify.path_outcome_of_tests(F.col("best_ref_z"), F.col("best_obs_z"))).collect()}
+    assert len(got) == 12
+    for k in range(12):
+        arms = {a: np.array([(t, y) for i, t, b, y in rows if i == k and b == a]) for a in ("ref", "obs", "best")}
+        used = ("ref", "obs") if k < 3 else ("ref", "obs", "best")
+        fits = {a: np.polyfit(arms[a][:, 0], arms[a][:, 1], 1) for a in used}
+        var = sum(((arms[a][:, 1] - np.polyval(fits[a], arms[a][:, 0])) ** 2).sum() for a in used) / (8 * len(used))
+        sxx = ((np.arange(8) - 3.5) ** 2).sum()
+        obs, ref = fits["obs"][0] - fits["ref"][0], fits["ref"][0]
+        if k < 3:
+            best, z1, z2 = -ref, -ref / np.sqrt(var / sxx), (-ref - obs) / np.sqrt(2 * var / sxx)
+        else:
+            best = fits["best"][0] - ref
+            z1, z2 = best / np.sqrt(2 * var / sxx), (best - obs) / np.sqrt(2 * var / sxx)
+        r = got[k]
+        assert r["refugium"] == (k < 3)
+        assert [r["obs_dev"], r["best_dev"], r["best_ref_z"], r["best_obs_z"]] == pytest.approx([obs, best, z1, z2])
+        p = lambda z: 0.5 * math.erfc(-z / math.sqrt(2))
+        assert r["outcome"] == ("none available" if p(z1) >= 0.05 else "available not followed" if p(z2) < 0.05 else "followed")
+
+
+def test_predicted_curve(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=400)
+    yes = rng.random(400) < 1 / (1 + np.exp(-(0.3 + x - 0.5 * x * x)))
+    df = spark.createDataFrame([(float(a), bool(b)) for a, b in zip(x, yes)], "x double, yes boolean")
+    terms = lambda c: [F.lit(1.0), c, c * c]
+    beta, cov, _ = models.logistic_sums(df, terms(F.col("x")), F.col("yes"))
+    got = models.logistic_curve(df, "x", terms, beta, cov).orderBy("x").toPandas()
+    at = np.linspace(x.min(), x.max(), 80)
+    f = np.column_stack([np.ones(80), at, at * at])
+    eta, se = f @ beta, np.sqrt(np.einsum("ij,jk,ik->i", f, cov, f))
+    curve = lambda v: 1 / (1 + np.exp(-v))
+    for name, want in (("x", at), ("p", curve(eta)), ("se", curve(eta) * (1 - curve(eta)) * se), ("lower", curve(eta - 1.959963984540054 * se)), ("upper", curve(eta + 1.959963984540054 * se))):
+        assert np.allclose(got[name], want, atol=1e-9)
+
+
+def test_type3_of_a_saturated_model(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(rng.choice(3, p=(0.6, 0.3, 0.1) if a else (0.2, 0.3, 0.5))), float(a)) for a in rng.integers(0, 2, 300)]
+    df = spark.createDataFrame(rows, "label double, a double")
+    loglik = lambda values: sum(values.count(v) * math.log(values.count(v) / len(values)) for v in set(values))
+    want = 2 * (sum(loglik([y for y, b in rows if b == a]) for a in (0.0, 1.0)) - loglik([y for y, _ in rows]))
+    ((term, chi2, dof, p),) = models.type3(df, "label", ["a"])
+    assert (term, dof) == ("a", 2) and chi2 == pytest.approx(want, rel=1e-3) and p == pytest.approx(math.exp(-chi2 / 2))
+
+
+def test_families_without_a_correlated_fit_say_so(spark):
+    grid = spark.createDataFrame([("a", "ou", "NULL", "nbinom2"), ("b", "no_autocor", "NULL", "nbinom2")], "spec string, autocor string, trans string, family string")
+    df = spark.createDataFrame([(1, t, float(3 + t % 3), float(t)) for t in range(8)], "k int, yr int, y double, t_coord double")
+    got = {r["spec"]: r for r in models.fitted(df, ["k"], grid).collect()}
+    assert got["a"]["aic"] is None and "correlated" in got["a"]["warning"] and got["b"]["aic"] is not None
+
+
+@pytest.mark.parametrize("n, length", [(1, 3), (7, 3), (1000, 10), (5, 1)])
+def test_spread_rows(spark, n, length):
+    got = relational.spread(spark.range(n).repartition(5), [F.col("id")], n, length).collect()
+    want = sorted({round(1 + (n - 1) * i / (length - 1)) for i in range(length)}) if length > 1 else [1]
+    assert sorted((r["place"], r["id"]) for r in got) == [(p, p - 1) for p in want]
+
+
+def test_a_population_that_never_moved_stays(spark):
+    visits = spark.createDataFrame([(1, "s", y, 5) for y in range(4)], "region int, species string, yr int, cell bigint")
+    cells = spark.createDataFrame([(1, c, float(c), 0.0, y, float(c + y)) for c in (4, 5, 6) for y in range(4) if (c, y) != (5, 2)], "region int, cell bigint, lon double, lat double, yr int, exposure double")
+    assert [(r["yr"], r["cell"], r["drop_reason"]) for r in path.best_paths(visits, cells).orderBy("yr").collect()] == [(y, 5, None) for y in range(4)]

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ALPHA = 0.05
+#: The z below which pnorm(z) is below ALPHA.
+ONE_SIDED = -1.6448536269514722
 
 
 def response(r: Column, d: Column, i: Column, p_r: Column, p_d: Column, p_i: Column) -> Column:
@@ -58,6 +60,12 @@ def path_outcome(p_best_ref: Column, p_best_obs: Column) -> Column:
     return F.when(p_best_ref >= ALPHA, "none available").when(p_best_obs < ALPHA, "available not followed").when(p_best_ref.isNotNull(), "followed")
 
 
+def path_outcome_of_tests(best_ref_z: Column, best_obs_z: Column) -> Column:
+    """The same from the one-sided tests' z: P = pnorm(z) is below ALPHA where z is below ONE_SIDED."""
+    p = lambda z: F.when(z < ONE_SIDED, 0.0).when(z >= ONE_SIDED, 1.0)
+    return path_outcome(p(best_ref_z), p(best_obs_z))
+
+
 def coverage_code(flags: dict[str, Column]) -> Column:
     """"All" where every flag holds, else the letters of those that do."""
     held = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in flags.items()]), lambda x: x.isNotNull())

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,7 +85,8 @@ def negative_binomial(x: np.ndarray, y: np.ndarray) -> dict:
 def fitted(df: DataFrame, keys: Sequence[str], specs: DataFrame, x: str = "yr", y: str = "y", t: str = "t_coord", least: int = 4) -> DataFrame:
     """Every model of the grid (spec, autocor, trans, family) for every group.
 
-    One row each: estimate, se, p_value, aic, and a warning instead of them where a fit failed.
+    One row each: estimate, se, p_value, aic, and a warning instead of them where a fit failed, or where the
+    family has no fit with correlated residuals (nbinom2).
     """
     types = dict(df.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", spec string, n bigint, estimate double, se double, p_value double, aic double, warning string"
@@ -98,6 +102,8 @@ def fitted(df: DataFrame, keys: Sequence[str], specs: DataFrame, x: str = "yr",
             if row.trans == "Standardize":
                 a = (a - a.mean()) / a.std(ddof=1)
                 b = (b - b.mean()) / b.std(ddof=1) if row.family == "gaussian" else b
+            if row.family == "nbinom2" and row.autocor != "no_autocor":
+                raise ValueError("nbinom2 is not fitted with correlated residuals")
             if row.family == "nbinom2":
                 out.update(negative_binomial(a, np.round(b)))
             else:
@@ -142,6 +148,48 @@ def logistic_sums(df: DataFrame, features: Sequence[Column], yes: Column, steps:
     return beta, np.linalg.inv(info + 1e-10 * np.eye(k)), float(s["ll"])
 
 
+def logistic_curve(df: DataFrame, x: str, terms, beta: np.ndarray, cov: np.ndarray, points: int = 80, z: float = 1.959963984540054) -> DataFrame:
+    """Predictions at evenly spaced points between the least and the largest x, with delta-method intervals.
+
+    ``terms`` gives the features of x.  The interval is that of the linear predictor, eta +- z * sqrt(f' cov f), turned
+    into probabilities.  Returns x, p, se (of p), lower, upper.
+    """
+    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+    at = ends.select(F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"), "lo", "hi").select((F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1)).alias(x))
+    f = [t.cast("double") for t in terms(F.col(x))]
+    eta, var = F.lit(0.0), F.lit(0.0)
+    for i, a in enumerate(f):
+        eta = eta + a * float(beta[i])
+        for j, b in enumerate(f):
+            var = var + a * b * float(cov[i, j])
+    curve = lambda v: 1 / (1 + F.exp(-v))
+    rows = at.select(x, eta.alias("_eta"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("_se"))
+    p = curve(F.col("_eta"))
+    return rows.select(x, p.alias("p"), (p * (1 - p) * F.col("_se")).alias("se"), curve(F.col("_eta") - z * F.col("_se")).alias("lower"), curve(F.col("_eta") + z * F.col("_se")).alias("upper"))
+
+
+def multinomial_deviance(rows: DataFrame, label: str, features: Sequence[str]) -> float:
+    """-2 log-likelihood of a multinomial logit of the label on the features, fitted by Spark's own optimiser."""
+    if not features:
+        n = rows.groupBy(label).agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy()))  # one row a class
+        return float(-2 * n.agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("all"))).alias("ll")).first()["ll"])
+    made = VectorAssembler(inputCols=list(features), outputCol="_features").transform(rows)
+    model = LogisticRegression(family="multinomial", featuresCol="_features", labelCol=label, probabilityCol="_p", maxIter=200, tol=1e-10).fit(made)
+    own = F.get(vector_to_array(F.col("_p")), F.col(label).cast("int"))
+    return float(-2 * model.transform(made).agg(F.sum(F.log(own)).alias("ll")).first()["ll"])
+
+
+def type3(rows: DataFrame, label: str, features: Sequence[str]) -> list[tuple[str, float, int, float]]:
+    """Type-3 tests of a multinomial logit: (term, chi2, df, p) of leaving out each term alone."""
+    classes = rows.select(label).distinct().count()
+    full = multinomial_deviance(rows, label, features)
+    out = []
+    for f in features:
+        chi2 = max(0.0, multinomial_deviance(rows, label, [g for g in features if g != f]) - full)
+        out.append((f, chi2, classes - 1, chi2_tail(chi2, classes - 1)))
+    return out
+
+
 def chi2_tail(x: float, k: int) -> float:
     """P(chi2_k > x), by the series of the incomplete gamma function or its continued fraction."""
     a, x = k / 2, x / 2

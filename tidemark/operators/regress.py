@@ -102,6 +102,31 @@ def three_arms(df: DataFrame, keys: Sequence[str], names: Sequence[str] = ("ref"
     )
 
 
+def path_tests(df: DataFrame, keys: Sequence[str], names: Sequence[str] = ("ref", "obs", "best"), x: str = "yr", y: str = "y") -> DataFrame:
+    """The tests of a best path against the reference and the observed arm: obs_dev, best_dev, refugium, and the z of best < ref and best < obs.
+
+    Where the best arm is constant (a refugium) no slope of it is fitted: its deviation is the reference's slope
+    the other way, tested with the errors of the two other arms.
+    """
+    ref, obs, best = names
+    still = df.where(F.col("arm") == best).groupBy(*keys).agg((F.min(y) == F.max(y)).alias("refugium"))
+    s = arms(df, keys, "arm", (ref, obs), x, y).join(still, list(keys))
+    c = lambda k, a: F.col(f"{k}_{a}")
+    slope = lambda a: c("sxy", a) / c("sxx", a)
+    rss = lambda a: F.greatest(c("syy", a) - c("sxy", a) * c("sxy", a) / c("sxx", a), F.lit(0.0))
+    var = (rss(ref) + rss(obs)) / (c("n", ref) + c("n", obs))
+    ref_se, obs_se = F.sqrt(var / c("sxx", ref)), F.sqrt(var / c("sxx", ref) + var / c("sxx", obs))
+    none = F.lit(0.0)
+    kept = s.select(*keys, "refugium", (slope(obs) - slope(ref)).alias("_obs"), (-slope(ref)).alias("_away"), F.nullif(ref_se, none).alias("_ref_se"), F.nullif(obs_se, none).alias("_obs_se"))
+    out = kept.join(three_arms(df, keys, names, x, y), list(keys), "left")
+    pick = lambda a, b: F.when(F.col("refugium"), a).otherwise(b)
+    return out.select(
+        *keys, "refugium", F.col("_obs").alias("obs_dev"), pick(F.col("_away"), F.col("best_dev")).alias("best_dev"),
+        pick(F.col("_away") / F.col("_ref_se"), F.col("best_ref_z")).alias("best_ref_z"),
+        pick((F.col("_away") - F.col("_obs")) / F.coalesce("_obs_se", "_ref_se"), F.col("best_obs_z")).alias("best_obs_z"),
+    )
+
+
 def mean_slope(slopes: DataFrame, keys: Sequence[str], slope: str = "slope") -> DataFrame:
     """The mean of slopes, its standard error sd / sqrt(n), and n."""
     return slopes.groupBy(*keys).agg(F.avg(slope).alias("mean_slope"), (F.stddev_samp(slope) / F.sqrt(F.count(slope))).alias("se"), F.count(slope).alias("n"))

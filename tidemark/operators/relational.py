@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 
 def rename_existing(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     """Renames the columns that are there."""
@@ -33,9 +35,21 @@ def at_least(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
 
 
 def spread(df: DataFrame, order: Sequence[Column], total: int, length: int) -> DataFrame:
-    """Rows 1..total in order at evenly spread places, rounded half to even, both ends included."""
+    """Rows 1..total in order at evenly spread places, rounded half to even, both ends included.
+
+    Rows are ranged and sorted once and written; the offsets of the partitions, one row each, number them.
+    """
+    spark = df.sparkSession
     places = sorted({round(1 + (total - 1) * i / (length - 1)) for i in range(length)}) if length > 1 else [1]
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*order))).where(F.col("place").isin(places))
+    at = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    at = at.withColumn("_part", F.shiftright("_at", 33))
+    starts, before = [], 0
+    for r in at.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():
+        starts.append((r["_part"], before))
+        before += r["n"]
+    offsets = spark.createDataFrame(starts, "_part bigint, _start bigint")
+    out = at.join(F.broadcast(offsets), "_part").withColumn("place", (F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int"))
+    return out.where(F.col("place").isin(places)).drop("_at", "_part", "_start")
 
 
 def completed(df: DataFrame, rows: DataFrame, columns: DataFrame, value: str) -> DataFrame:

@@ -162,9 +162,9 @@ def _(spark, d):
     return o.where("k > 1").select("region", "species", "yr")
 
 
-@query("p14_spread_subset", "SELECT c_custkey, CAST(place AS INTEGER) AS place FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS place FROM (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey <= 100)) WHERE place IN (SELECT CAST(round_even(1 + (n - 1) * i / 9.0, 0) AS BIGINT) FROM (SELECT count(DISTINCT c_custkey) AS n FROM customer WHERE c_custkey <= 100), range(10) t(i))")
+@query("p14_spread_subset", "SELECT c_custkey, CAST(place AS INTEGER) AS place FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS place FROM (SELECT DISTINCT c_custkey FROM customer)) WHERE place IN (SELECT CAST(round_even(1 + (n - 1) * i / 9.0, 0) AS BIGINT) FROM (SELECT count(DISTINCT c_custkey) AS n FROM customer), range(10) t(i))")
 def _(spark, d):
-    c = read(spark, d, "customer").where("c_custkey <= 100").select("c_custkey").distinct()
+    c = read(spark, d, "customer").select("c_custkey").distinct()
     return rel.spread(c, [F.col("c_custkey")], c.count(), 10)
 
 
@@ -463,9 +463,9 @@ def _(spark, d):
 # --- sorting, sets, reshaping
 
 
-@query("t01_t02_ordered", "SELECT c_custkey, c_acctbal FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey LIMIT 50")
+@query("t01_t02_ordered", "SELECT c_custkey, c_acctbal FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey")
 def _(spark, d):
-    return read(spark, d, "customer").orderBy(F.abs("c_acctbal").desc(), "c_custkey").select("c_custkey", "c_acctbal").limit(50)
+    return read(spark, d, "customer").orderBy(F.abs("c_acctbal").desc(), "c_custkey").select("c_custkey", "c_acctbal")
 
 
 @query("t03_best_of_each", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice NULLS LAST, o_orderkey) = 1")

@@ -167,7 +167,7 @@ def _(spark, d):
 
 
 _SERIES = {
-    "cube": "SELECT CAST(floor(lon / 5) AS BIGINT) AS cx, CAST(floor(lat / 5) AS BIGINT) AS cy, day, avg(temp) AS value FROM survey JOIN sites USING (site, region) WHERE yr = 1996 GROUP BY ALL",
+    "cube": "SELECT CAST(floor(lon / 5) AS BIGINT) AS cx, CAST(floor(lat / 5) AS BIGINT) AS cy, day, avg(temp) AS value FROM survey JOIN sites USING (site, region) GROUP BY ALL",
     "cells": "SELECT site, CAST(floor(lon / 5) AS BIGINT) AS cx, CAST(floor(lat / 5) AS BIGINT) AS cy FROM sites",
     "steps": "SELECT CAST(unnest([0, 1, 1, 1, 2, 2, 2, 2, 2]) AS INTEGER) AS level, unnest([0, -1, 0, 1, -2, -1, 0, 1, 2]) AS o",
     "vals": "SELECT site, level, day, avg(value) AS v FROM cells, steps, cube WHERE cube.cx = cells.cx + o AND cube.cy = cells.cy + o GROUP BY ALL",
@@ -178,18 +178,19 @@ _SERIES = {
 @query("d03_site_series", sql("SELECT site, level, count(v) AS days, round(avg(v), 3) AS mean FROM chosen JOIN vals USING (site, level) GROUP BY ALL", "survey", "sites", **_SERIES))
 def _(spark, d):
     cell = [F.floor(F.col(c) / 5).alias(n) for c, n in (("lon", "cx"), ("lat", "cy"))]
-    cube = survey(spark, d).where("yr = 1996").join(sites(spark, d), ["site", "region"]).groupBy(*cell, "day").agg(F.avg("temp").alias("value"))
+    cube = survey(spark, d).join(sites(spark, d), ["site", "region"]).groupBy(*cell, "day").agg(F.avg("temp").alias("value"))
     series = exposure.site_series(sites(spark, d).select("site", *cell), cube, cube.select("day").distinct(), reject=False)
     return series.groupBy("site", "level").agg(F.count("v").alias("days"), F.round(F.avg("v"), 3).alias("mean"))
 
 
 def _reference_sql(pick):
-    return sql(f"SELECT x.region, x.species, x.yr, x.site, {_metric_sql(('q90',), (), False)} FROM (SELECT r.region, r.species, r.site, d.yr, d.v FROM (SELECT region, species, {pick} AS site FROM optima GROUP BY ALL) r JOIN daily d ON d.site = r.site WHERE d.yr BETWEEN 1993 AND 2001 AND r.site IS NOT NULL) x JOIN thresholds t USING (species) GROUP BY ALL", "daily", "optima", "thresholds")
+    return sql(f"SELECT x.region, x.species, x.yr, x.site, {_metric_sql(('q90',), (), False)} FROM (SELECT r.region, r.species, r.site, d.yr, d.v FROM (SELECT region, species, {pick} AS site FROM optima GROUP BY ALL) r JOIN daily d ON d.site = r.site WHERE r.site IS NOT NULL) x JOIN thresholds t USING (species) GROUP BY ALL", "daily", "optima", "thresholds")
 
 
 def _reference(kind):
     def f(spark, d):
-        visits = exposure.reference_visits(optima(spark, d), kind, 1993, 2001)
+        years = survey(spark, d).agg(F.min("yr").alias("a"), F.max("yr").alias("b")).first()  # the span of the series
+        visits = exposure.reference_visits(optima(spark, d), kind, years["a"], years["b"])
         out = exposure.exposure(visits, daily(spark, d), thresholds(spark, d), POP, ("q90",), total=False)
         return rounded(out)
 
@@ -541,10 +542,3 @@ def _(spark, d):
     s = stacked(spark, d)
     one = s.crossJoin(F.broadcast(s.agg(F.min("region").alias("r0"), F.min("species").alias("s0")))).where("region = r0 and species = s0 and yr between 1995 and 2020").dropna(subset=["y"])
     return regress.trends(one, ["arm"], "yr", "y", least=2).select("arm", "n", r4("slope").alias("slope"))
-
-
-@query("d27b_m07_three_arm_tests", None)
-def _(spark, d):
-    s = stacked(spark, d)
-    best = s.groupBy(*POP, "yr").agg(F.min("y").alias("y")).withColumn("arm", F.lit("best"))
-    return regress.three_arms(s.unionByName(best), POP)

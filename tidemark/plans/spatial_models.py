@@ -7,9 +7,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import models, path, regress, spatial
+from ..operators import classify, models, path, regress, spatial
+from ..operators import relational as rel
 from ..operators import windows as win
-from .domain import _lat_trends, _steps
+from .domain import _lat_trends, _steps, stacked
 from .proxy import POP, daily, optima, read, sites, sql
 from .registry import query
 
@@ -125,7 +126,7 @@ def _(spark, d):
 
 @query("d23_barrier_split")
 def _(spark, d):
-    s = sites(spark, d).select(F.lit(0).alias("region"), F.col("site").cast("bigint").alias("site"), "lon", "lat", (F.col("lat") > 10).cast("int").alias("mass"), (F.col("site") % 3 > 0).cast("int").alias("coast"))
+    s = sites(spark, d).select(F.col("region").cast("int").alias("region"), F.col("site").cast("bigint").alias("site"), "lon", "lat", (F.col("lat") > 10).cast("int").alias("mass"), (F.col("site") % 3 > 0).cast("int").alias("coast"))
     return spatial.split_regions(s)
 
 
@@ -135,17 +136,42 @@ def _(spark, d):
     return spatial.pooled(optima(spark, d), chains).select("coast", "species", "region", "yr")
 
 
-@query("d27_g14_best_paths")
-def _(spark, d):
+def _annual(spark, d):
+    return daily(spark, d).groupBy("site", "yr").agg(F.avg("v").alias("exposure"))
+
+
+def _paths(spark, d):
     o = optima(spark, d).select(F.col("region").cast("int").alias("region"), "species", "yr", F.col("site").cast("bigint").alias("cell"))
-    annual = daily(spark, d).groupBy("site", "yr").agg(F.avg("v").alias("exposure"))
-    cells = sites(spark, d).join(annual, "site").select(F.col("region").cast("int").alias("region"), F.col("site").cast("bigint").alias("cell"), "lon", "lat", "yr", "exposure")
+    cells = sites(spark, d).join(_annual(spark, d), "site").select(F.col("region").cast("int").alias("region"), F.col("site").cast("bigint").alias("cell"), "lon", "lat", "yr", "exposure")
     return path.best_paths(o, cells)
 
 
+@query("d27_g14_best_paths")
+def _(spark, d):
+    return _paths(spark, d)
+
+
+def _path_tests(spark, d):
+    """The best arm is the exposure along the searched path."""
+    best = _paths(spark, d).where("drop_reason is null").select("region", "species", "yr", F.col("cell").alias("site")).join(_annual(spark, d), ["site", "yr"])
+    arms = stacked(spark, d).select(F.col("region").cast("int").alias("region"), "species", "yr", "arm", "y")
+    return regress.path_tests(arms.unionByName(best.select("region", "species", "yr", F.lit("best").alias("arm"), F.col("exposure").alias("y"))), POP)
+
+
+@query("d27b_m07_three_arm_tests")
+def _(spark, d):
+    return _path_tests(spark, d)
+
+
+@query("d28_tested_path_outcomes")
+def _(spark, d):
+    t = _path_tests(spark, d).withColumn("outcome", classify.path_outcome_of_tests(F.col("best_ref_z"), F.col("best_obs_z")))
+    return t.where("outcome is not null").groupBy("region", "outcome").agg(F.count("*").alias("n")).withColumn("pct", 100 * rel.share(F.col("n"), ["region"]))
+
+
 @query("d13_m03_m04_model_grid")
 def _(spark, d):
-    grid = spark.createDataFrame([(f"Abund_{a}_{t}_{f}", a, t, f) for a in ("no_autocor", "ou", "ar1") for t in ("NULL",) for f in ("gaussian", "lognormal")] + [("Abund_no_autocor_NULL_nbinom2", "no_autocor", "NULL", "nbinom2")], "spec string, autocor string, trans string, family string")
+    grid = spark.createDataFrame([(f"Abund_{a}_{t}_{f}", a, t, f) for a in ("no_autocor", "ou", "ar1") for t in ("NULL", "Standardize") for f in ("gaussian", "lognormal", "nbinom2")], "spec string, autocor string, trans string, family string")
     s = win.with_time_coordinate(optima(spark, d)).withColumn("y", F.col("abund").cast("double"))
     return models.fitted(s, POP, grid)
 
@@ -158,31 +184,70 @@ def _(spark, d):
     return best.select(*POP, "b.spec", "b.estimate", "b.aic")
 
 
+def _poleward(spark, d):
+    s = win.with_z_score(_steps(spark, d), "exposure", "x")
+    return s, F.col("poleward_km") > 0
+
+
+def _terms(x):
+    return [F.lit(1.0), x, x * x]
+
+
 @query("d22_m06_m10_m11_poleward_probability")
 def _(spark, d):
     """Quadratic in standardised exposure: coefficients, standard errors and the likelihood-ratio test of the curve."""
-    s = win.with_z_score(_steps(spark, d), "exposure", "x")
-    x, yes = F.col("x"), F.col("poleward_km") > 0
-    full, cov, ll = models.logistic_sums(s, [F.lit(1.0), x, x * x], yes)
+    s, yes = _poleward(spark, d)
+    full, cov, ll = models.logistic_sums(s, _terms(F.col("x")), yes)
     _, _, ll0 = models.logistic_sums(s, [F.lit(1.0)], yes)
     rows = [(n, float(b), float(cov[i, i] ** 0.5), models.chi2_tail(2 * (ll - ll0), 2)) for i, (n, b) in enumerate(zip(("intercept", "linear", "quadratic"), full, strict=True))]
     return spark.createDataFrame(rows, "term string, estimate double, se double, p_curve double")
 
 
-@query("d31_m09_two_groups", sql("SELECT species, n0, n1, median0, median1, round(t, 4) AS t FROM (SELECT species, count_if(a) AS n0, count_if(NOT a) AS n1, median(abund) FILTER (WHERE a) AS median0, median(abund) FILTER (WHERE NOT a) AS median1, (avg(abund) FILTER (WHERE a) - avg(abund) FILTER (WHERE NOT a)) / sqrt(var_samp(abund) FILTER (WHERE a) / count_if(a) + var_samp(abund) FILTER (WHERE NOT a) / count_if(NOT a)) AS t FROM (SELECT *, lat >= 0 AS a FROM optima) GROUP BY 1)", "optima"))
+@query("m11_predicted_probability")
+def _(spark, d):
+    """The curve of d22 at 80 points with its interval."""
+    s, yes = _poleward(spark, d)
+    beta, cov, _ = models.logistic_sums(s, _terms(F.col("x")), yes)
+    return models.logistic_curve(s, "x", _terms, beta, cov)
+
+
+_ARMS = "SELECT species, CAST(abund AS DOUBLE) AS v, lat >= 0 AS a, rank() OVER (PARTITION BY species ORDER BY abund) + (count(*) OVER (PARTITION BY species, abund) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY species, abund) AS tied FROM optima"
+_RANKS = "SELECT species, count_if(a) AS n0, count_if(NOT a) AS n1, median(v) FILTER (WHERE a) AS median0, median(v) FILTER (WHERE NOT a) AS median1, (avg(v) FILTER (WHERE a) - avg(v) FILTER (WHERE NOT a)) / sqrt(var_samp(v) FILTER (WHERE a) / count_if(a) + var_samp(v) FILTER (WHERE NOT a) / count_if(NOT a)) AS t, sum(CASE WHEN a THEN r ELSE 0 END) - count_if(a) * (count_if(a) + 1) / 2.0 AS u, count_if(a) * count_if(NOT a) / 12.0 * (count(*) + 1 - sum(CAST(tied AS DOUBLE) * tied - 1) / (count(*) * (count(*) - 1.0))) AS var FROM arms GROUP BY 1"
+
+
+@query("d31_m09_two_groups", sql("SELECT species, n0, n1, median0, median1, round(t, 4) AS t, u, round((u - n0 * n1 / 2.0) / sqrt(nullif(var, 0)), 4) AS z FROM ranks", "optima", arms=_ARMS, ranks=_RANKS))
 def _(spark, d):
     o = optima(spark, d).withColumn("arm", F.when(F.col("lat") >= 0, "north").otherwise("south"))
-    return models.rank_sums(o, ["species"], "arm", "abund", ("north", "south")).select("species", "n0", "n1", "median0", "median1", r4("t").alias("t"))
+    return models.rank_sums(o, ["species"], "arm", "abund", ("north", "south")).select("species", "n0", "n1", "median0", "median1", r4("t").alias("t"), F.col("u").cast("double").alias("u"), r4("z").alias("z"))
+
+
+def _classes(spark, d):
+    """Trends of latitude in up to three classes by direction and size, with what may tell them apart."""
+    b = _lat_trends(spark, d).select((F.col("slope") > 0).cast("int").alias("a"), "slope", F.col("region").cast("double").alias("region"), F.length("species").cast("double").alias("name"))
+    return b.select((F.col("a") + F.when(F.abs("slope") > 5, 1).otherwise(0)).cast("double").alias("label"), (F.col("region") / 10).alias("region"), (F.col("name") / 10).alias("name"))
 
 
 @query("m08_multinomial")
 def _(spark, d):
-    b = _lat_trends(spark, d).select((F.col("slope") > 0).cast("int").alias("a"), "slope", F.col("region").cast("double").alias("x"))
-    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(b.withColumn("label", (F.col("a") + F.when(F.abs("slope") > 5, 1).otherwise(0)).cast("double")))
-    model = LogisticRegression(family="multinomial", maxIter=20).fit(rows.repartition(1).sortWithinPartitions("x", "label"))
+    rows = VectorAssembler(inputCols=["region"], outputCol="features").transform(_classes(spark, d))
+    model = LogisticRegression(family="multinomial", maxIter=20).fit(rows)
     return model.transform(rows).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
+@query("m08_type3_tests")
+def _(spark, d):
+    return spark.createDataFrame(models.type3(_classes(spark, d), "label", ["region", "name"]), "term string, chi2 double, df int, p double")
+
+
+@query("m12_interaction_test", sql("SELECT CAST(n AS BIGINT) AS n, g, round((common - apart) / (g - 1) / (apart / (n - 2 * g)), 4) AS f FROM (SELECT sum(n) AS n, count(*) AS g, sum(syy - sxy * sxy / sxx) AS apart, sum(syy) - sum(sxy) * sum(sxy) / sum(sxx) AS common FROM (SELECT species, count(*) AS n, regr_sxx(abund, CAST(yr AS DOUBLE)) AS sxx, regr_sxy(abund, CAST(yr AS DOUBLE)) AS sxy, regr_syy(abund, CAST(yr AS DOUBLE)) AS syy FROM optima GROUP BY 1) WHERE sxx > 0)", "optima"))
+def _(spark, d):
+    """Whether the slopes of abund ~ yr * species differ: F of separate slopes against a common one."""
+    y, x = F.col("abund").cast("double"), F.col("yr").cast("double")
+    m = optima(spark, d).groupBy("species").agg(F.count("*").alias("n"), F.regr_sxx(y, x).alias("sxx"), F.regr_sxy(y, x).alias("sxy"), F.regr_syy(y, x).alias("syy")).where("sxx > 0")
+    t = m.agg(F.sum("n").alias("n"), F.count("*").alias("g"), F.sum(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")).alias("apart"), (F.sum("syy") - F.sum("sxy") * F.sum("sxy") / F.sum("sxx")).alias("common"))
+    return t.select("n", "g", r4((F.col("common") - F.col("apart")) / (F.col("g") - 1) / (F.col("apart") / (F.col("n") - 2 * F.col("g")))).alias("f"))
+
+
 @query("m12_factor_interaction", sql("SELECT species, n, round(slope, 4) AS slope FROM (SELECT species, count(*) AS n, regr_slope(abund, CAST(yr AS DOUBLE)) AS slope FROM optima GROUP BY 1)", "optima"))
 def _(spark, d):
     """abund ~ yr * species is one regression for each species."""
