@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalar
 from tidemark.operators import classify, exposure, models, path, regress, relational, shape, spatial
 from tidemark.operators import windows as win
 from tidemark.sources import tables
@@ -293,3 +294,28 @@ def test_a_population_that_never_moved_stays(spark):
     visits = spark.createDataFrame([(1, "s", y, 5) for y in range(4)], "region int, species string, yr int, cell bigint")
     cells = spark.createDataFrame([(1, c, float(c), 0.0, y, float(c + y)) for c in (4, 5, 6) for y in range(4) if (c, y) != (5, 2)], "region int, cell bigint, lon double, lat double, yr int, exposure double")
     assert [(r["yr"], r["cell"], r["drop_reason"]) for r in path.best_paths(visits, cells).orderBy("yr").collect()] == [(y, 5, None) for y in range(4)]
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_by_tiles_equals_all_pairs(spark, k):
+    rng = np.random.default_rng(k)
+    points = [(i, int(rng.integers(0, 3)), float(x), float(y)) for i, (x, y) in enumerate(np.round(rng.uniform(-90, 90, (80, 2))))] + [(900, 0, None, 1.0)]
+    sites = [(i, int(rng.integers(0, 3)), float(x), float(y)) for i, (x, y) in enumerate(np.round(rng.normal(0, 30, (60, 2))))] + [(901, 7, 0.0, 0.0), (902, 1, 1.0, None)]
+    p = spark.createDataFrame(points, "point int, region int, lon double, lat double")
+    s = spark.createDataFrame(sites, "site int, region int, slon double, slat double")
+    got = {}
+    for r in relational.nearest(p, s, "region", k).collect():
+        got.setdefault(r["point"], set()).add(r["site"])
+    for i, region, x, y in points:
+        near = sorted(((x - u) ** 2 + (y - v) ** 2, j) for j, g, u, v in sites if g == region and v is not None) if x is not None else []
+        assert got.get(i, set()) == {j for _, j in near[:k]}
+    assert relational.near_pairs(p, s, ["region"], k).count() < p.join(s, "region").count()
+
+
+def test_pairs_within_a_distance_equal_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    p = spark.createDataFrame([(i, 1, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-80, 80, (60, 2)))], "point int, region int, lon double, lat double")
+    s = spark.createDataFrame([(i, 1, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-80, 80, (60, 2)))], "site int, region int, slon double, slat double")
+    km = scalar.haversine_km(F.col("lon"), F.col("lat"), F.col("slon"), F.col("slat"))
+    want = {(r["point"], r["site"]) for r in p.join(s, "region").where(km <= 2500).collect()}
+    assert {(r["point"], r["site"]) for r in relational.within_km(p, s, ["region"], 2500.0).collect()} == want and want

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import haversine_km
 from ..sources.staging import staged
 
 
@@ -70,11 +71,45 @@ def relative_to_max(value: Column, keys: Sequence[str]) -> Column:
     return value / F.max(value).over(Window.partitionBy(*keys))
 
 
-def nearest(points: DataFrame, sites: DataFrame, within: str, k: int = 1) -> DataFrame:
+def near_pairs(points: DataFrame, sites: DataFrame, within: Sequence[str], k: int = 1, at: tuple[str, str] = ("slon", "slat"), tile: float = 10.0) -> DataFrame:
+    """Points paired with sites of the same region; the k nearest sites of every point, by degrees, are among them.
+
+    Both lie in square tiles.  Around each tile of points the region's tiles of sites are ordered by the largest
+    distance they allow; the first that hold k sites bound the search, and tiles that lie farther off are left
+    out.  Ties of distance stay in.  Tables of tiles grow with the grid, not with the rows; rows meet by tiles, so a
+    full region is no single group.  Points and sites without coordinates meet nothing.
+    """
+    lon, lat = at
+    p = points.where("lon is not null and lat is not null").withColumns({"_px": F.floor(F.col("lon") / tile), "_py": F.floor(F.col("lat") / tile)})
+    s = sites.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumns({"_sx": F.floor(F.col(lon) / tile), "_sy": F.floor(F.col(lat) / tile)})
+    held = s.groupBy(*within, "_sx", "_sy").agg(F.count("*").alias("_n"))
+    dx, dy = F.abs(F.col("_px") - F.col("_sx")), F.abs(F.col("_py") - F.col("_sy"))
+    square = lambda c: c * c
+    tiles = p.select(*within, "_px", "_py").distinct().join(held, list(within))
+    tiles = tiles.withColumns({"_low": square(F.greatest(dx - 1, F.lit(0))) + square(F.greatest(dy - 1, F.lit(0))), "_high": square(dx + 1) + square(dy + 1)})
+    own = Window.partitionBy(*within, "_px", "_py")
+    tiles = tiles.withColumn("_held", F.sum("_n").over(own.orderBy("_high")))
+    tiles = tiles.withColumn("_bound", F.min(F.when(F.col("_held") >= k, F.col("_high"))).over(own))
+    tiles = tiles.where(F.col("_bound").isNull() | (F.col("_low") <= F.col("_bound"))).select(*within, "_px", "_py", "_sx", "_sy")
+    return p.join(tiles, [*within, "_px", "_py"]).join(s, [*within, "_sx", "_sy"]).drop("_px", "_py", "_sx", "_sy")
+
+
+def nearest(points: DataFrame, sites: DataFrame, within: str, k: int = 1, tile: float = 10.0) -> DataFrame:
     """The k nearest sites of each point in the same region, by squared degrees; ties go to the smaller site.
 
     ``points`` has point, lon, lat; ``sites`` has site, slon, slat; both have the region ``within``.
     """
     d2 = F.pow(F.col("lon") - F.col("slon"), 2) + F.pow(F.col("lat") - F.col("slat"), 2)
-    pairs = points.join(sites, within).withColumn("d2", d2)
+    pairs = near_pairs(points, sites, [within], k, tile=tile).withColumn("d2", d2)
     return first_of_each(pairs, [within, "point"], F.col("d2"), F.col("site"), n=k)
+
+
+def within_km(points: DataFrame, sites: DataFrame, within: Sequence[str], km: float) -> DataFrame:
+    """Pairs of points (lon, lat) and sites (slon, slat) of the same region, at most so far apart, with their great-circle ``km``.
+
+    They meet by bands of latitude as wide as the distance: each site stands in its own band and both beside it.
+    """
+    width = km / 111.0
+    s = sites.withColumn("_band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("slat") / width) + i)))
+    pairs = points.withColumn("_band", F.floor(F.col("lat") / width)).join(s, [*within, "_band"]).drop("_band")
+    return pairs.withColumn("km", haversine_km(F.col("lon"), F.col("lat"), F.col("slon"), F.col("slat"))).where(F.col("km") <= km)

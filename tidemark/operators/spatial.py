@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import KM_PER_DEGREE_LINE
 from ..sources.staging import ship
-from .relational import first_of_each
+from .relational import first_of_each, near_pairs
 
 
 def extract(points: DataFrame, grid: DataFrame, step: float, value: str = "value") -> DataFrame:
@@ -69,11 +69,11 @@ Cell = tuple[int, int]
 
 
 def neighbours(cells: set[Cell], step: float) -> dict[Cell, list[tuple[Cell, float]]]:
-    """The up to eight neighbours of each cell with their distance in km at that latitude."""
+    """The up to eight neighbours of each cell with their distance in km at the latitude half-way, so the same both ways."""
     out: dict[Cell, list[tuple[Cell, float]]] = {}
     for x, y in cells:
-        shrink = math.cos(math.radians((y + 0.5) * step))
-        out[x, y] = [((x + i, y + j), math.hypot(i * shrink, j) * step * KM_PER_DEGREE_LINE) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (x + i, y + j) in cells]
+        shrink = {j: math.cos(math.radians((y + 0.5 + j / 2) * step)) for j in (-1, 0, 1)}
+        out[x, y] = [((x + i, y + j), math.hypot(i * shrink[j], j) * step * KM_PER_DEGREE_LINE) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (x + i, y + j) in cells]
     return out
 
 
@@ -95,9 +95,11 @@ def sea_distances(start: Cell, graph: dict[Cell, list[tuple[Cell, float]]], most
 def components(cells: set[Cell]) -> dict[Cell, int]:
     """Numbers of the eight-connected pieces, in the order of their smallest cells."""
     out: dict[Cell, int] = {}
+    pieces = 0
     for cell in sorted(cells):
         if cell not in out:
-            number, todo = len(set(out.values())), [cell]
+            number, todo = pieces, [cell]
+            pieces += 1
             out[cell] = number
             while todo:
                 x, y = todo.pop()
@@ -232,5 +234,5 @@ def pooled(optima: DataFrame, chains: DataFrame, least_regions: int = 2) -> Data
 
 def snapped(points: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each point with the nearest cell of its group."""
-    pairs = points.join(cells, list(keys)).withColumn("_d", F.pow(F.col("lon") - F.col("clon"), 2) + F.pow(F.col("lat") - F.col("clat"), 2))
+    pairs = near_pairs(points, cells, keys, at=("clon", "clat")).withColumn("_d", F.pow(F.col("lon") - F.col("clon"), 2) + F.pow(F.col("lat") - F.col("clat"), 2))
     return first_of_each(pairs, [*keys, "point"], F.col("_d"), F.col("clon"), F.col("clat")).drop("_d")
