@@ -290,10 +290,48 @@ def test_spread_rows(spark, n, length):
     assert sorted((r["place"], r["id"]) for r in got) == [(p, p - 1) for p in want]
 
 
+_VISITS, _CELLS, _SEA = "region int, species string, yr int, cell bigint", "region int, cell bigint, lon double, lat double, yr int, exposure double", "region int, cx bigint, cy bigint"
+
+
+def _solved(spark, visits, cells, sea, schema=_VISITS):
+    c, w = spark.createDataFrame(cells, _CELLS), spark.createDataFrame(sea, _SEA)
+    return path.best_paths(spark.createDataFrame(visits, schema), c, path.sea_moves(c, w, 1.0), w).orderBy("species", "yr").collect()
+
+
 def test_a_population_that_never_moved_stays(spark):
-    visits = spark.createDataFrame([(1, "s", y, 5) for y in range(4)], "region int, species string, yr int, cell bigint")
-    cells = spark.createDataFrame([(1, c, float(c), 0.0, y, float(c + y)) for c in (4, 5, 6) for y in range(4) if (c, y) != (5, 2)], "region int, cell bigint, lon double, lat double, yr int, exposure double")
-    assert [(r["yr"], r["cell"], r["drop_reason"]) for r in path.best_paths(visits, cells).orderBy("yr").collect()] == [(y, 5, None) for y in range(4)]
+    visits = [(1, "s", y, 5) for y in range(4)]
+    cells = [(1, c, c + 0.5, 0.5, y, float(c + y)) for c in (4, 5, 6) for y in range(4) if (c, y) != (5, 2)]
+    got = _solved(spark, visits, cells, [(1, x, 0) for x in range(8)])
+    assert [(r["yr"], r["cell"], r["drop_reason"]) for r in got] == [(y, 5, None) for y in range(4)]
+
+
+def test_paths_go_round_land(spark):
+    """A wall lies between the columns 2 and 4 except in row 5, so the cooler cell beyond it is too far in one year."""
+    sea = [(1, x, y) for x in range(6) for y in range(6) if x != 3 or y == 5]
+    spots = {1: (2, 0, 5.0), 2: (1, 0, 4.0), 3: (4, 0, 0.0), 4: (0, 0, 3.5)}
+    cells = [(1, c, x + 0.5, y + 0.5, t, e) for c, (x, y, e) in spots.items() for t in range(4)]
+    got = _solved(spark, [(1, "s", t, c) for t, c in enumerate((1, 2, 1, 2))], cells, sea)
+    graph = spatial.neighbours({(x, y) for _, x, y in sea}, 1.0)
+    far = {a: {b: spatial.sea_distances(spots[a][:2], graph)[spots[b][:2]] for b in spots} for a in spots}
+    reach = far[1][2]
+    best = min((p for p in itertools.product(spots, repeat=4) if p[0] == 1 and all(far[a][b] <= reach + 1e-9 for a, b in itertools.pairwise(p))), key=lambda p: sum(spots[c][2] + 0.0 for c in p))
+    assert far[1][3] > 6 * reach and [r["cell"] for r in got] == list(best) and 3 not in best
+    assert [r["step_km"] for r in got][1:] == pytest.approx([far[a][b] if a != b else 0.0 for a, b in itertools.pairwise(best)]) and got[0]["reach_km"] == pytest.approx(reach)
+
+
+def test_reasons_instead_of_paths(spark):
+    good = {"years": 4, "region": 1, "cell": 1, "sti": True, "ref": True}
+    cases = {"few_years": {"years": 3}, "no_STI": {"sti": None}, "no_ref": {"ref": False}, "no_transition": {"region": 3}, "few_sea_cells": {"region": 2}, "no_reef_cells": {"cell": 77}, "fine": {}}
+    visits = [(v["region"], name, t, v["cell"], v["sti"], v["ref"]) for name, c in cases.items() for v in [good | c] for t in range(v["years"])]
+    cells = [(r, c, c + 0.5, 0.5, t, 1.0) for r in (1, 2, 3) for c in (1, 2) for t in range(4)]
+    got = _solved(spark, visits, cells, [(1, x, 0) for x in range(6)] + [(2, 0, 0)], _VISITS + ", has_sti boolean, has_ref boolean")
+    assert {(r["species"], r["drop_reason"]) for r in got} == {(n, None if n == "fine" else n) for n in cases}
+
+
+def test_a_broken_path_stays(spark):
+    cells = [(1, c, c + 0.5, 0.5, t, 1.0) for c in (1, 2) for t in range(4) if t != 2] + [(1, 3, 400.5, 0.5, 2, 1.0)]
+    got = _solved(spark, [(1, "s", t, 1 + t % 2) for t in range(4)], cells, [(1, x, 0) for x in range(6)])
+    assert [r["cell"] for r in got] == [1, 1, 1, 1]
 
 
 @pytest.mark.parametrize("k", [1, 3])

@@ -139,10 +139,17 @@ def _annual(spark, d):
     return daily(spark, d).groupBy("site", "yr").agg(F.avg("v").alias("exposure"))
 
 
+def _reefs(spark, d):
+    """The sites at the cells of the made-up sea."""
+    k = F.col("site")
+    return sites(spark, d).select(F.col("region").cast("int").alias("region"), k.cast("bigint").alias("cell"), (F.pmod(k, F.lit(24)) - 11.5).cast("double").alias("lon"), (F.pmod(F.floor(k / 24), F.lit(12)) - 5.5).cast("double").alias("lat"))
+
+
 def _paths(spark, d):
     o = optima(spark, d).select(F.col("region").cast("int").alias("region"), "species", "yr", F.col("site").cast("bigint").alias("cell"))
-    cells = sites(spark, d).join(_annual(spark, d), "site").select(F.col("region").cast("int").alias("region"), F.col("site").cast("bigint").alias("cell"), "lon", "lat", "yr", "exposure")
-    return path.best_paths(o, cells)
+    reefs, sea = _reefs(spark, d), _world(spark, d).where("z < 0").select("region", "cx", "cy")
+    cells = reefs.join(_annual(spark, d).withColumnRenamed("site", "cell"), "cell")
+    return path.best_paths(o, cells, path.sea_moves(reefs, sea, 1.0), sea)
 
 
 @query("d27_g14_best_paths")
