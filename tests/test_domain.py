@@ -188,12 +188,32 @@ def test_relocation(spark):
     assert got == {1: ("ok", 4.5), 2: ("to_bathy_seapath", 4.5), 3: ("unplaced", 0.5)}
 
 
+_LANDS = "region int, cx bigint, cy bigint, piece int, area_km2 double"
+
+
+def _parts(spark, sites, land):
+    got = spatial.split_regions(spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(sites)], "region int, site long, lon double, lat double"), spark.createDataFrame(land, _LANDS), 1.0)
+    return {r["site"]: r["suffix"] for r in got.collect()}
+
+
 def test_barrier_split(spark):
-    rows = [(1, i, 0.0 + i / 100, float(i) / 10, 0, 0) for i in range(6)] + [(1, 10 + i, 0.0 + i / 100, 10 + i / 10, 1, 0) for i in range(6)]
-    sites = spark.createDataFrame(rows, "region int, site long, lon double, lat double, mass int, coast int")
-    assert {r["suffix"] for r in spatial.split_regions(sites).collect()} == {"N", "S"}
-    same = sites.withColumn("mass", F.lit(0))
-    assert {r["suffix"] for r in spatial.split_regions(same).collect()} == {""}
+    sites = [(0.0, i / 10) for i in range(6)] + [(0.0, 10 + i / 10) for i in range(6)]
+    south, north = (1, 0, 0, 0, 9000.0), (1, 0, 10, 1, 9000.0)
+    assert _parts(spark, sites, [south, north]) == {i: "S" if i < 6 else "N" for i in range(12)}
+    assert set(_parts(spark, sites, []).values()) == {"S", "N"}  # open water
+    assert set(_parts(spark, sites, [(1, 3, y, 0, 90000.0) for y in range(12)]).values()) == {""}  # one coast
+    # a small island beside each group: with large land near by both belong to it
+    islands = [(1, 0, 0, 0, 500.0), (1, 0, 10, 1, 500.0)]
+    assert set(_parts(spark, sites, islands).values()) == {"S", "N"}
+    assert set(_parts(spark, sites, [*islands, *[(1, 1, y, 2, 90000.0) for y in range(12)]]).values()) == {""}
+    assert set(_parts(spark, sites[:4] + sites[6:], [south, north]).values()) == {""}  # too few sites
+
+
+def test_barrier_split_by_longitude(spark):
+    coasts = [(x, i / 2) for x in (0.5, 6.5) for i in range(6)]
+    between = [(1, x, y, 0, 9000.0) for x in (2, 3, 4) for y in range(3)]
+    assert _parts(spark, coasts, between) == {i: "W" if i < 6 else "E" for i in range(12)}
+    assert set(_parts(spark, coasts, between[:1]).values()) == {""}  # mostly water
 
 
 def test_sources(spark, tmp_path):

@@ -112,21 +112,42 @@ def _world(spark, d):
     return regions.crossJoin(F.broadcast(cells)).withColumn("z", z)
 
 
+def _reefs(spark, d):
+    """The sites at the cells of the made-up sea."""
+    k = F.col("site")
+    return sites(spark, d).select(F.col("region").cast("int").alias("region"), k.cast("bigint").alias("cell"), (F.pmod(k, F.lit(24)) - 11.5).cast("double").alias("lon"), (F.pmod(F.floor(k / 24), F.lit(12)) - 5.5).cast("double").alias("lat"))
+
+
 @query("d10_g12_g13_relocation")
 def _(spark, d):
     o = optima(spark, d).select("region", F.xxhash64("region", "species", "yr").alias("id"), (F.pmod("site", F.lit(24)) - 12 + 0.5).cast("double").alias("lon"), (F.pmod("site", F.lit(12)) - 6 + 0.5).cast("double").alias("lat"))
     return spatial.relocated(o, _world(spark, d), 1.0)
 
 
-@query("g10_g11_land_pieces")
+_LAND = "SELECT region, cx, cy FROM (SELECT DISTINCT s_nationkey AS region FROM supplier), (SELECT i % 24 - 12 AS cx, i // 24 - 6 AS cy FROM range(288) t(i)) WHERE (cx * 7 + cy * 5 + region) % 11 = 0"
+_PIECES = """WITH RECURSIVE land AS ({land}),
+reach AS (SELECT region, cx, cy, cx * 1000 + cy AS root FROM land UNION SELECT r.region, l.cx, l.cy, r.root FROM reach r JOIN land l ON l.region = r.region AND abs(l.cx - r.cx) <= 1 AND abs(l.cy - r.cy) <= 1),
+least AS (SELECT region, cx, cy, min(root) AS root FROM reach GROUP BY ALL),
+pieces AS (SELECT region, cx, cy, dense_rank() OVER (PARTITION BY region ORDER BY root) - 1 AS piece, sum(111.32 * 111.32 * cos(radians(cy + 0.5))) OVER (PARTITION BY region, root) AS area_km2 FROM least)""".format(land=_LAND)
+_NEAR = "SELECT site, piece, sqrt(pow((x - lon) * cos(radians(lat)), 2) + pow(y - lat, 2)) * 111.32 AS km FROM (SELECT site, lon, lat, cx + 0.5 AS x, cy + 0.5 AS y, piece FROM place JOIN pieces USING (region) WHERE area_km2 >= {least} QUALIFY row_number() OVER (PARTITION BY site ORDER BY (cx + 0.5 - lon) ** 2 + (cy + 0.5 - lat) ** 2, cx, cy) = 1)"
+_PLACE = "SELECT s_suppkey AS site, s_nationkey AS region, s_suppkey % 24 - 11.5 AS lon, s_suppkey // 24 % 12 - 5.5 AS lat FROM supplier"
+
+
+@query("g10_g11_land_pieces", _PIECES + " SELECT region, cx, cy, piece, round(area_km2, 3) AS area_km2 FROM pieces")
 def _(spark, d):
-    return spatial.land_pieces(_world(spark, d), 1.0)
+    return spatial.land_pieces(_world(spark, d), 1.0).withColumn("area_km2", F.round("area_km2", 3))
+
+
+@query("g11_nearest_large_land", f"{_PIECES}, place AS ({_PLACE}), large AS ({_NEAR.format(least=20000)}), near AS ({_NEAR.format(least=0)}) SELECT n.site, CASE WHEN l.km <= 200 THEN l.piece ELSE n.piece END AS piece, round(CASE WHEN l.km <= 200 THEN l.km ELSE n.km END, 3) AS km FROM near n LEFT JOIN large l USING (site)")
+def _(spark, d):
+    """Land of the made-up sea is large from 20,000 km2, so that small pieces are there."""
+    near = spatial.nearest_land(_reefs(spark, d).withColumnRenamed("cell", "point"), spatial.land_pieces(_world(spark, d), 1.0), 1.0, 20_000.0)
+    return near.select(F.col("point").alias("site"), "piece", F.round("km", 3).alias("km"))
 
 
 @query("d23_barrier_split")
 def _(spark, d):
-    s = sites(spark, d).select(F.col("region").cast("int").alias("region"), F.col("site").cast("bigint").alias("site"), "lon", "lat", (F.col("lat") > 10).cast("int").alias("mass"), (F.col("site") % 3 > 0).cast("int").alias("coast"))
-    return spatial.split_regions(s)
+    return spatial.split_regions(_reefs(spark, d).withColumnRenamed("cell", "site"), spatial.land_pieces(_world(spark, d), 1.0), 1.0)
 
 
 @query("d24_pooled_coasts", sql("SELECT coast, species, region, yr FROM (SELECT *, region // 5 AS coast FROM optima) JOIN (SELECT region // 5 AS coast, species FROM optima GROUP BY ALL HAVING count(DISTINCT region) >= 2) USING (coast, species)", "optima"))
@@ -139,12 +160,6 @@ def _annual(spark, d):
     return daily(spark, d).groupBy("site", "yr").agg(F.avg("v").alias("exposure"))
 
 
-def _reefs(spark, d):
-    """The sites at the cells of the made-up sea."""
-    k = F.col("site")
-    return sites(spark, d).select(F.col("region").cast("int").alias("region"), k.cast("bigint").alias("cell"), (F.pmod(k, F.lit(24)) - 11.5).cast("double").alias("lon"), (F.pmod(F.floor(k / 24), F.lit(12)) - 5.5).cast("double").alias("lat"))
-
-
 def _paths(spark, d):
     o = optima(spark, d).select(F.col("region").cast("int").alias("region"), "species", "yr", F.col("site").cast("bigint").alias("cell"))
     reefs, sea = _reefs(spark, d), _world(spark, d).where("z < 0").select("region", "cx", "cy")
