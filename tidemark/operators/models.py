@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.staging import ship
+from ..sources.staging import ship, staged
 
 GOLDEN = (math.sqrt(5) - 1) / 2
 
@@ -128,7 +130,7 @@ def logistic_sums(df: DataFrame, features: Sequence[Column], yes: Column, steps:
     that small matrix reaches the driver, whatever the number of rows.
     """
     k = len(features)
-    rows = df.select(*[f.cast("double").alias(f"x{i}") for i, f in enumerate(features)], yes.cast("double").alias("y")).dropna()
+    rows = staged(df.select(*[f.cast("double").alias(f"x{i}") for i, f in enumerate(features)], yes.cast("double").alias("y")).dropna())
     beta = np.zeros(k)
     for _ in range(steps):
         eta = F.lit(0.0)
@@ -148,6 +150,41 @@ def logistic_sums(df: DataFrame, features: Sequence[Column], yes: Column, steps:
     return beta, np.linalg.inv(info + 1e-10 * np.eye(k)), float(s["ll"])
 
 
+def nested_logistic(df: DataFrame, blocks: Mapping[str, Sequence[Column]], yes: Column) -> list[tuple[str, float, int, float]]:
+    """Likelihood-ratio tests of blocks of terms, each added to those before it: name, chi2, degrees of freedom, P.
+
+    Fitted over all rows by Spark ML; only the correlations of the terms and the deviances reach the driver.  A term that
+    is constant or follows from those before it takes no degree of freedom.  Rows with a missing term are
+    left out; without rows there are no tests.
+    """
+    columns = {n: [f"{n}_{i}" for i in range(len(terms))] for n, terms in blocks.items()}
+    names = [c for some in columns.values() for c in some]
+    terms = [t for some in blocks.values() for t in some]
+    rows = staged(df.select(*[t.cast("double").alias(c) for c, t in zip(names, terms, strict=True)], yes.cast("double").alias("_yes")).dropna())
+    if not rows.limit(1).count():
+        return []
+    gathered = VectorAssembler(inputCols=names, outputCol="_all").transform(rows)
+    alike = Correlation.corr(gathered, "_all").first()[0].toArray()
+    used: list[int] = []
+    out, before = [], None
+    for name, some in columns.items():
+        fresh = 0
+        for c in map(names.index, some):
+            tried = [*used, c]
+            if np.isfinite(alike[np.ix_(tried, tried)]).all() and np.linalg.matrix_rank(alike[np.ix_(tried, tried)], tol=1e-8) > len(used):
+                used, fresh = tried, fresh + 1
+        if not fresh:
+            out.append((name, 0.0, 0, 1.0))
+            continue
+        ready = VectorAssembler(inputCols=[names[i] for i in used], outputCol="_terms").transform(rows)
+        fit = GeneralizedLinearRegression(family="binomial", featuresCol="_terms", labelCol="_yes").fit(ready)
+        before = fit.summary.nullDeviance if before is None else before
+        chi2 = max(before - fit.summary.deviance, 0.0)
+        out.append((name, float(chi2), fresh, chi2_tail(chi2, fresh)))
+        before = fit.summary.deviance
+    return out
+
+
 def logistic_curve(df: DataFrame, x: str, terms, beta: np.ndarray, cov: np.ndarray, points: int = 80, z: float = 1.959963984540054) -> DataFrame:
     """Predictions at evenly spaced points between the least and the largest x, with delta-method intervals.
 

@@ -132,6 +132,21 @@ def mean_slope(slopes: DataFrame, keys: Sequence[str], slope: str = "slope") ->
     return slopes.groupBy(*keys).agg(F.avg(slope).alias("mean_slope"), (F.stddev_samp(slope) / F.sqrt(F.count(slope))).alias("se"), F.count(slope).alias("n"))
 
 
+def population_average(slopes: DataFrame, slope: str = "slope", variance: str = "v") -> DataFrame:
+    """One row: the average slope over populations that differ, its standard error, tau2 (their variance) and n.
+
+    Each slope weighs 1 / (its own variance + tau2); tau2 comes from the weighted squares about the mean by
+    the method of moments and is not below 0.  Two aggregates over one row a population, nothing iterates.
+    """
+    b, w = F.col(slope), 1 / F.col(variance)
+    m = slopes.agg(F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * w).alias("ww"), F.sum(w * b).alias("wb"), F.sum(w * b * b).alias("wbb"))
+    excess = (F.col("wbb") - F.col("wb") * F.col("wb") / F.col("w") - (F.col("n") - 1)) / F.nullif(F.col("w") - F.col("ww") / F.col("w"), F.lit(0.0))
+    tau2 = m.select("n", F.greatest(F.coalesce(excess, F.lit(0.0)), F.lit(0.0)).alias("tau2"))
+    each = slopes.select(slope, variance).crossJoin(F.broadcast(tau2)).withColumn("_w", 1 / (F.col(variance) + F.col("tau2")))
+    out = each.agg(F.first("n").alias("n"), (F.sum(F.col("_w") * b) / F.sum("_w")).alias("slope"), F.sqrt(1 / F.sum("_w")).alias("se"), F.first("tau2").alias("tau2"))
+    return out.where("n is not null")
+
+
 def back_transformed(estimate: Column, spec: Column, sd_year: Column, sd_env: Column, mean_coord: Column, kind: str) -> Column:
     """Estimates on their own scale: by the model string and by kind ``lat`` or ``env``."""
     scaled = estimate / sd_year if kind == "lat" else estimate * sd_env / sd_year

@@ -49,3 +49,9 @@ def with_decile(df: DataFrame, value: str, keys: Sequence[str], name: str = "bin
     cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / 10) for i in range(11)]))).alias("_cuts"))
     below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     return df.join(cuts, list(keys)).withColumn(name, F.greatest(below, F.lit(1)).cast("int")).drop("_cuts")
+
+
+def trimmed(curve: DataFrame, seen: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+    """The points of one curve for each group of ``seen``, from its least to its largest x."""
+    span = seen.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    return span.join(curve, F.col(x).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import nulls, scalar
-from ..operators import classify, exposure, regress, shape
+from ..operators import classify, exposure, regress, shape, spatial
 from ..operators import relational as rel
 from ..operators import windows as win
 from .proxy import POP, QUANTILES, daily, optima, read, sites, sql, survey, thresholds
@@ -394,11 +394,27 @@ def _(spark, d):
     return _steps(spark, d).join(F.broadcast(c), "yr", "left").where(~nulls.is_in(F.col("class"), ["edge_peak"])).select(*POP, "yr", "class")
 
 
-@query("d21_binned_proportions", sql("SELECT species, bin, count(*) AS n, round(avg(exposure), 3) AS x, round(avg(yes), 4) AS p, round(sqrt(avg(yes) * (1 - avg(yes)) / count(*)), 4) AS se FROM (SELECT s.species, exposure, CAST(poleward_km > 0 AS INTEGER) AS yes, CAST(greatest(len(list_filter(c, lambda v: v < exposure)), 1) AS INTEGER) AS bin FROM steps s JOIN (SELECT species, list_distinct(quantile_cont(exposure, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS c FROM steps GROUP BY 1) USING (species)) GROUP BY ALL", "optima", steps=_STEPS))
-def _(spark, d):
+_BINS = "SELECT species, bin, count(*) AS n, avg(exposure) AS x, avg(yes) AS p, sqrt(avg(yes) * (1 - avg(yes)) / count(*)) AS se FROM (SELECT s.species, exposure, CAST(poleward_km > 0 AS INTEGER) AS yes, CAST(greatest(len(list_filter(c, lambda v: v < exposure)), 1) AS INTEGER) AS bin FROM steps s JOIN (SELECT species, list_distinct(quantile_cont(exposure, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS c FROM steps GROUP BY 1) USING (species)) GROUP BY ALL"
+
+
+def _bins(spark, d):
     b = win.with_decile(_steps(spark, d), "exposure", ["species"]).withColumn("yes", (F.col("poleward_km") > 0).cast("int"))
     p = F.avg("yes")
-    return b.groupBy("species", "bin").agg(F.count("*").alias("n"), F.round(F.avg("exposure"), 3).alias("x"), r4(p).alias("p"), r4(F.sqrt(p * (1 - p) / F.count("*"))).alias("se"))
+    return b.groupBy("species", "bin").agg(F.count("*").alias("n"), F.avg("exposure").alias("x"), p.alias("p"), F.sqrt(p * (1 - p) / F.count("*")).alias("se"))
+
+
+@query("d21_binned_proportions", sql("SELECT species, bin, n, round(x, 3) AS x, round(p, 4) AS p, round(se, 4) AS se, round(greatest(p - se, 0), 4) AS lo, round(least(p + se, 1), 4) AS hi FROM bins", "optima", steps=_STEPS, bins=_BINS))
+def _(spark, d):
+    low, high = F.greatest(F.col("p") - F.col("se"), F.lit(0.0)), F.least(F.col("p") + F.col("se"), F.lit(1.0))
+    return _bins(spark, d).select("species", "bin", "n", F.round("x", 3).alias("x"), r4("p").alias("p"), r4("se").alias("se"), r4(low).alias("lo"), r4(high).alias("hi"))
+
+
+@query("d21_curve_range", sql("SELECT species, i, round(lo + (hi - lo) * i / 79, 4) AS x FROM (SELECT min(exposure) AS lo, max(exposure) AS hi FROM steps), range(80) t(i), (SELECT species, min(x) AS a, max(x) AS b FROM bins GROUP BY 1) WHERE lo + (hi - lo) * i / 79 BETWEEN a AND b", "optima", steps=_STEPS, bins=_BINS))
+def _(spark, d):
+    """The 80 points of a curve, for each species only where its binned points lie."""
+    ends = _steps(spark, d).agg(F.min("exposure").cast("double").alias("lo"), F.max("exposure").cast("double").alias("hi"))
+    at = ends.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(79))).alias("i")).select(F.col("i").cast("bigint").alias("i"), (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / 79).alias("x"))
+    return win.trimmed(at, _bins(spark, d), ["species"], "x").select("species", "i", r4("x").alias("x"))
 
 
 # --- warming, coverage and summary tables
@@ -417,6 +433,20 @@ def _(spark, d):
     return w.select("region", F.round("mean_slope", 3).alias("mean_slope"), F.round("se", 3).alias("se"), "n")
 
 
+_MASKED = "SELECT site, region FROM sites JOIN supplier ON s_suppkey = site WHERE s_acctbal / 100 - 60 BETWEEN -30 AND 0 AND lat > -40.5 AND lat < 50.5 AND lon > -60.5 + (lat + 40.5) * 61 / 91 AND lon < 60.5 - (lat + 40.5) * 60 / 91"
+
+
+@query("d25_g05_masked_warming", sql("SELECT region, round(avg(slope), 3) AS mean_slope, round(stddev_samp(slope) / sqrt(count(*)), 3) AS se, count(*) AS n FROM cell JOIN masked USING (site) GROUP BY 1", "daily", "sites", cell=_CELL, masked=_MASKED))
+def _(spark, d):
+    """Cells inside a polygon, no deeper than 30 m; the tables hold seven years, so five are asked for."""
+    z = read(spark, d, "supplier").select(F.col("s_suppkey").alias("site"), (F.col("s_acctbal") / 100 - 60).alias("z"))
+    ring = F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ((-60.5, -40.5), (60.5, -40.5), (0.5, 50.5))])
+    polygon = spark.range(1).select(F.lit("triangle").alias("name"), ring.alias("ring"))
+    cells = spatial.inside(sites(spark, d).join(z, "site").where("z between -30 and 0"), polygon).select("site", "region")
+    w = regress.mean_slope(_cell_slopes(spark, d).join(cells, "site"), ["region"])
+    return w.select("region", F.round("mean_slope", 3).alias("mean_slope"), F.round("se", 3).alias("se"), "n")
+
+
 @query("d26_site_warming", sql("SELECT region, species, round(avg(slope), 3) AS mean_slope, count(*) AS n FROM (SELECT DISTINCT region, species, site FROM optima) JOIN cell USING (site) GROUP BY ALL", "daily", "optima", cell=_CELL))
 def _(spark, d):
     v = optima(spark, d).select(*POP, "site").distinct().join(_cell_slopes(spark, d), "site")
@@ -470,6 +500,28 @@ def _(spark, d):
     return t.select(*POP, "n", F.round("slope", 5).alias("slope"))
 
 
+_PEAK = "SELECT region, species, slope, (syy - sxy * slope) / (n - 2) / sxx AS v FROM (SELECT region, species, count(*) AS n, regr_slope(ln(abund), CAST(yr AS DOUBLE)) AS slope, regr_sxx(ln(abund), CAST(yr AS DOUBLE)) AS sxx, regr_sxy(ln(abund), CAST(yr AS DOUBLE)) AS sxy, regr_syy(ln(abund), CAST(yr AS DOUBLE)) AS syy FROM optima GROUP BY ALL HAVING count(*) >= 4) WHERE sxx > 0 AND (syy - sxy * slope) / (n - 2) / sxx > 1e-12"
+_TAU = "SELECT count(*) AS k, greatest(0, (sum(slope * slope / v) - pow(sum(slope / v), 2) / sum(1 / v) - (count(*) - 1)) / (sum(1 / v) - sum(1 / (v * v)) / sum(1 / v))) AS tau2 FROM peak"
+
+
+def _peak_slopes(spark, d):
+    t = regress.trends(optima(spark, d).withColumn("h", F.log("abund")), POP, "yr", "h", least=4)
+    return t.withColumn("v", F.col("se") * F.col("se")).where("v > 1e-12")
+
+
+@query("d32_population_average", sql("SELECT CAST(any_value(k) AS BIGINT) AS n, round(sum(slope / (v + tau2)) / sum(1 / (v + tau2)), 5) AS slope, round(sqrt(1 / sum(1 / (v + tau2))), 5) AS se, round(any_value(tau2), 5) AS tau2 FROM peak, tau", "optima", peak=_PEAK, tau=_TAU))
+def _(spark, d):
+    a = regress.population_average(_peak_slopes(spark, d), "slope", "v")
+    return a.select("n", *[F.round(c, 5).alias(c) for c in ("slope", "se", "tau2")])
+
+
+@query("d32_peak_classes", sql("SELECT CASE WHEN abs(slope / sqrt(v)) < 1.959963984540054 THEN 'not significant' WHEN slope < 0 THEN 'significant decline' ELSE 'significant increase' END AS class, count(*) AS n FROM peak GROUP BY 1", "optima", peak=_PEAK))
+def _(spark, d):
+    steep = F.abs(F.col("slope") / F.col("se")) >= scalar.Z_TWO_SIDED
+    name = F.when(steep & (F.col("slope") < 0), "significant decline").when(steep, "significant increase").otherwise("not significant")
+    return _peak_slopes(spark, d).groupBy(name.alias("class")).agg(F.count("*").alias("n"))
+
+
 _FLAGS = "SELECT r.region, coalesce(l, 0) >= 5 AS fl, coalesce(p, 0) > 0 AS fp, coalesce(p, 0) >= 5 AS fc, coalesce(b, 0) > 0 AS fb FROM (SELECT DISTINCT region FROM optima) r LEFT JOIN (SELECT region, count(*) AS l FROM trend GROUP BY 1) USING (region) LEFT JOIN (SELECT region, count(DISTINCT species) AS p FROM steps WHERE poleward_km > 0 GROUP BY 1) USING (region) LEFT JOIN (SELECT region, count(*) AS b FROM resp WHERE rule LIKE 'Buffering%' GROUP BY 1) USING (region)"
 _CODE = "SELECT region, CASE WHEN fl AND fp AND fc AND fb THEN 'All' ELSE array_to_string(list_filter([CASE WHEN fl THEN 'L' END, CASE WHEN fp THEN 'P' END, CASE WHEN fc THEN 'C' END, CASE WHEN fb THEN 'B' END], lambda x: x IS NOT NULL), ', ') END AS code FROM flags"
 

@@ -224,6 +224,20 @@ def _(spark, d):
     return spark.createDataFrame(rows, "term string, estimate double, se double, p_curve double")
 
 
+@query("d22_guild_range_tests")
+def _(spark, d):
+    """Likelihood-ratio tests of exposure, guild, range and what they do together."""
+    s, yes = _poleward(spark, d)
+    wide = s.groupBy("species").agg(F.percentile("plat", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    s = s.join(wide, "species").withColumns({"guild": scalar.guild(F.abs("plat")), "range": scalar.range_position(F.col("plat"), F.col("q")[0], F.col("q")[1])})
+    x, warm = F.col("x"), (F.col("guild") == "Warm").cast("double")
+    ranges = [(F.col("range") == r).cast("double") for r in ("Warm", "Cold")]
+    curve = [x, x * x]
+    both = lambda some, more: [a * b for a in some for b in more]
+    blocks = {"exposure": curve, "guild": [warm], "range": ranges, "exposure_guild": both(curve, [warm]), "exposure_range": both(curve, ranges), "guild_range": both([warm], ranges), "exposure_guild_range": both(both(curve, [warm]), ranges)}
+    return spark.createDataFrame(models.nested_logistic(s, blocks, yes), "block string, chi2 double, df int, p double")
+
+
 @query("m11_predicted_probability")
 def _(spark, d):
     """The curve of d22 at 80 points with its interval."""
