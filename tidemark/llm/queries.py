@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, fuzzy_hash, kn_quality, lang_id, license_scan, near_dup, pieces, shard, token_store, url_filter
+from . import decontaminate, divergence, fuzzy_hash, golay_simhash, kn_quality, lang_id, license_scan, near_dup, periodic_runs, pieces, shard, token_store, url_filter
 from .common import read_table, shared_folder
 
 
@@ -59,6 +59,18 @@ def op10_language_id(spark, sf_dir):
     return lang_id.language_of(docs, lang_id.learn(docs))
 
 
+def op11_simhash(spark, sf_dir):
+    return golay_simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.with_planted(read_table(spark, sf_dir, "documents"))))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -66,10 +78,14 @@ def pipeline(spark, sf_dir):
 def queries():
     own = (
         op1_url_filters, op2_license_scan, op3_near_duplicates, op4_decontamination, op5_token_store, op6_feistel_shards,
-        op7_sentencepiece, op8_fuzzy_fingerprints, op9_kn_quality, op10_language_id, pipeline,
+        op7_sentencepiece, op8_fuzzy_fingerprints, op9_kn_quality, op10_language_id,
+        op11_simhash, op12_source_divergence, op13_periodic_runs, pipeline,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql():
-    return {"op2_license_scan": license_scan.oracle(), "op3_near_duplicates": near_dup.oracle(), "op4_decontamination": decontaminate.oracle(), "op6_feistel_shards": shard.oracle()}
+    return {
+        "op2_license_scan": license_scan.oracle(), "op3_near_duplicates": near_dup.oracle(), "op4_decontamination": decontaminate.oracle(), "op6_feistel_shards": shard.oracle(),
+        "op12_source_divergence": divergence.oracle(), "op13_periodic_runs": periodic_runs.oracle(),
+    }
