@@ -379,29 +379,6 @@ def test_pairs_within_a_distance_equal_all_pairs(spark):
     assert {(r["point"], r["site"]) for r in relational.within_km(p, s, ["region"], 2500.0).collect()} == want and want
 
 
-def test_nested_logistic_tests(spark):
-    rng = np.random.default_rng(8)
-    x, g = rng.normal(size=300), rng.integers(0, 2, 300)
-    yes = rng.random(300) < 1 / (1 + np.exp(-(0.2 + x * (1 - g))))
-    df = spark.createDataFrame([(float(a), float(b), bool(c)) for a, b, c in zip(x, g, yes)] + [(None, 1.0, True)], "x double, g double, yes boolean")
-    got = models.nested_logistic(df, {"x": [F.col("x")], "g": [F.col("g"), 2 * F.col("g")], "none": [F.lit(1.0)], "both": [F.col("x") * F.col("g")]}, F.col("yes"))
-
-    def deviance(f):
-        beta = np.zeros(f.shape[1])
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-f @ beta))
-            beta = beta + np.linalg.solve((f * (p * (1 - p))[:, None]).T @ f, f.T @ (yes - p))
-        p = 1 / (1 + np.exp(-f @ beta))
-        return -2 * np.where(yes, np.log(p), np.log(1 - p)).sum()
-
-    one = np.ones(300)
-    steps = [deviance(np.column_stack(c)) for c in ([one], [one, x], [one, x, g], [one, x, g, x * g])]
-    want = {"x": (steps[0] - steps[1], 1), "g": (steps[1] - steps[2], 1), "none": (0.0, 0), "both": (steps[2] - steps[3], 1)}
-    assert {n: (pytest.approx(c, abs=1e-4), k) for n, c, k, _ in got} == want
-    assert all(p == pytest.approx(math.erfc(math.sqrt(c / 2)), abs=1e-6) for n, c, k, p in got if k)
-    assert models.nested_logistic(df.limit(0), {"x": [F.col("x")]}, F.col("yes")) == []
-
-
 def test_population_average(spark):
     rows = [(float(b), float(v)) for b, v in ((0.5, 0.04), (-0.2, 0.09), (1.4, 0.01), (0.1, 0.25))]
     b, v = np.array(rows).T

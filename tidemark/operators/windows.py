@@ -52,6 +52,6 @@ def with_decile(df: DataFrame, value: str, keys: Sequence[str], name: str = "bin
 
 
 def trimmed(curve: DataFrame, seen: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
-    """The points of one curve for each group of ``seen``, from its least to its largest x."""
+    """The points of each group's curve that lie between the least and the largest x seen in the group."""
     span = seen.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    return span.join(curve, F.col(x).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    return curve.join(span, list(keys)).where(F.col(x).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")

@@ -9,6 +9,7 @@ from ..functions import nulls, scalar
 from ..operators import classify, exposure, regress, shape, spatial
 from ..operators import relational as rel
 from ..operators import windows as win
+from ..sources.staging import staged
 from .proxy import POP, QUANTILES, daily, optima, read, sites, sql, survey, thresholds
 from .registry import query
 
@@ -248,10 +249,11 @@ def _(spark, d):
 
 
 _QLAT = "SELECT species, quantile_cont(lat, 0.25) AS q25, quantile_cont(lat, 0.75) AS q75 FROM survey JOIN sites USING (site, region) GROUP BY 1"
+_PLACED = "CASE WHEN q25 > 0 AND q75 > 0 OR q25 < 0 AND q75 > 0 AND abs(q25) < abs(q75) THEN CASE WHEN lat < q25 THEN 'Warm' WHEN lat > q75 THEN 'Cold' ELSE 'Mid' END WHEN q25 < 0 AND q75 < 0 OR q25 < 0 AND q75 > 0 THEN CASE WHEN lat > q75 THEN 'Warm' WHEN lat < q25 THEN 'Cold' ELSE 'Mid' END END"
 _POSITION = "SELECT o.region, o.species, avg(o.lat) AS lat, q25, q75 FROM optima o JOIN qlat USING (species) GROUP BY ALL"
 
 
-@query("d12b_range_position", sql("SELECT region, species, CASE WHEN q25 > 0 AND q75 > 0 OR q25 < 0 AND q75 > 0 AND abs(q25) < abs(q75) THEN CASE WHEN lat < q25 THEN 'Warm' WHEN lat > q75 THEN 'Cold' ELSE 'Mid' END WHEN q25 < 0 AND q75 < 0 OR q25 < 0 AND q75 > 0 THEN CASE WHEN lat > q75 THEN 'Warm' WHEN lat < q25 THEN 'Cold' ELSE 'Mid' END END AS position FROM pos", "optima", qlat=_QLAT, pos=_POSITION))
+@query("d12b_range_position", sql(f"SELECT region, species, {_PLACED} AS position FROM pos", "optima", qlat=_QLAT, pos=_POSITION))
 def _(spark, d):
     q = survey(spark, d).join(sites(spark, d), ["site", "region"]).groupBy("species").agg(F.percentile("lat", 0.25).alias("q25"), F.percentile("lat", 0.75).alias("q75"))
     o = optima(spark, d).groupBy(*POP).agg(F.avg("lat").alias("lat")).join(q, "species")
@@ -394,27 +396,53 @@ def _(spark, d):
     return _steps(spark, d).join(F.broadcast(c), "yr", "left").where(~nulls.is_in(F.col("class"), ["edge_peak"])).select(*POP, "yr", "class")
 
 
-_BINS = "SELECT species, bin, count(*) AS n, avg(exposure) AS x, avg(yes) AS p, sqrt(avg(yes) * (1 - avg(yes)) / count(*)) AS se FROM (SELECT s.species, exposure, CAST(poleward_km > 0 AS INTEGER) AS yes, CAST(greatest(len(list_filter(c, lambda v: v < exposure)), 1) AS INTEGER) AS bin FROM steps s JOIN (SELECT species, list_distinct(quantile_cont(exposure, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS c FROM steps GROUP BY 1) USING (species)) GROUP BY ALL"
+_CATEGORIES = {
+    "steps": _STEPS,
+    "qlat": _QLAT,
+    "optimum": "SELECT species, avg(temp) / 2304 AS optimum FROM survey GROUP BY 1",
+    "pos": "SELECT region, species, avg(lat) AS lat, q25, q75 FROM steps JOIN qlat USING (species) GROUP BY ALL",
+    "placed": f"SELECT region, species, {_PLACED} AS range FROM pos",
+    "cat": "SELECT s.*, CASE WHEN optimum > 23 THEN 'Warm' ELSE 'Cool' END AS guild, range FROM steps s JOIN placed USING (region, species) JOIN optimum USING (species) WHERE range IS NOT NULL",
+}
+
+
+def _categorised(spark, d):
+    """Steps with the guild of their species and the place of their population in the species' range; without one they are left out."""
+    s = _steps(spark, d)
+    of_species = survey(spark, d).join(sites(spark, d), ["site", "region"]).groupBy("species").agg((F.avg("temp") / 2304).alias("optimum"), F.percentile("lat", 0.25).alias("q25"), F.percentile("lat", 0.75).alias("q75"))
+    placed = s.groupBy(*POP).agg(F.avg("lat").alias("mlat")).join(of_species, "species")
+    placed = placed.select(*POP, scalar.guild(F.col("optimum")).alias("guild"), scalar.range_position(F.col("mlat"), F.col("q25"), F.col("q75")).alias("range"))
+    return s.join(placed.dropna(), POP)
+
 
+CATEGORY = ["guild", "range"]
+_BINS = "SELECT guild, range, bin, count(*) AS n, avg(exposure) AS x, avg(yes) AS p, sqrt(avg(yes) * (1 - avg(yes)) / count(*)) AS se FROM (SELECT guild, range, exposure, CAST(poleward_km > 0 AS INTEGER) AS yes, CAST(greatest(len(list_filter(c, lambda v: v < exposure)), 1) AS INTEGER) AS bin FROM cat JOIN (SELECT guild, range, list_distinct(quantile_cont(exposure, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS c FROM cat GROUP BY ALL) USING (guild, range)) GROUP BY ALL"
 
-def _bins(spark, d):
-    b = win.with_decile(_steps(spark, d), "exposure", ["species"]).withColumn("yes", (F.col("poleward_km") > 0).cast("int"))
+
+def _bins(cat):
+    b = win.with_decile(cat, "exposure", CATEGORY).withColumn("yes", (F.col("poleward_km") > 0).cast("int"))
     p = F.avg("yes")
-    return b.groupBy("species", "bin").agg(F.count("*").alias("n"), F.avg("exposure").alias("x"), p.alias("p"), F.sqrt(p * (1 - p) / F.count("*")).alias("se"))
+    return b.groupBy(*CATEGORY, "bin").agg(F.count("*").alias("n"), F.avg("exposure").alias("x"), p.alias("p"), F.sqrt(p * (1 - p) / F.count("*")).alias("se"))
+
+
+def _curve_points(cat):
+    """80 points for each guild and range from its least to its largest exposure, of those that lie between its binned points."""
+    ends = cat.groupBy(*CATEGORY).agg(F.min("exposure").cast("double").alias("lo"), F.max("exposure").cast("double").alias("hi"))
+    at = ends.select(*CATEGORY, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(79))).alias("i"))
+    at = at.select(*CATEGORY, F.col("i").cast("bigint").alias("i"), (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / 79).alias("x"))
+    return win.trimmed(at, _bins(cat), CATEGORY, "x")
 
 
-@query("d21_binned_proportions", sql("SELECT species, bin, n, round(x, 3) AS x, round(p, 4) AS p, round(se, 4) AS se, round(greatest(p - se, 0), 4) AS lo, round(least(p + se, 1), 4) AS hi FROM bins", "optima", steps=_STEPS, bins=_BINS))
+@query("d21_binned_proportions", sql("SELECT guild, range, bin, n, round(x, 3) AS x, round(p, 4) AS p, round(se, 4) AS se, round(greatest(p - se, 0), 4) AS lo, round(least(p + se, 1), 4) AS hi FROM bins", "optima", **_CATEGORIES, bins=_BINS))
 def _(spark, d):
     low, high = F.greatest(F.col("p") - F.col("se"), F.lit(0.0)), F.least(F.col("p") + F.col("se"), F.lit(1.0))
-    return _bins(spark, d).select("species", "bin", "n", F.round("x", 3).alias("x"), r4("p").alias("p"), r4("se").alias("se"), r4(low).alias("lo"), r4(high).alias("hi"))
+    return _bins(staged(_categorised(spark, d))).select(*CATEGORY, "bin", "n", F.round("x", 3).alias("x"), r4("p").alias("p"), r4("se").alias("se"), r4(low).alias("lo"), r4(high).alias("hi"))
 
 
-@query("d21_curve_range", sql("SELECT species, i, round(lo + (hi - lo) * i / 79, 4) AS x FROM (SELECT min(exposure) AS lo, max(exposure) AS hi FROM steps), range(80) t(i), (SELECT species, min(x) AS a, max(x) AS b FROM bins GROUP BY 1) WHERE lo + (hi - lo) * i / 79 BETWEEN a AND b", "optima", steps=_STEPS, bins=_BINS))
+@query("d21_curve_range", sql("SELECT guild, range, i, round(lo + (hi - lo) * i / 79, 4) AS x FROM (SELECT guild, range, min(exposure) AS lo, max(exposure) AS hi FROM cat GROUP BY ALL), range(80) t(i), (SELECT guild AS g, range AS r, min(x) AS a, max(x) AS b FROM bins GROUP BY ALL) WHERE g = guild AND r = range AND lo + (hi - lo) * i / 79 BETWEEN a AND b", "optima", **_CATEGORIES, bins=_BINS))
 def _(spark, d):
-    """The 80 points of a curve, for each species only where its binned points lie."""
-    ends = _steps(spark, d).agg(F.min("exposure").cast("double").alias("lo"), F.max("exposure").cast("double").alias("hi"))
-    at = ends.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(79))).alias("i")).select(F.col("i").cast("bigint").alias("i"), (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / 79).alias("x"))
-    return win.trimmed(at, _bins(spark, d), ["species"], "x").select("species", "i", r4("x").alias("x"))
+    """The points of the curves of each guild and range, only where its binned points lie."""
+    return _curve_points(staged(_categorised(spark, d))).select(*CATEGORY, "i", r4("x").alias("x"))
 
 
 # --- warming, coverage and summary tables

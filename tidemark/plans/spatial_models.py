@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import classify, models, path, regress, spatial
+from ..operators import classify, mixed, models, path, regress, spatial
 from ..operators import relational as rel
 from ..operators import windows as win
-from .domain import _lat_trends, _steps, stacked
+from ..sources.staging import staged
+from .domain import _categorised, _curve_points, _lat_trends, stacked
 from .proxy import POP, daily, optima, read, sites, sql
 from .registry import query
 
@@ -205,45 +208,75 @@ def _(spark, d):
     return best.select(*POP, "b.spec", "b.estimate", "b.aic")
 
 
-def _poleward(spark, d):
-    s = win.with_z_score(_steps(spark, d), "exposure", "x")
-    return s, F.col("poleward_km") > 0
+def _factors():
+    """The contrasts of guild (against Cool) and range (against Mid)."""
+    return [(F.col("guild") == "Warm").cast("double")], [(F.col("range") == r).cast("double") for r in ("Warm", "Cold")]
+
+
+#: What contains each block of terms.
+_WITHIN = {
+    "exposure": ("exposure_guild", "exposure_range", "exposure_guild_range"), "guild": ("exposure_guild", "guild_range", "exposure_guild_range"), "range": ("exposure_range", "guild_range", "exposure_guild_range"),
+    "exposure_guild": ("exposure_guild_range",), "exposure_range": ("exposure_guild_range",), "guild_range": ("exposure_guild_range",),
+}
+
+
+def _blocks(curve):
+    """Blocks of terms by name: exposure (x and more of it), guild, range and all that they do together."""
+    warm, ranges = _factors()
+    both = lambda some, more: [a * b for a in some for b in more]
+    return {
+        "intercept": [F.lit(1.0)], "exposure": curve, "guild": warm, "range": ranges, "exposure_guild": both(curve, warm), "exposure_range": both(curve, ranges),
+        "guild_range": both(warm, ranges), "exposure_guild_range": both(both(curve, warm), ranges),
+    }
+
+
+def _named(blocks):
+    names = {b: [f"{b}_{i + 1}" for i in range(len(terms))] for b, terms in blocks.items()}
+    return names, {n: t for b, terms in blocks.items() for n, t in zip(names[b], terms, strict=True)}
 
 
-def _terms(x):
-    return [F.lit(1.0), x, x * x]
+def _probability_model(spark, d, degree=2):
+    """P(poleward) ~ exposure (standardised, to a degree) x guild x range, an intercept by population, AR1 over years.
+
+    Returns the rows, the moments of exposure, the names of terms by block, the terms and the fit.
+    """
+    rows = staged(_categorised(spark, d))
+    m = rows.agg(F.avg("exposure").alias("m"), F.stddev_samp("exposure").alias("s")).first()
+    centre, spread = float(m["m"] or 0.0), float(m["s"] or 1.0)
+    z = (F.col("exposure") - centre) / spread
+    names, terms = _named(_blocks([z, z * z][:degree]))
+    return rows, (centre, spread), names, terms, mixed.mixed_logistic(rows, POP, "yr", terms, F.col("poleward_km") > 0)
 
 
 @query("d22_m06_m10_m11_poleward_probability")
 def _(spark, d):
-    """Quadratic in standardised exposure: coefficients, standard errors and the likelihood-ratio test of the curve."""
-    s, yes = _poleward(spark, d)
-    full, cov, ll = models.logistic_sums(s, _terms(F.col("x")), yes)
-    _, _, ll0 = models.logistic_sums(s, [F.lit(1.0)], yes)
-    rows = [(n, float(b), float(cov[i, i] ** 0.5), models.chi2_tail(2 * (ll - ll0), 2)) for i, (n, b) in enumerate(zip(("intercept", "linear", "quadratic"), full, strict=True))]
-    return spark.createDataFrame(rows, "term string, estimate double, se double, p_curve double")
+    """The quadratic mixed model: fixed effects with standard errors and P, the random part, and the likelihood-ratio test against a straight line."""
+    *_, fit = _probability_model(spark, d)
+    *_, line = _probability_model(spark, d, 1)
+    more = fit.parameters - line.parameters
+    curve = models.chi2_tail(max(0.0, 2 * (fit.loglik - line.loglik)), more) if more else 1.0
+    se = [math.sqrt(max(v, 0.0)) for v in fit.cov.diagonal()]
+    rows = [(t, float(b), s, math.erfc(abs(b / s) / math.sqrt(2)) if s > 0 else None, curve) for t, b, s in zip(fit.terms, fit.beta, se, strict=True)]
+    rows += [(k, v, None, None, curve) for k, v in fit.random.items() if fit.terms]
+    return spark.createDataFrame(rows, "term string, estimate double, se double, p double, p_curve double")
 
 
 @query("d22_guild_range_tests")
 def _(spark, d):
-    """Likelihood-ratio tests of exposure, guild, range and what they do together."""
-    s, yes = _poleward(spark, d)
-    wide = s.groupBy("species").agg(F.percentile("plat", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    s = s.join(wide, "species").withColumns({"guild": scalar.guild(F.abs("plat")), "range": scalar.range_position(F.col("plat"), F.col("q")[0], F.col("q")[1])})
-    x, warm = F.col("x"), (F.col("guild") == "Warm").cast("double")
-    ranges = [(F.col("range") == r).cast("double") for r in ("Warm", "Cold")]
-    curve = [x, x * x]
-    both = lambda some, more: [a * b for a in some for b in more]
-    blocks = {"exposure": curve, "guild": [warm], "range": ranges, "exposure_guild": both(curve, [warm]), "exposure_range": both(curve, ranges), "guild_range": both([warm], ranges), "exposure_guild_range": both(both(curve, [warm]), ranges)}
-    return spark.createDataFrame(models.nested_logistic(s, blocks, yes), "block string, chi2 double, df int, p double")
+    """Tests of exposure, guild, range and what they do together, each after all that doesn't contain it."""
+    _, _, names, _, fit = _probability_model(spark, d)
+    tested = {b: t for b, t in names.items() if b != "intercept"}
+    return spark.createDataFrame(mixed.type2(fit, tested, _WITHIN) if fit.terms else [], "block string, chi2 double, df int, p double")
 
 
 @query("m11_predicted_probability")
 def _(spark, d):
-    """The curve of d22 at 80 points with its interval."""
-    s, yes = _poleward(spark, d)
-    beta, cov, _ = models.logistic_sums(s, _terms(F.col("x")), yes)
-    return models.logistic_curve(s, "x", _terms, beta, cov)
+    """The surface of d22 by guild and range: 80 points each between their binned points, with intervals."""
+    rows, (centre, spread), _, _, fit = _probability_model(spark, d)
+    points = _curve_points(rows).withColumnRenamed("x", "exposure")
+    z = (F.col("exposure") - centre) / spread
+    _, terms = _named(_blocks([z, z * z]))
+    return mixed.predicted(points, fit, terms).select("guild", "range", "i", "exposure", "fit", "lower", "upper")
 
 
 _ARMS = "SELECT species, CAST(abund AS DOUBLE) AS v, lat >= 0 AS a, rank() OVER (PARTITION BY species ORDER BY abund) + (count(*) OVER (PARTITION BY species, abund) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY species, abund) AS tied FROM optima"
