@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -240,6 +241,18 @@ def test_one_of_each_goes_by_row(spark):
     assert len([t for d, t in got if d == 3]) == 1
 
 
+@pytest.mark.parametrize("number", [None, 3])
+def test_repeated_rows_are_compared_once(spark, monkeypatch, number):
+    """Two near texts, 400 rows each under one number: the pairs that are compared don't grow with the repeats."""
+    seen, measured = [], near_dup.measured
+    monkeypatch.setattr(near_dup, "measured", lambda pairs, texts, size=3: seen.append(pairs.join(texts.select(F.col("node").alias("a")), "a").join(texts.select(F.col("node").alias("b")), "b").count()) or measured(pairs, texts, size))
+    words = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(number, words), (number, words + " end")] * 400 + [(1, "alone")], "doc_id bigint, text string")
+    got = near_dup.near_duplicates(docs).groupBy("component_id").count().collect()
+    assert sorted((r["component_id"] or 0, r["count"]) for r in got) == sorted([(number or 0, 800), (1, 1)])
+    assert max(seen) <= 4
+
+
 def test_many_near_copies_without_number(spark):
     """Pairs stay in proportion to rows: 2,000 near copies under the null doc_id, some more under one number."""
     rng = random.Random(8)
@@ -489,8 +502,14 @@ def test_fingerprint_moves_only_near_an_edit():
     assert fuzzy_hash.fingerprint(b"") == "3::" and fuzzy_hash.likeness("3::", mark) == 0.0
 
 
+def descending(rows):
+    """By doc_id, null last, then by the signed hash of the text, largest first."""
+    signed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    return sorted(((r["doc_id"], r["text"] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])), reverse=True)
+
+
 def test_fingerprints(spark, awkward, nothing):
-    rows = sorted(((r["doc_id"], r["text"] or "") for r in awkward.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    rows = descending(awkward.collect())
     want = []
     for (doc, t), (_, following) in zip(rows, rows[1:] + rows[:1], strict=True):
         changed = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
@@ -503,6 +522,17 @@ def test_fingerprints(spark, awkward, nothing):
     assert len(alone) == 1 and alone[0]["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("number", [None, 7, -5])
+def test_rows_of_one_number_are_many_tasks(spark, number):
+    texts = [f"text {i} of many" for i in range(2_000)]
+    docs = spark.createDataFrame([(number, t) for t in texts] + [(1, "first"), (9, "last")], "doc_id bigint, text string")
+    found = fuzzy_hash.fingerprints(docs)
+    rows = descending(docs.collect())
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest() for (_, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True))
+    assert sorted(r["edited_sha256"] for r in found.collect()) == want
+    assert found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 1_200
+
+
 # --- 9 quality
 
 

@@ -75,11 +75,11 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def count_below(bounds: Sequence[int], value: Column) -> Column:
-    """How many of the sorted bounds are less than the value, by binary search."""
+def count_below(bounds: Sequence, value: Column, kind: str = "bigint") -> Column:
+    """How many of the sorted bounds (without commas) are less than the value, by binary search."""
     if not bounds:
         return F.lit(0)
-    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded into one literal
+    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast(f"array<{kind}>")  # folded into one literal
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
 
     def halve(s: Column, _: Column) -> Column:

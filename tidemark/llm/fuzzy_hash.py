@@ -12,10 +12,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import count_below, literal_rows, ship, sliced, width
+from .common import count_below, ship, sliced, width
 
 WINDOW, LEAST_BLOCK, LENGTH = 7, 3, 64
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -117,33 +117,38 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def place(doc_id: Column, text: Column) -> Column:
+    """Sorts as descending doc_id, null last, then as descending hash of the text: digits of equal length."""
+    digits = lambda c: F.lpad(F.hex(c), 16, "0")
+    turned = lambda c: F.bitwise_not(c.bitwiseXOR(F.lit(-(1 << 63))))
+    number = F.when(doc_id.isNull(), F.lit("1" + "0" * 16)).otherwise(F.concat(F.lit("0"), digits(turned(doc_id))))
+    return F.concat(number, digits(turned(F.xxhash64(text))))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness to each other and to the next document's.
 
     The next document is the next lower doc_id, after the last one the first; a table of one row
-    is its own next.  A null doc_id comes last, rows with the same doc_id are ordered by their
+    is its own next.  A null doc_id comes last, rows with the same doc_id go by the hash of their
     texts, null texts count as empty.  Repeated rows stay repeated, an empty table gives no rows.  A very long
     text is hashed whole; it takes about 40 bytes of memory a byte while it is.  Only key and text are read,
     whatever other columns are called.
 
-    Documents are ranged by quantiles of doc_id into buckets; the first documents of a bucket also
-    go to the bucket before it, so each text is shuffled about once and no window spans the table.
+    The order is that of ``place``, which ranges documents into buckets: rows of one doc_id, or of none, go by the hash of
+    their text, so no number is one task (rows that repeat both are neighbours and stay together).  The first row of a bucket
+    also goes to the bucket before it, so each text is shuffled about once and no window spans the table.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = 4 * width(spark)
-    bounds = sorted({int(x) for x in docs.select(F.col(key).cast("bigint").alias("k")).where("k is not null").approxQuantile("k", [i / n for i in range(1, n)], 0.25 / n)})
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(len(bounds) - count_below(bounds, F.col("doc_id")))
-    rows = rows.withColumn("bucket", bucket.cast("int"))
-    heads = sorted((r["bucket"], r["head"]) for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())
-    before = [{"bucket": b, "head": h, "previous": heads[i - 1][0]} for i, (b, h) in enumerate(heads)]
-    table = literal_rows(spark, before, "bucket int, head bigint, previous int")  # one row per bucket
-    rows = rows.join(F.broadcast(table), "bucket")
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("place", place(F.col("doc_id"), F.col("text")))
+    ranged = rows.select("place").repartitionByRange(4 * width(spark), "place")
+    bounds = sorted(r["least"] for r in ranged.groupBy(F.spark_partition_id()).agg(F.min("place").alias("least")).collect())  # one a bucket
+    rows = rows.withColumn("bucket", count_below(bounds[1:], F.concat("place", F.lit("~")), "string"))  # "~" follows all digits: equal bounds count
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("peek"))
-    peek = F.struct(F.col("previous").alias("bucket"), F.lit(True).alias("peek"))
-    rows = rows.select("doc_id", "text", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(own, peek)).otherwise(F.array(own))).alias("at"))
-    rows = rows.select("doc_id", "text", "at.bucket", "at.peek").repartition(width(spark), "bucket")
-    rows = rows.sortWithinPartitions("bucket", "peek", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    peek = F.struct(F.pmod(F.col("bucket") - 1, F.lit(max(len(bounds), 1))).alias("bucket"), F.lit(True).alias("peek"))
+    heads = F.get(F.split(F.lit(",".join(bounds)), ","), F.col("bucket"))
+    rows = rows.select("doc_id", "text", "place", F.explode(F.when(F.col("place") == heads, F.array(own, peek)).otherwise(F.array(own))).alias("at"))
+    rows = rows.select("doc_id", "text", "place", "at.bucket", "at.peek").repartition(width(spark), "bucket")
+    rows = rows.sortWithinPartitions("bucket", "peek", "place", F.col("text").desc())
 
     ship(docs.sparkSession)
     def judged(batches):

@@ -231,7 +231,7 @@ def grouped(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, key: s
 
     held = members.select("node").distinct().join(classes.select("node", "set_key", F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("rep_text")), "node")
     own = docs.select(F.col(key).cast("bigint").alias("rep"), F.col(text).alias("text"), text_key(F.col(text)).alias("rep_text")).where(F.col("text").isNotNull()).withColumnRenamed("rep", "own")
-    texts = own.join(held, own["own"].eqNullSafe(held["rep"]) & (own["rep_text"] == held["rep_text"])).select("node", "set_key", "text")
+    texts = own.join(held, own["own"].eqNullSafe(held["rep"]) & (own["rep_text"] == held["rep_text"])).select("node", "set_key", "text").dropDuplicates(["node"])  # once, however often its row repeats
     texts = staged(texts, f"{folder}/texts")
     linked = F.col("common") * 100 >= F.col("united") * percent
     links = staged(measured(tested, texts, size).where(linked).select("a", "b"), f"{folder}/links")
