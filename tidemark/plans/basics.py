@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nulls, scalar
 from ..operators import relational as rel
+from ..operators.quantiles import exact_quantiles
 from ..operators import windows as win
 from ..sources import staging, tables
 from .proxy import POP, optima, read, site_years, sites, sql, survey
@@ -308,7 +309,9 @@ def _(spark, d):
 
 @query("a02_moments", sql("SELECT species, round(avg(temp), 4) AS mean, min(temp) AS lo, max(temp) AS hi, round(sum(abund), 4) AS total, round(stddev_samp(temp), 4) AS sd, median(temp) AS med FROM survey GROUP BY 1", "survey"))
 def _(spark, d):
-    return survey(spark, d).groupBy("species").agg(r4(F.avg("temp")).alias("mean"), F.min("temp").alias("lo"), F.max("temp").alias("hi"), r4(F.sum("abund")).alias("total"), r4(F.stddev_samp("temp")).alias("sd"), F.median("temp").alias("med"))
+    s = survey(spark, d).select("species", "temp", "abund")
+    moments = s.groupBy("species").agg(r4(F.avg("temp")).alias("mean"), F.min("temp").alias("lo"), F.max("temp").alias("hi"), r4(F.sum("abund")).alias("total"), r4(F.stddev_samp("temp")).alias("sd"))
+    return moments.join(exact_quantiles(s, ["species"], "temp", {"med": 0.5}), "species")
 
 
 @query("a03_distinct", sql("SELECT region, count(DISTINCT species) AS species, count(DISTINCT (species, site)) AS pairs FROM survey GROUP BY 1", "survey"))
@@ -380,7 +383,7 @@ def _(spark, d):
 @query("a20_frequency_quantiles", "SELECT quantile_cont(n, 0.05) AS q05, quantile_cont(n, 0.5) AS q50, quantile_cont(n, 0.95) AS q95 FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)")
 def _(spark, d):
     n = read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    return n.agg(*[F.percentile("n", q).alias(name) for q, name in ((0.05, "q05"), (0.5, "q50"), (0.95, "q95"))])
+    return exact_quantiles(n, [], "n", {"q05": 0.05, "q50": 0.5, "q95": 0.95})
 
 
 @query("a21_empty_maximum", "SELECT max(o_totalprice) FILTER (WHERE o_totalprice < 0) AS none, count(*) AS n FROM orders")
@@ -390,7 +393,9 @@ def _(spark, d):
 
 @query("a22_summary", "SELECT event_type, min(value) AS lo, quantile_cont(value, 0.25) AS q1, median(value) AS med, round(avg(value), 4) AS mean, quantile_cont(value, 0.75) AS q3, max(value) AS hi FROM events GROUP BY 1")
 def _(spark, d):
-    return read(spark, d, "events").groupBy("event_type").agg(F.min("value").alias("lo"), F.percentile("value", 0.25).alias("q1"), F.median("value").alias("med"), r4(F.avg("value")).alias("mean"), F.percentile("value", 0.75).alias("q3"), F.max("value").alias("hi"))
+    e = read(spark, d, "events")
+    ends = e.groupBy("event_type").agg(F.min("value").alias("lo"), r4(F.avg("value")).alias("mean"), F.max("value").alias("hi"))
+    return ends.join(exact_quantiles(e, ["event_type"], "value", {"q1": 0.25, "med": 0.5, "q3": 0.75}), "event_type")
 
 
 @query("a23_smallest_group_guard", sql("SELECT region, species, yr FROM optima QUALIFY count(*) OVER (PARTITION BY region, species) >= 4", "optima"))

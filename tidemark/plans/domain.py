@@ -42,14 +42,17 @@ _CHAIN = "SELECT region, species, yr, lag(yr) OVER w AS prev_yr, first(yr) OVER
 
 def panel(spark, d):
     tri = exposure.triangular(optima(spark, d)).select(*POP, "yr", "site", "lead_yr", "abund")
+    # Daily rows meet each species, site and year once, however many optima look at it.
+    tri = staged(tri)
     series = daily(spark, d).select("site", F.col("yr").alias("lead_yr"), "v")
-    rows = tri.join(series, ["site", "lead_yr"]).join(thresholds(spark, d).select("species", "q90"), "species")
-    return rows.groupBy(*POP, "yr", "site", "lead_yr").agg(F.avg("v").alias("mean_temp"), F.count_if(F.col("v") > F.col("q90")).alias("days_above_q90"), F.first("abund").alias("abund"))
+    cells = tri.select("species", "site", "lead_yr").distinct().join(series, ["site", "lead_yr"]).join(thresholds(spark, d).select("species", "q90"), "species")
+    cells = cells.groupBy("species", "site", "lead_yr").agg(F.avg("v").alias("mean_temp"), F.count_if(F.col("v") > F.col("q90")).alias("days_above_q90"))
+    return tri.join(cells, ["species", "site", "lead_yr"])
 
 
-def stacked(spark, d):
-    """The annual mean at the realised site (obs) and at the first year's site (ref) of each sampling year."""
-    o = optima(spark, d)
+def stacked(spark, d, o=None):
+    """The annual mean at the realised site (obs) and at the first year's site (ref) of each sampling year; the optima may be given."""
+    o = staged(optima(spark, d)) if o is None else o
     first = o.groupBy(*POP).agg(F.min_by("site", "yr").alias("site"))
     visits = o.select(*POP, "yr", "site", F.lit("obs").alias("arm")).unionByName(o.select(*POP, "yr").join(first, POP).withColumn("arm", F.lit("ref")))
     annual = daily(spark, d).groupBy("site", "yr").agg(F.avg("v").alias("y"))
@@ -83,14 +86,14 @@ _RESPONSE = f"""SELECT region, species, r, d, i, CASE
 _FLAG = {"stack": _STACK, **_arms_sql(), "resp": _RESPONSE}
 
 
-def contrasts(spark, d):
-    return regress.contrasts(stacked(spark, d), POP)
+def contrasts(spark, d, o=None):
+    return regress.contrasts(stacked(spark, d, o), POP)
 
 
-def responses(spark, d):
+def responses(spark, d, o=None):
     """Contrasts with their response; significance stands in for P: below alpha where |z| is beyond its point."""
     p = lambda z: F.when(F.abs(z) > Z, 0.0).when(F.abs(z) <= Z, 1.0)
-    c = contrasts(spark, d)
+    c = contrasts(spark, d, o)
     rule = classify.response(F.col("ref_slope"), F.col("slope_dev"), F.col("int_dev"), p(F.col("ref_slope_z")), p(F.col("slope_dev_z")), p(F.col("int_dev_z")))
     return c.withColumn("rule", rule)
 
@@ -265,8 +268,8 @@ def _(spark, d):
 _TREND = "SELECT region, species, n, sxy / sxx AS slope, my - sxy / sxx * mx AS intercept, greatest(syy - sxy * sxy / sxx, 0) / n AS var, sxx, mx FROM (SELECT region, species, regr_count(y, x) AS n, regr_avgx(y, x) AS mx, regr_avgy(y, x) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy FROM (SELECT region, species, CAST(yr AS DOUBLE) AS x, abs(lat) AS y FROM optima) GROUP BY ALL) WHERE n >= 4 AND sxx > 0"
 
 
-def _lat_trends(spark, d):
-    return regress.ml_trends(optima(spark, d).withColumn("y", F.abs("lat")), POP, "yr", "y")
+def _lat_trends(spark, d, o=None):
+    return regress.ml_trends((optima(spark, d) if o is None else o).withColumn("y", F.abs("lat")), POP, "yr", "y")
 
 
 @query("d13_m01_m02_trends", sql("SELECT region, species, n, round(slope, 4) AS slope, round(sqrt(var / sxx), 4) AS se, round(slope / nullif(sqrt(var / sxx), 0), 3) AS z, CASE WHEN var > 0 THEN round(n * (ln(2 * pi() * var) + 1) + 8, 3) END AS aic FROM trend", "optima", trend=_TREND))
@@ -380,8 +383,8 @@ def _(spark, d):
 _STEPS = "SELECT *, (abs(lat) - abs(plat)) * 111 AS poleward_km FROM (SELECT region, species, yr, lat, lag(lat) OVER w AS plat, yr - lag(yr) OVER w AS gap, lag(abund) OVER w AS exposure FROM optima WINDOW w AS (PARTITION BY region, species ORDER BY yr)) WHERE gap = 1"
 
 
-def _steps(spark, d):
-    o = optima(spark, d).withColumns({"plat": win.exact_lag(F.col("lat"), 1), "exposure": win.exact_lag(F.col("abund"), 1)})
+def _steps(spark, d, o=None):
+    o = (optima(spark, d) if o is None else o).withColumns({"plat": win.exact_lag(F.col("lat"), 1), "exposure": win.exact_lag(F.col("abund"), 1)})
     return o.where("plat is not null").withColumn("poleward_km", (F.abs("lat") - F.abs("plat")) * scalar.KM_PER_DEGREE)
 
 
@@ -512,7 +515,7 @@ def _(spark, d):
 
 @query("d30_r04_composition", sql("SELECT g.region, g.response, coalesce(n, 0) AS n, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY g.region), 4) AS share, CAST(dense_rank() OVER (ORDER BY m DESC, g.region) AS INTEGER) AS k FROM (SELECT * FROM (SELECT region FROM rr GROUP BY 1 HAVING count(*) >= 5), (SELECT DISTINCT response FROM rr)) g LEFT JOIN (SELECT region, response, count(*) AS n FROM rr GROUP BY ALL) c USING (region, response) JOIN (SELECT region, avg(lat) AS m FROM sites GROUP BY 1) s USING (region)", "daily", "optima", **_FLAG, rr="SELECT region, species, split_part(rule, '/', 2) AS response FROM resp WHERE rule IS NOT NULL"))
 def _(spark, d):
-    r = responses(spark, d).where("rule is not null").select("region", F.col("rule.response").alias("response"))
+    r = staged(responses(spark, d).where("rule is not null").select("region", F.col("rule.response").alias("response")))
     regions = r.groupBy("region").agg(F.count("*").alias("t")).where("t >= 5").select("region")
     full = rel.completed(r.groupBy("region", "response").agg(F.count("*").alias("n")), regions, r.select("response").distinct(), "n")
     order = sites(spark, d).groupBy("region").agg(F.avg("lat").alias("m")).join(regions, "region").select("region", F.row_number().over(Window.orderBy(F.col("m").desc(), "region")).alias("k"))
@@ -554,11 +557,12 @@ _FLAGS = "SELECT r.region, coalesce(l, 0) >= 5 AS fl, coalesce(p, 0) > 0 AS fp,
 _CODE = "SELECT region, CASE WHEN fl AND fp AND fc AND fb THEN 'All' ELSE array_to_string(list_filter([CASE WHEN fl THEN 'L' END, CASE WHEN fp THEN 'P' END, CASE WHEN fc THEN 'C' END, CASE WHEN fb THEN 'B' END], lambda x: x IS NOT NULL), ', ') END AS code FROM flags"
 
 
-def _codes(spark, d):
-    known = _lat_trends(spark, d).groupBy("region").agg(F.count("*").alias("l"))
-    step = _steps(spark, d).where("poleward_km > 0").groupBy("region").agg(F.countDistinct("species").alias("p"))
-    buf = responses(spark, d).where("rule.scenario = 'Buffering'").groupBy("region").agg(F.count("*").alias("b"))
-    j = optima(spark, d).select("region").distinct()
+def _codes(spark, d, o=None):
+    o = staged(optima(spark, d)) if o is None else o
+    known = _lat_trends(spark, d, o).groupBy("region").agg(F.count("*").alias("l"))
+    step = _steps(spark, d, o).where("poleward_km > 0").groupBy("region").agg(F.countDistinct("species").alias("p"))
+    buf = responses(spark, d, o).where("rule.scenario = 'Buffering'").groupBy("region").agg(F.count("*").alias("b"))
+    j = o.select("region").distinct()
     for t in (known, step, buf):
         j = j.join(t, "region", "left")
     j = j.fillna(0)
@@ -575,10 +579,10 @@ def _(spark, d):
 
 @query("d34_summary_table_1", sql("SELECT n_name AS region, count(DISTINCT species) AS n_species, count(DISTINCT site) AS n_sites, count(*) AS n_years, any_value(code) AS coverage FROM optima o JOIN nation ON n_nationkey = region JOIN code USING (region) GROUP BY 1 UNION ALL SELECT 'Total', count(DISTINCT species), count(DISTINCT site), count(*), NULL FROM optima", "daily", "optima", **_COVER))
 def _(spark, d):
-    o = optima(spark, d)
+    o = staged(optima(spark, d))
     cells = [F.countDistinct("species").alias("n_species"), F.countDistinct("site").alias("n_sites"), F.count("*").alias("n_years")]
     names = read(spark, d, "nation").select(F.col("n_nationkey").alias("region"), "n_name")
-    rows = o.groupBy("region").agg(*cells).join(names, "region").join(_codes(spark, d), "region").select(F.col("n_name").alias("region"), "n_species", "n_sites", "n_years", F.col("code").alias("coverage"))
+    rows = o.groupBy("region").agg(*cells).join(names, "region").join(_codes(spark, d, o), "region").select(F.col("n_name").alias("region"), "n_species", "n_sites", "n_years", F.col("code").alias("coverage"))
     return rel.with_total(rows, o.agg(*cells).withColumn("region", F.lit("Total")))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import exact_quantiles
 from ..operators.relational import first_of_each
 
 POP = ["region", "species"]
@@ -51,9 +52,8 @@ QUANTILES = {"q2_5": 0.025, "q5": 0.05, "q10": 0.1, "q50": 0.5, "q70": 0.7, "q90
 
 
 def thresholds(spark: SparkSession, d: str) -> DataFrame:
-    part = F.percentile("temp", F.array(*[F.lit(q) for q in QUANTILES.values()]))
-    out = survey(spark, d).groupBy("species").agg(F.avg("temp").alias("mean"), part.alias("q"))
-    return out.select("species", "mean", *[F.col("q")[i].alias(n) for i, n in enumerate(QUANTILES)])
+    s = survey(spark, d).select("species", "temp")
+    return s.groupBy("species").agg(F.avg("temp").alias("mean")).join(exact_quantiles(s, ["species"], "temp", QUANTILES), "species")
 
 
 CTE = {
