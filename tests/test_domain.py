@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
-from tidemark.operators import classify, exposure, models, path, regress, relational, shape, spatial
+from tidemark.operators import classify, exposure, models, path, regress, relational, sea, shape, spatial
 from tidemark.operators import windows as win
 from tidemark.sources import tables
 
@@ -141,6 +141,12 @@ def test_rank_sums(spark):
     assert got["u"] == sum((x > y) + 0.5 * (x == y) for x in a for y in b)
 
 
+def moves(d, reach):
+    """The moves of a distance matrix that are within reach."""
+    a, b = np.nonzero(d <= reach)
+    return a, b, d[a, b]
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_best_path_equals_brute_force(seed):
     rng = np.random.default_rng(seed)
@@ -148,7 +154,7 @@ def test_best_path_equals_brute_force(seed):
     e, xy = rng.integers(0, 5, (years, cells)).astype(float), rng.random((cells, 2))
     d = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
     reach = float(np.median(d))
-    got = path.best_path(e, d, 0, reach)
+    got = path.best_path(e, *moves(d, reach), 0)
     cost = lambda p: sum(e[t, c] for t, c in enumerate(p)) + 1e-9 * sum(d[a, b] for a, b in itertools.pairwise(p))
     best = min(cost(p) for p in itertools.product(range(cells), repeat=years) if p[0] == 0 and all(d[a, b] <= reach for a, b in itertools.pairwise(p)))
     assert cost(got) == pytest.approx(best) and best <= cost([0] * years)
@@ -156,8 +162,8 @@ def test_best_path_equals_brute_force(seed):
 
 def test_best_path_stays_on_ties_and_reports_none():
     d = np.array([[0.0, 0.0], [0.0, 0.0]])
-    assert path.best_path(np.ones((3, 2)), d, 1, 1.0) == [1, 1, 1]
-    assert path.best_path(np.array([[1.0], [np.nan]]), np.zeros((1, 1)), 0, 1.0) is None
+    assert path.best_path(np.ones((3, 2)), *moves(d, 1.0), 1) == [1, 1, 1]
+    assert path.best_path(np.array([[1.0], [np.nan]]), *moves(np.zeros((1, 1)), 1.0), 0) is None
 
 
 def test_sea_distances_equal_brute_force():
@@ -184,7 +190,8 @@ def test_relocation(spark):
     grid = [(1, x, 0, -10.0 if x == 4 else -500.0) for x in range(8)] + [(2, 0, 0, 5.0)]
     cells = spark.createDataFrame(grid, "region int, cx long, cy long, z double")
     optima = spark.createDataFrame([(1, 1, 4.5, 0.5), (1, 2, 0.5, 0.5), (2, 3, 0.5, 0.5)], "region int, id long, lon double, lat double")
-    got = {r["id"]: (r["status"], r["lon"]) for r in spatial.relocated(optima, cells, 1.0).collect()}
+    samples = spark.createDataFrame([], "region int, slon double, slat double")
+    got = {r["id"]: (r["status"], r["lon"]) for r in sea.relocated(optima, cells, samples, 1.0).collect()}
     assert got == {1: ("ok", 4.5), 2: ("to_bathy_seapath", 4.5), 3: ("unplaced", 0.5)}
 
 
@@ -310,12 +317,14 @@ def test_spread_rows(spark, n, length):
     assert sorted((r["place"], r["id"]) for r in got) == [(p, p - 1) for p in want]
 
 
-_VISITS, _CELLS, _SEA = "region int, species string, yr int, cell bigint", "region int, cell bigint, lon double, lat double, yr int, exposure double", "region int, cx bigint, cy bigint"
+_VISITS, _CELLS, _SEA = "region int, species string, yr int, lon double, lat double", "region int, cell bigint, lon double, lat double, yr int, exposure double", "region int, cx bigint, cy bigint"
 
 
-def _solved(spark, visits, cells, sea, schema=_VISITS):
-    c, w = spark.createDataFrame(cells, _CELLS), spark.createDataFrame(sea, _SEA)
-    return path.best_paths(spark.createDataFrame(visits, schema), c, path.sea_moves(c, w, 1.0), w).orderBy("species", "yr").collect()
+def _solved(spark, visits, cells, water, schema=_VISITS, at=lambda c: (c + 0.5, 0.5)):
+    """The visits name cells; ``at`` says where those are."""
+    c, w = spark.createDataFrame(cells, _CELLS), spark.createDataFrame(water, _SEA)
+    placed = [(r, s, t, *map(float, at(cell)), *more) for r, s, t, cell, *more in visits]
+    return path.best_paths(spark.createDataFrame(placed, schema), c, w, 1.0).orderBy("species", "yr").collect()
 
 
 def test_a_population_that_never_moved_stays(spark):
@@ -330,7 +339,7 @@ def test_paths_go_round_land(spark):
     sea = [(1, x, y) for x in range(6) for y in range(6) if x != 3 or y == 5]
     spots = {1: (2, 0, 5.0), 2: (1, 0, 4.0), 3: (4, 0, 0.0), 4: (0, 0, 3.5)}
     cells = [(1, c, x + 0.5, y + 0.5, t, e) for c, (x, y, e) in spots.items() for t in range(4)]
-    got = _solved(spark, [(1, "s", t, c) for t, c in enumerate((1, 2, 1, 2))], cells, sea)
+    got = _solved(spark, [(1, "s", t, c) for t, c in enumerate((1, 2, 1, 2))], cells, sea, at=lambda c: (spots[c][0] + 0.5, spots[c][1] + 0.5))
     graph = spatial.neighbours({(x, y) for _, x, y in sea}, 1.0)
     far = {a: {b: spatial.sea_distances(spots[a][:2], graph)[spots[b][:2]] for b in spots} for a in spots}
     reach = far[1][2]
@@ -341,10 +350,11 @@ def test_paths_go_round_land(spark):
 
 def test_reasons_instead_of_paths(spark):
     good = {"years": 4, "region": 1, "cell": 1, "sti": True, "ref": True}
-    cases = {"few_years": {"years": 3}, "no_STI": {"sti": None}, "no_ref": {"ref": False}, "no_transition": {"region": 3}, "few_sea_cells": {"region": 2}, "no_reef_cells": {"cell": 77}, "fine": {}}
+    cases = {"few_years": {"years": 3}, "no_STI": {"sti": None}, "no_ref": {"ref": False}, "no_transition": {"region": 3}, "few_sea_cells": {"region": 2}, "no_reef_cells": {"region": 4}, "no_reef_in_reach": {"region": 5, "cell": 77}, "fine": {}}
     visits = [(v["region"], name, t, v["cell"], v["sti"], v["ref"]) for name, c in cases.items() for v in [good | c] for t in range(v["years"])]
     cells = [(r, c, c + 0.5, 0.5, t, 1.0) for r in (1, 2, 3) for c in (1, 2) for t in range(4)]
-    got = _solved(spark, visits, cells, [(1, x, 0) for x in range(6)] + [(2, 0, 0)], _VISITS + ", has_sti boolean, has_ref boolean")
+    cells += [(5, 1, 1.5, 0.5, t, 1.0) for t in range(4)]
+    got = _solved(spark, visits, cells, [(1, x, 0) for x in range(6)] + [(2, 0, 0)] + [(r, x, 0) for r in (4, 5) for x in range(6)], _VISITS + ", has_sti boolean, has_ref boolean")
     assert {(r["species"], r["drop_reason"]) for r in got} == {(n, None if n == "fine" else n) for n in cases}
 
 
@@ -354,6 +364,20 @@ def test_a_broken_path_stays(spark):
     assert [r["cell"] for r in got] == [1, 1, 1, 1]
 
 
+def test_a_start_off_the_habitat_goes_to_the_nearest_cell(spark):
+    cells = [(1, c, c + 0.5, 0.5, t, float(c)) for c in (2, 3) for t in range(4)]
+    got = _solved(spark, [(1, "s", t, c) for t, c in enumerate((4.2, 3, 4, 3))], cells, [(1, x, 0) for x in range(7)])
+    assert [(r["cell"], r["drop_reason"]) for r in got] == [(3, None), (2, None), (2, None), (2, None)]
+
+
+def test_one_population_that_fails_is_one_row(spark):
+    cells = [(1, c, c + 0.5, 0.5, t, 1.0) for c in (1, 2) for t in range(4)]
+    places = lambda c: (math.nan, 0.5) if c == 9 else (c + 0.5, 0.5)
+    got = _solved(spark, [(1, s, t, c) for s, c in (("bad", 9), ("good", 1)) for t in range(4)], cells, [(1, x, 0) for x in range(6)], at=places)
+    reasons = {r["species"]: r["drop_reason"] for r in got}
+    assert reasons["good"] is None and reasons["bad"] is not None
+
+
 @pytest.mark.parametrize("k", [1, 3])
 def test_nearest_by_tiles_equals_all_pairs(spark, k):
     rng = np.random.default_rng(k)

@@ -25,7 +25,7 @@ def test_quantiles_of_groups(spark):
 def test_quantiles_of_all_rows(spark):
     df = spark.range(1001).select(F.col("id").alias("n"))
     assert exact_quantiles(df, [], "n", {"a": 0.25, "b": 0.9999}).first().asDict() == pytest.approx({"a": 250.0, "b": 999.9})
-    assert exact_quantiles(df.limit(0), [], "n", {"a": 0.5}).count() == 0
+    assert exact_quantiles(df.limit(0), [], "n", {"a": 0.5}).first()["a"] is None  # an aggregate of nothing
 
 
 def test_a_large_group_is_many_partitions(spark):

@@ -35,7 +35,7 @@ def ranked_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float]) -> DataFrame:
     """keys and one column for each named share: the quantile by linear interpolation between the ranks around it.
 
-    Groups without any value are left out.
+    Groups without any value are left out; without keys there is one row, null if there are no values.
     """
     ranked = ranked_counts(df, keys, value)
     rank = {n: F.lit(float(q)) * (F.col("_total") - 1) for n, q in shares.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -104,12 +105,22 @@ def nearest(points: DataFrame, sites: DataFrame, within: str, k: int = 1, tile:
     return first_of_each(pairs, [within, "point"], F.col("d2"), F.col("site"), n=k)
 
 
-def within_km(points: DataFrame, sites: DataFrame, within: Sequence[str], km: float) -> DataFrame:
-    """Pairs of points (lon, lat) and sites (slon, slat) of the same region, at most so far apart, with their great-circle ``km``.
+def within_km(points: DataFrame, sites: DataFrame, within: Sequence[str], km: float, distance=haversine_km) -> DataFrame:
+    """Pairs of points (lon, lat) and sites (slon, slat) of the same region, at most so far apart, with their ``km`` (great-circle, or by line_km).
 
-    They meet by bands of latitude as wide as the distance: each site stands in its own band and both beside it.
+    They meet by bands of latitude as wide as the distance, cut into tiles that are at least as wide as the distance is in the
+    band; tiles close round the globe.  Each site stands in up to nine tiles: those of the bands and tiles beside its own.
     """
     width = km / 111.0
-    s = sites.withColumn("_band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("slat") / width) + i)))
-    pairs = points.withColumn("_band", F.floor(F.col("lat") / width)).join(s, [*within, "_band"]).drop("_band")
-    return pairs.withColumn("km", haversine_km(F.col("lon"), F.col("lat"), F.col("slon"), F.col("slat"))).where(F.col("km") <= km)
+    # The largest difference of longitude within the distance of a point of the band; from a pole on, any.
+    top = F.least((F.greatest(F.abs(F.col("_band") * width), F.abs((F.col("_band") + 1) * width))), F.lit(90.0))
+    shrink = F.cos(F.radians(top))
+    apart = F.when((top + width < 90) & (shrink > 1e-6), F.greatest(F.degrees(F.asin(F.least(F.lit(math.sin(min(km / 6371.0, math.pi / 2))) / shrink, F.lit(1.0)))), width / shrink)).otherwise(F.lit(360.0))
+    tiles = F.greatest(F.floor(F.lit(360.0) / (apart * 1.000001)), F.lit(1))
+    tile = lambda lon: F.pmod(F.floor((F.col(lon) + 180) / (360 / F.col("_tiles"))), F.col("_tiles"))
+    three = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    s = sites.withColumn("_band", F.explode(F.transform(three, lambda i: F.floor(F.col("slat") / width) + i))).withColumn("_tiles", tiles)
+    s = s.withColumn("_tile", F.explode(F.array_distinct(F.transform(three, lambda i: F.pmod(tile("slon") + i, F.col("_tiles")))))).drop("_tiles")
+    p = points.withColumn("_band", F.floor(F.col("lat") / width)).withColumn("_tiles", tiles).withColumn("_tile", tile("lon")).drop("_tiles")
+    pairs = p.join(s, [*within, "_band", "_tile"]).drop("_band", "_tile")
+    return pairs.withColumn("km", distance(F.col("lon"), F.col("lat"), F.col("slon"), F.col("slat"))).where(F.col("km") <= km)

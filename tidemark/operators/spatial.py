@@ -112,74 +112,6 @@ def components(cells: set[Cell]) -> dict[Cell, int]:
     return out
 
 
-def land_pieces(grid: DataFrame, step: float) -> DataFrame:
-    """(region, cx, cy, piece, area_km2) of the land cells (z >= 0) of each region."""
-
-    ship(grid.sparkSession)
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = components(set(zip(pdf.cx, pdf.cy, strict=True)))
-        out = pd.DataFrame([(pdf.region.iloc[0], x, y, k) for (x, y), k in own.items()], columns=["region", "cx", "cy", "piece"])
-        km2 = (step * KM_PER_DEGREE_LINE) ** 2 * np.cos(np.radians((out.cy + 0.5) * step))
-        return out.assign(area_km2=km2.groupby(out.piece).transform("sum"))
-
-    return grid.where("z >= 0").select("region", "cx", "cy").groupBy("region").applyInPandas(label, "region int, cx bigint, cy bigint, piece int, area_km2 double")
-
-
-def relocated(optima: DataFrame, grid: DataFrame, step: float, shallow: float = 30.0, band: float = 10.0, half: float = 1.0, buffer_km: float = 100.0, weight: float = 0.5, k: int = 10) -> DataFrame:
-    """Moves optima off the habitat to a cell of the depth band.
-
-    ``optima`` has region, id, lon, lat; ``grid`` has region, cx, cy, z (negative: sea).  An optimum on
-    sea no deeper than ``shallow`` stays (``ok``).  Otherwise band cells within ``buffer_km`` by sea, doubled
-    until there is one, compete: those within one cell of latitude if any, else those of the least
-    change, by (1 - weight) * (1 - d / max d) + weight * density, where density is the scaled inverse
-    mean distance to the k nearest band cells; equals go to the smaller cell.  Without a sea path the
-    straight line counts; without band cells the optimum stays ``unplaced``.
-    """
-    schema = "region int, id bigint, lon double, lat double, status string, dist_km double"
-
-    def straight(a: Cell, b: Cell) -> float:
-        return math.hypot((b[0] - a[0]) * math.cos(math.radians((a[1] + 0.5) * step)), b[1] - a[1]) * step * KM_PER_DEGREE_LINE
-
-    ship(optima.sparkSession)
-
-    def place(key, points: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-        depth = {(x, y): z for x, y, z in zip(cells.cx, cells.cy, cells.z, strict=True)}
-        graph = neighbours({c for c, z in depth.items() if z < 0}, step)
-        reef = sorted(c for c, z in depth.items() if abs(-z - band) <= half)
-        near = {c: float(np.mean(sorted(math.hypot(c[0] - o[0], c[1] - o[1]) * step for o in reef)[:k])) for c in reef}
-        dense = {c: 1 / (m + 0.01) for c, m in near.items()}
-        lo, hi = min(dense.values(), default=0.0), max(dense.values(), default=0.0)
-        out = []
-        for p in points.itertuples():
-            at = (math.floor(p.lon / step), math.floor(p.lat / step))
-            z = depth.get(at)
-            if z is not None and -shallow <= z < 0:
-                out.append((key[0], p.id, p.lon, p.lat, "ok", 0.0))
-                continue
-            if not reef:
-                out.append((key[0], p.id, p.lon, p.lat, "unplaced", None))
-                continue
-            start = at if at in graph else min(graph, key=lambda c: (straight(at, c), c), default=None)
-            far = {c: d for c, d in sea_distances(start, graph).items() if c in dense} if start else {}
-            far = far or {c: straight(at, c) for c in reef}
-            reach = buffer_km
-            while not any(d <= reach for d in far.values()):
-                reach *= 2
-            some = {c: d for c, d in far.items() if d <= reach}
-            level = min(abs(c[1] - at[1]) for c in some)
-            some = {c: d for c, d in some.items() if abs(c[1] - at[1]) <= max(1, level)}
-            top = max(some.values()) or 1.0
-            score = {c: (1 - weight) * (1 - d / top) + weight * ((dense[c] - lo) / (hi - lo) if hi > lo else 0.0) for c, d in some.items()}
-            best = min(score, key=lambda c: (-score[c], c))
-            out.append((key[0], p.id, (best[0] + 0.5) * step, (best[1] + 0.5) * step, "to_bathy_seapath", some[best]))
-        return pd.DataFrame(out, columns=["region", "id", "lon", "lat", "status", "dist_km"])
-
-    left = optima.select(F.col("region").cast("int").alias("region"), "id", "lon", "lat")
-    right = grid.select(F.col("region").cast("int").alias("region"), "cx", "cy", "z")
-    return left.groupBy("region").cogroup(right.groupBy("region")).applyInPandas(place, schema)
-
-
 #: km2 from which a land mass is large, km within which a large one counts.
 LARGE_LAND_KM2, NEARBY_LAND_KM = 3000.0, 200.0
 
@@ -187,7 +119,7 @@ LARGE_LAND_KM2, NEARBY_LAND_KM = 3000.0, 200.0
 def nearest_land(sites: DataFrame, pieces: DataFrame, step: float, large_km2: float = LARGE_LAND_KM2, near_km: float = NEARBY_LAND_KM) -> DataFrame:
     """(region, point, piece, km): the nearest large land mass of each point if one lies near enough, else the nearest of any size.
 
-    ``sites`` has region, point, lon, lat; ``pieces`` is that of ``land_pieces``.  Nearest is by degrees, ties go to the
+    ``sites`` has region, point, lon, lat; ``pieces`` is that of ``sea.land_pieces``.  Nearest is by degrees, ties go to the
     smaller cell; points without any land in their region are left out.
     """
     own = sites.select(F.col("region").cast("int").alias("region"), "point", "lon", "lat")
@@ -205,7 +137,7 @@ def nearest_land(sites: DataFrame, pieces: DataFrame, step: float, large_km2: fl
 def split_regions(sites: DataFrame, land: DataFrame, step: float, lat_gap: float = 1.0, times: float = 4.0, lon_gap: float = 0.30, overlap: float = 0.30, land_share: float = 0.30, least: int = 5) -> DataFrame:
     """Groups of the sites of each region behind barriers, by repeated splits.
 
-    ``sites`` has region, site, lon, lat; ``land`` is that of ``land_pieces``.  First the widest gap of latitude: at least
+    ``sites`` has region, site, lon, lat; ``land`` is that of ``sea.land_pieces``.  First the widest gap of latitude: at least
     ``lat_gap`` degrees and ``times`` the median spacing, where the centres of both sides belong to different land
     masses, by the rule of ``nearest_land``; a region without land is open water.  Else the widest gap of longitude: at
     least ``lon_gap``, with ``overlap`` of the latitudes shared and land on ``land_share`` of the gap.  Both sides keep ``least``

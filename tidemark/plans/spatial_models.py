@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import classify, mixed, models, path, regress, spatial
+from ..operators import classify, mixed, models, path, regress, sea, spatial
 from ..operators import relational as rel
 from ..operators import windows as win
 from ..sources.staging import staged
@@ -124,7 +124,8 @@ def _reefs(spark, d):
 @query("d10_g12_g13_relocation")
 def _(spark, d):
     o = optima(spark, d).select("region", F.xxhash64("region", "species", "yr").alias("id"), (F.pmod("site", F.lit(24)) - 12 + 0.5).cast("double").alias("lon"), (F.pmod("site", F.lit(12)) - 6 + 0.5).cast("double").alias("lat"))
-    return spatial.relocated(o, _world(spark, d), 1.0)
+    samples = _reefs(spark, d).select("region", F.col("lon").alias("slon"), F.col("lat").alias("slat"))
+    return sea.relocated(o, _world(spark, d), samples, 1.0)
 
 
 _LAND = "SELECT region, cx, cy FROM (SELECT DISTINCT s_nationkey AS region FROM supplier), (SELECT i % 24 - 12 AS cx, i // 24 - 6 AS cy FROM range(288) t(i)) WHERE (cx * 7 + cy * 5 + region) % 11 = 0"
@@ -138,19 +139,19 @@ _PLACE = "SELECT s_suppkey AS site, s_nationkey AS region, s_suppkey % 24 - 11.5
 
 @query("g10_g11_land_pieces", _PIECES + " SELECT region, cx, cy, piece, round(area_km2, 3) AS area_km2 FROM pieces")
 def _(spark, d):
-    return spatial.land_pieces(_world(spark, d), 1.0).withColumn("area_km2", F.round("area_km2", 3))
+    return sea.land_pieces(_world(spark, d), 1.0).withColumn("area_km2", F.round("area_km2", 3))
 
 
 @query("g11_nearest_large_land", f"{_PIECES}, place AS ({_PLACE}), large AS ({_NEAR.format(least=20000)}), near AS ({_NEAR.format(least=0)}) SELECT n.site, CASE WHEN l.km <= 200 THEN l.piece ELSE n.piece END AS piece, round(CASE WHEN l.km <= 200 THEN l.km ELSE n.km END, 3) AS km FROM near n LEFT JOIN large l USING (site)")
 def _(spark, d):
     """Land of the made-up sea is large from 20,000 km2, so that small pieces are there."""
-    near = spatial.nearest_land(_reefs(spark, d).withColumnRenamed("cell", "point"), spatial.land_pieces(_world(spark, d), 1.0), 1.0, 20_000.0)
+    near = spatial.nearest_land(_reefs(spark, d).withColumnRenamed("cell", "point"), sea.land_pieces(_world(spark, d), 1.0), 1.0, 20_000.0)
     return near.select(F.col("point").alias("site"), "piece", F.round("km", 3).alias("km"))
 
 
 @query("d23_barrier_split")
 def _(spark, d):
-    return spatial.split_regions(_reefs(spark, d).withColumnRenamed("cell", "site"), spatial.land_pieces(_world(spark, d), 1.0), 1.0)
+    return spatial.split_regions(_reefs(spark, d).withColumnRenamed("cell", "site"), sea.land_pieces(_world(spark, d), 1.0), 1.0)
 
 
 @query("d24_pooled_coasts", sql("SELECT coast, species, region, yr FROM (SELECT *, region // 5 AS coast FROM optima) JOIN (SELECT region // 5 AS coast, species FROM optima GROUP BY ALL HAVING count(DISTINCT region) >= 2) USING (coast, species)", "optima"))
@@ -164,10 +165,10 @@ def _annual(spark, d):
 
 
 def _paths(spark, d):
-    o = optima(spark, d).select(F.col("region").cast("int").alias("region"), "species", "yr", F.col("site").cast("bigint").alias("cell"))
-    reefs, sea = _reefs(spark, d), _world(spark, d).where("z < 0").select("region", "cx", "cy")
+    reefs, water = _reefs(spark, d), _world(spark, d).where("z < 0").select("region", "cx", "cy")
+    o = optima(spark, d).select(F.col("site").cast("bigint").alias("cell"), "species", "yr").join(reefs, "cell")
     cells = reefs.join(_annual(spark, d).withColumnRenamed("site", "cell"), "cell")
-    return path.best_paths(o, cells, path.sea_moves(reefs, sea, 1.0), sea)
+    return staged(path.best_paths(o, cells, water, 1.0))
 
 
 @query("d27_g14_best_paths")
