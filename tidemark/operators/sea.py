@@ -124,36 +124,37 @@ def distances_within(starts: DataFrame, cells: DataFrame, targets: DataFrame, st
     return asked.groupBy(*by).cogroup(seen.groupBy(*by)).applyInPandas(search, "region int, sx bigint, sy bigint, cx bigint, cy bigint, km double")
 
 
-def until_found(starts: DataFrame, cells: DataFrame, targets: DataFrame, step: float, first_km: float, wanted: DataFrame | None = None, size: int = TILE) -> DataFrame:
-    """(region, sx, sy, cx, cy, km, reach) within the first of first_km, 2 * first_km, 4 * first_km ... that finds any target for a start.
+def until_found(starts: DataFrame, cells: DataFrame, targets: DataFrame, step: float, wanted: DataFrame | None = None, size: int = TILE) -> DataFrame:
+    """(region, sx, sy, cx, cy, km): what ``distances_within`` finds in the first round that finds any target for a start.
 
-    ``starts`` has region, sx, sy.  With ``wanted`` (region, sx, sy, cx, cy) a start is done when its own targets are all found, and
-    only those are returned.  Starts whose piece of sea holds no (wanted) target are never searched from, so rounds end.
+    ``starts`` has region, sx, sy and most, the bound of the first round, which doubles from round to round.  With ``wanted`` (region, sx,
+    sy, cx, cy) a start is done when its own targets are all found, and only those are returned.  After the first round, starts
+    whose piece of sea holds no (more wanted) target are left alone, so rounds end.
     """
-    piece = staged(pieces(cells, size))
-    of_start = starts.select(F.col("region").cast("int").alias("region"), "sx", "sy").distinct().join(piece.select("region", F.col("cx").alias("sx"), F.col("cy").alias("sy"), "root"), ["region", "sx", "sy"])
-    of_target = targets.select(F.col("region").cast("int").alias("region"), "cx", "cy").distinct().join(piece, ["region", "cx", "cy"])
-    if wanted is None:
-        left = of_start.join(of_target.select("region", "root").distinct(), ["region", "root"], "left_semi").select("region", "sx", "sy")
-        pairs = None
-    else:
-        both = wanted.select(F.col("region").cast("int").alias("region"), "sx", "sy", "cx", "cy").distinct().join(of_start, ["region", "sx", "sy"])
-        pairs = staged(both.join(of_target, ["region", "cx", "cy", "root"]).drop("root"))
-        left = pairs.select("region", "sx", "sy").distinct()
-    left, found, reach = staged(left), None, float(first_km)
+    at, to = ["region", "sx", "sy"], ["region", "cx", "cy"]
+    pairs = None if wanted is None else staged(wanted.select(F.col("region").cast("int").alias("region"), "sx", "sy", "cx", "cy").distinct())
+    left = starts.groupBy(F.col("region").cast("int").alias("region"), "sx", "sy").agg(F.max("most").alias("most"))
+    left, found, piece = staged(left), None, None
     while left.limit(1).count():
-        got = distances_within(left.withColumn("most", F.lit(reach)), cells, targets, step, first_km, size)
-        if pairs is not None:
-            got = got.join(pairs, ["region", "sx", "sy", "cx", "cy"], "left_semi")
-        got = staged(got.withColumn("reach", F.lit(reach)))
+        got = distances_within(left, cells, targets, step, size=size)
+        got = staged(got if pairs is None else got.join(pairs, [*at, "cx", "cy"], "left_semi"))
+        found = got if found is None else found.union(got)
         if pairs is None:
-            found, left = got if found is None else found.union(got), left.join(got, ["region", "sx", "sy"], "left_anti")
+            left = staged(left.join(got, at, "left_anti"))
         else:
-            found = got if found is None else found.union(got)
-            pairs = staged(pairs.join(got, ["region", "sx", "sy", "cx", "cy"], "left_anti"))
-            left = pairs.select("region", "sx", "sy").distinct()
-        left, reach = staged(left), 2 * reach
-    empty = "region int, sx bigint, sy bigint, cx bigint, cy bigint, km double, reach double"
+            pairs = staged(pairs.join(got, [*at, "cx", "cy"], "left_anti"))
+            left = staged(left.join(pairs, at, "left_semi"))
+        if piece is None and left.limit(1).count():
+            piece = staged(pieces(cells, size))
+            of_start = piece.select("region", F.col("cx").alias("sx"), F.col("cy").alias("sy"), F.col("root").alias("own"))
+            if pairs is None:
+                held = targets.select(F.col("region").cast("int").alias("region"), "cx", "cy").join(piece, to).select("region", F.col("root").alias("own")).distinct()
+                left = staged(left.join(of_start, at).join(held, ["region", "own"], "left_semi").drop("own"))
+            else:
+                pairs = staged(pairs.join(of_start, at).join(piece, to).where(F.col("own") == F.col("root")).drop("own", "root"))
+                left = staged(left.join(pairs, at, "left_semi"))
+        left = left.withColumn("most", 2 * F.col("most"))
+    empty = "region int, sx bigint, sy bigint, cx bigint, cy bigint, km double"
     return starts.sparkSession.createDataFrame([], empty) if found is None else found
 
 
@@ -207,7 +208,7 @@ def relocated(
     need = own.where("not fine").join(held, "region", "left_semi").select("region", "id", "lon", "lat")
 
     entering = staged(nearest_cells(need, sea, step))
-    found = until_found(entering.where("sx is not null"), sea, reef, step, buffer_km, size=size)
+    found = until_found(entering.where("sx is not null").withColumn("most", F.lit(float(buffer_km))), sea, reef, step, size=size)
     by_sea = entering.join(found, ["region", "sx", "sy"]).select("region", "id", "lon", "lat", "cx", "cy", "km")
     # Straight lines for the others, in rounds of doubled distance as well.
     places = reef.select("region", "cx", "cy", F.col("clon").alias("slon"), F.col("clat").alias("slat"))
