@@ -391,7 +391,23 @@ def test_nearest_by_tiles_equals_all_pairs(spark, k):
     for i, region, x, y in points:
         near = sorted(((x - u) ** 2 + (y - v) ** 2, j) for j, g, u, v in sites if g == region and v is not None) if x is not None else []
         assert got.get(i, set()) == {j for _, j in near[:k]}
-    assert relational.near_pairs(p, s, ["region"], k).count() < p.join(s, "region").count()
+    small = relational.near_pairs(p, s, ["region"], k, leaf=2)
+    assert small.count() < p.join(s, "region").count()
+    best = {}
+    for r in small.collect():
+        best.setdefault(r["point"], []).append(((r["lon"] - r["slon"]) ** 2 + (r["lat"] - r["slat"]) ** 2, r["site"]))
+    assert {i: {j for _, j in sorted(v)[:k]} for i, v in best.items()} == got
+
+
+def test_pairs_follow_the_points_however_dense_sites_are(spark):
+    """Ten times the sites in the same square degree: pairs a point stay much the same."""
+    rng = np.random.default_rng(5)
+    shares = []
+    for n in (600, 6_000):
+        s = spark.createDataFrame([(i, 1, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(10, 11, (n, 2)))], "site int, region int, slon double, slat double")
+        p = spark.createDataFrame([(i, 1, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(9.9, 11.1, (n, 2)))], "point int, region int, lon double, lat double")
+        shares.append(relational.near_pairs(p, s, ["region"]).count() / n)
+    assert shares[1] < 1.5 * shares[0] < 300, shares
 
 
 def test_pairs_within_a_distance_equal_all_pairs(spark):

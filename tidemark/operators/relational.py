@@ -72,36 +72,85 @@ def relative_to_max(value: Column, keys: Sequence[str]) -> Column:
     return value / F.max(value).over(Window.partitionBy(*keys))
 
 
-def near_pairs(points: DataFrame, sites: DataFrame, within: Sequence[str], k: int = 1, at: tuple[str, str] = ("slon", "slat"), tile: float = 10.0) -> DataFrame:
+#: The quadtree: degrees of a root, levels below it, sites from which a node is split.
+ROOT, LEVELS, LEAF = 360.0, 16, 24
+
+
+def site_tree(sites: DataFrame, within: Sequence[str], x: str, y: str, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
+    """A quadtree of each region's sites, by counting: its nodes, and the leaf of each of the smallest squares that hold sites.
+
+    Nodes are within, _l (level, 0 the root), _x, _y, _n and _inner (more than ``leaf`` sites, so split).  Squares are within,
+    _dx, _dy with _l, _x, _y.  Counts are made once for the smallest squares and summed over their ancestors.
+    """
+    deep = sites.groupBy(*within, *deepest(x, y)).agg(F.count("*").alias("_n"))
+    above = staged(ancestors(deep, within, "_n"))
+    nodes = above.groupBy(*within, "_l", "_x", "_y").agg(F.sum("_n").alias("_n")).withColumn("_inner", (F.col("_n") > leaf) & (F.col("_l") < LEVELS))
+    split = nodes.where("_inner").select(*within, (F.col("_l") + 1).alias("_l"), F.col("_x").alias("_px"), F.col("_y").alias("_py"))
+    parents = nodes.withColumns({"_px": F.shiftright("_x", 1), "_py": F.shiftright("_y", 1)})
+    nodes = staged(parents.join(split, [*within, "_l", "_px", "_py"], "left_semi").drop("_px", "_py").unionByName(nodes.where("_l = 0")))
+    leaves = nodes.where("not _inner").select(*within, "_l", "_x", "_y")
+    return nodes, above.drop("_n").join(leaves, [*within, "_l", "_x", "_y"])
+
+
+def deepest(x: str, y: str) -> list[Column]:
+    side = ROOT / (1 << LEVELS)
+    return [F.floor((F.col(x) + 180) / side).alias("_dx"), F.floor((F.col(y) + 180) / side).alias("_dy")]
+
+
+def ancestors(squares: DataFrame, within: Sequence[str], *more: str) -> DataFrame:
+    """Each of the smallest squares with its ancestor (_l, _x, _y) at every level."""
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("_l")
+    out = squares.select(*within, "_dx", "_dy", *more, levels)
+    up = F.lit(LEVELS) - F.col("_l")
+    return out.withColumns({"_x": F.call_function("shiftright", F.col("_dx"), up), "_y": F.call_function("shiftright", F.col("_dy"), up)})
+
+
+def near_pairs(points: DataFrame, sites: DataFrame, within: Sequence[str], k: int = 1, at: tuple[str, str] = ("slon", "slat"), leaf: int = LEAF) -> DataFrame:
     """Points paired with sites of the same region; the k nearest sites of every point, by degrees, are among them.
 
-    Both lie in square tiles.  Around each tile of points the region's tiles of sites are ordered by the largest
-    distance they allow; the first that hold k sites bound the search, and tiles that lie farther off are left
-    out.  Ties of distance stay in.  Tables of tiles grow with the grid, not with the rows; rows meet by tiles, so a
-    full region is no single group.  Points and sites without coordinates meet nothing.
+    Sites lie in a quadtree whose leaves hold few of them, however dense they are.  Points go by the smallest square they fall
+    into.  Level by level each such square keeps the nodes that may hold one of the k nearest: those not farther off than the
+    least distance within which k sites lie for certain.  Ties of distance stay in.  So pairs are in proportion to points, and a full
+    region is no single group; more than ``leaf`` sites at one place stay together.  Points and sites without coordinates meet nothing.
     """
     lon, lat = at
-    p = points.where("lon is not null and lat is not null").withColumns({"_px": F.floor(F.col("lon") / tile), "_py": F.floor(F.col("lat") / tile)})
-    s = sites.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumns({"_sx": F.floor(F.col(lon) / tile), "_sy": F.floor(F.col(lat) / tile)})
-    held = s.groupBy(*within, "_sx", "_sy").agg(F.count("*").alias("_n"))
-    dx, dy = F.abs(F.col("_px") - F.col("_sx")), F.abs(F.col("_py") - F.col("_sy"))
-    square = lambda c: c * c
-    tiles = p.select(*within, "_px", "_py").distinct().join(held, list(within))
-    tiles = tiles.withColumns({"_low": square(F.greatest(dx - 1, F.lit(0))) + square(F.greatest(dy - 1, F.lit(0))), "_high": square(dx + 1) + square(dy + 1)})
-    own = Window.partitionBy(*within, "_px", "_py")
-    tiles = tiles.withColumn("_held", F.sum("_n").over(own.orderBy("_high")))
-    tiles = tiles.withColumn("_bound", F.min(F.when(F.col("_held") >= k, F.col("_high"))).over(own))
-    tiles = tiles.where(F.col("_bound").isNull() | (F.col("_low") <= F.col("_bound"))).select(*within, "_px", "_py", "_sx", "_sy")
-    return p.join(tiles, [*within, "_px", "_py"]).join(s, [*within, "_sx", "_sy"]).drop("_px", "_py", "_sx", "_sy")
-
-
-def nearest(points: DataFrame, sites: DataFrame, within: str, k: int = 1, tile: float = 10.0) -> DataFrame:
+    p = points.where("lon is not null and lat is not null and not isnan(lon) and not isnan(lat)").withColumns({"_dx": deepest("lon", "lat")[0], "_dy": deepest("lon", "lat")[1]})
+    s = sites.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumns({"_dx": deepest(lon, lat)[0], "_dy": deepest(lon, lat)[1]})
+    nodes, leaf_of = site_tree(s.drop("_dx", "_dy"), within, lon, lat, leaf)
+    depth = nodes.agg(F.max("_l").alias("d")).first()["d"] or 0
+
+    own = [*within, "_dx", "_dy"]
+    met = p.select(*own).distinct().join(nodes.where("_l = 0"), list(within))
+    children = nodes.select(*within, (F.col("_l") - 1).alias("_l"), F.shiftright("_x", 1).alias("_x"), F.shiftright("_y", 1).alias("_y"), F.col("_x").alias("_cx"), F.col("_y").alias("_cy"), F.col("_n").alias("_cn"), F.col("_inner").alias("_ci")).where("_l >= 0")
+    for _ in range(depth):
+        opened = met.where("_inner").drop("_n", "_inner").join(children, [*within, "_l", "_x", "_y"])
+        opened = opened.select(*own, (F.col("_l") + 1).alias("_l"), F.col("_cx").alias("_x"), F.col("_cy").alias("_y"), F.col("_cn").alias("_n"), F.col("_ci").alias("_inner"))
+        met = staged(_not_too_far(met.where("not _inner").select(*opened.columns).union(opened), own, k))
+    placed = s.join(leaf_of, [*within, "_dx", "_dy"]).drop("_dx", "_dy")
+    return p.join(met.select(*own, "_l", "_x", "_y"), own).drop("_dx", "_dy").join(placed, [*within, "_l", "_x", "_y"]).drop("_l", "_x", "_y")
+
+
+def _not_too_far(met: DataFrame, own: Sequence[str], k: int) -> DataFrame:
+    """The nodes that may hold one of the k sites nearest to some point of the square ``own``."""
+    side = F.lit(1 << LEVELS) / F.pow(F.lit(2.0), F.col("_l"))  # in smallest squares
+    low, high = F.lit(0.0), F.lit(0.0)
+    for a, b in (("_dx", "_x"), ("_dy", "_y")):
+        first, last, begin, end = F.col(a), F.col(a) + 1, F.col(b) * side, (F.col(b) + 1) * side
+        gap, span = F.greatest(begin - last, first - end, F.lit(0.0)), F.greatest(end - first, last - begin)
+        low, high = low + gap * gap, high + span * span
+    w = Window.partitionBy(*own)
+    ranked = met.withColumns({"_low": low, "_high": high}).withColumn("_held", F.sum("_n").over(w.orderBy("_high")))
+    ranked = ranked.withColumn("_bound", F.min(F.when(F.col("_held") >= k, F.col("_high"))).over(w))
+    return ranked.where(F.col("_bound").isNull() | (F.col("_low") <= F.col("_bound"))).drop("_low", "_high", "_held", "_bound")
+
+
+def nearest(points: DataFrame, sites: DataFrame, within: str, k: int = 1) -> DataFrame:
     """The k nearest sites of each point in the same region, by squared degrees; ties go to the smaller site.
 
     ``points`` has point, lon, lat; ``sites`` has site, slon, slat; both have the region ``within``.
     """
     d2 = F.pow(F.col("lon") - F.col("slon"), 2) + F.pow(F.col("lat") - F.col("slat"), 2)
-    pairs = near_pairs(points, sites, [within], k, tile=tile).withColumn("d2", d2)
+    pairs = near_pairs(points, sites, [within], k).withColumn("d2", d2)
     return first_of_each(pairs, [within, "point"], F.col("d2"), F.col("site"), n=k)
 
 
