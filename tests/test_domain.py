@@ -303,11 +303,56 @@ def test_type3_of_a_saturated_model(spark):
     assert (term, dof) == ("a", 2) and chi2 == pytest.approx(want, rel=1e-3) and p == pytest.approx(math.exp(-chi2 / 2))
 
 
-def test_families_without_a_correlated_fit_say_so(spark):
-    grid = spark.createDataFrame([("a", "ou", "NULL", "nbinom2"), ("b", "no_autocor", "NULL", "nbinom2")], "spec string, autocor string, trans string, family string")
-    df = spark.createDataFrame([(1, t, float(3 + t % 3), float(t)) for t in range(8)], "k int, yr int, y double, t_coord double")
-    got = {r["spec"]: r for r in models.fitted(df, ["k"], grid).collect()}
-    assert got["a"]["aic"] is None and "correlated" in got["a"]["warning"] and got["b"]["aic"] is not None
+@pytest.mark.parametrize("kind", ["ou", "ar1"])
+def test_negative_binomial_with_correlated_residuals(spark, kind):
+    """A planted slope comes back from long series, and better than chance the correlation pays in AIC."""
+    rng, rows, slope = np.random.default_rng(3), [], 0.05
+    for k in range(6):
+        z = 0.0
+        for t in range(60):
+            z = 0.8 * z + rng.normal(0, 0.3)
+            mu = math.exp(2.5 + slope * (t - 30) + z)
+            rows.append((k, t, float(rng.poisson(mu * rng.gamma(20.0) / 20.0)), float(t)))
+    df = spark.createDataFrame(rows, "k int, yr int, y double, t_coord double")
+    grid = spark.createDataFrame([("with", kind, "NULL", "nbinom2"), ("without", "no_autocor", "NULL", "nbinom2")], "spec string, autocor string, trans string, family string")
+    got = [r for r in models.fitted(df, ["k"], grid).collect()]
+    own = [r for r in got if r["spec"] == "with"]
+    assert len(own) == 6 and all(r["estimate"] is not None and r["aic"] is not None for r in own)
+    assert np.mean([r["estimate"] for r in own]) == pytest.approx(slope, abs=0.02)
+    aic = {(r["k"], r["spec"]): r["aic"] for r in got}
+    assert sum(aic[k, "with"] < aic[k, "without"] for k in range(6)) >= 4
+    assert all(r["se"] > o["se"] for r in own for o in got if o["k"] == r["k"] and o["spec"] == "without" and r["se"])
+
+
+def test_latent_series_without_spread_is_a_plain_negative_binomial():
+    """As the deviation of the series goes to nought its likelihood is that of the fit without it."""
+    rng = np.random.default_rng(2)
+    x = np.arange(40.0)
+    y = rng.negative_binomial(4, 4 / (4 + np.exp(2 + 0.02 * (x - 20)))).astype(float)
+    plain, latent = models.negative_binomial(x, y), models.latent_negative_binomial(x, y, x, "ou")
+    assert latent["estimate"] == pytest.approx(plain["estimate"], abs=0.02)
+    assert latent["aic"] <= plain["aic"] + 2 * (5 - 3) + 0.1
+
+
+def test_ladder_of_fits():
+    bowl = lambda p: float((p[0] - 1) ** 2 + 10 * (p[1] + 2) ** 2)
+    place, cov, value, warning = models.ladder(bowl, [np.zeros(2)])
+    assert np.allclose(place, [1, -2], atol=1e-3) and warning is None and np.allclose(cov, np.diag([0.5, 0.05]), atol=1e-3) and value < 1e-6
+    # A flat valley has no Hessian; another start does not help, and the reason is told.
+    assert models.ladder(lambda p: float(p[0] ** 2), [np.ones(2), -np.ones(2)])[3] == "non-positive-definite Hessian matrix"
+    # Two hollows: the first start ends in a flat one, the second finds the deep one.
+    hollows = lambda p: float(min(0.0, (p[0] + 4) ** 2 - 5))
+    place, _, value, warning = models.ladder(hollows, [np.array([4.5]), np.array([-3.0])])
+    assert place[0] == pytest.approx(-4, abs=1e-3) and warning is None and value == pytest.approx(-5, abs=1e-6)
+
+
+def test_ladder_goes_on_where_iterations_did_not_suffice(monkeypatch):
+    monkeypatch.setattr(models, "FIRST_STEPS", 2)
+    valley = lambda p: float((1 - p[0]) ** 2 + 100 * (p[1] - p[0] ** 2) ** 2)
+    place, cov, _, warning = models.ladder(valley, [np.array([-1.2, 1.0])])
+    assert warning is None and cov is not None and np.allclose(place, [1, 1], atol=1e-2)
+    monkeypatch.setattr(models, "LAST_STEPS", 3)
+    assert "limit" in models.ladder(valley, [np.array([-1.2, 1.0])])[3]
 
 
 @pytest.mark.parametrize("n, length", [(1, 3), (7, 3), (1000, 10), (5, 1)])

@@ -82,11 +82,120 @@ def negative_binomial(x: np.ndarray, y: np.ndarray) -> dict:
     return {"estimate": float(beta[1]), "se": se, "p_value": math.erfc(abs(beta[1] / se) / math.sqrt(2)), "aic": 8 - 2 * loglik}
 
 
+#: Iterations of a first fit and of the last one.
+FIRST_STEPS, LAST_STEPS = 100, 1000
+
+
+def slope_of(f, x: np.ndarray, h: float = 1e-5) -> np.ndarray:
+    return np.array([(f(x + e) - f(x - e)) / (2 * h) for e in h * np.eye(len(x))])
+
+
+def quasi_newton(f, start: np.ndarray, steps: int) -> tuple[np.ndarray, float, str | None]:
+    """Minimises f by BFGS with differences for gradients: place, value, and a reason where it did not converge."""
+    x, value, slope, inverse = start.copy(), f(start), slope_of(f, start), np.eye(len(start))
+    for _ in range(steps):
+        if np.abs(slope).max() < 1e-4:
+            return x, value, None
+        move = -inverse @ slope
+        if move @ slope >= 0:
+            inverse, move = np.eye(len(x)), -slope
+        move *= min(1.0, 2.0 / np.abs(move).max())
+        size = 1.0
+        while (new := f(x + size * move)) > value + 1e-4 * size * (move @ slope) or not math.isfinite(new):
+            size /= 2
+            if size < 1e-9:
+                return x, value, None if np.abs(slope).max() < 1e-2 else "false convergence"
+        step, x = size * move, x + size * move
+        turned = slope_of(f, x)
+        change, slope, value = turned - slope, turned, new
+        if step @ change > 1e-12:
+            r = 1 / (step @ change)
+            left = np.eye(len(x)) - r * np.outer(step, change)
+            inverse = left @ inverse @ left.T + r * np.outer(step, step)
+    return x, value, "iteration limit reached without convergence"
+
+
+def ladder(f, starts: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray | None, float, str | None]:
+    """The minimum of f with its covariance, tried again where the fit is in doubt: place, covariance, value, warning.
+
+    First rung: a fit from the first start.  If it did not converge or its Hessian is not positive definite, the other starts
+    follow and the best of all stays.  If the iterations did not suffice, it goes on for up to LAST_STEPS.  What is still in
+    doubt after that is returned with the reason as a warning, and without a covariance where there is none.
+    """
+
+    def judged(start: np.ndarray, steps: int):
+        x, value, reason = quasi_newton(f, start, steps)
+        bend = np.array([(slope_of(f, x + e) - slope_of(f, x - e)) / 2e-3 for e in 1e-3 * np.eye(len(x))])
+        bend = (bend + bend.T) / 2
+        if not np.isfinite(bend).all() or np.linalg.eigvalsh(bend).min() <= 1e-6:
+            return x, None, value, reason or "non-positive-definite Hessian matrix"
+        return x, np.linalg.inv(bend), value, reason
+
+    best = judged(starts[0], FIRST_STEPS)
+    for other in starts[1:] if best[3] else ():
+        tried = judged(other, FIRST_STEPS)
+        if tried[2] < best[2] - 1e-6 or tried[3] is None and tried[2] < best[2] + 1e-6:
+            best = tried
+    if best[3] and "limit" in best[3]:
+        best = judged(best[0], LAST_STEPS)
+    return best
+
+
+def latent_negative_binomial(x: np.ndarray, y: np.ndarray, times: np.ndarray, kind: str) -> dict:
+    """y ~ x with log link, variance mu + mu^2 / k and a latent series with OU or AR1 correlation on the log scale.
+
+    The series is integrated out by Laplace's approximation; coefficients, its deviation and correlation and k maximise the result.
+    """
+    n, design = len(y), np.column_stack([np.ones(len(x)), x - x.mean()])
+    gap = np.abs(times[:, None] - times[None]) if kind == "ou" else np.abs(np.subtract.outer(np.arange(n), np.arange(n))).astype(float)
+    constant = -float(sum(math.lgamma(v + 1) for v in y))
+    warm = [np.zeros(n)]
+
+    def negative_loglik(p: np.ndarray) -> float:
+        beta, k = p[:2], math.exp(min(max(p[4], -6.0), 12.0))
+        c = min(max(p[3], -6.0), 6.0)
+        corr = np.exp(-math.exp(c) * gap) if kind == "ou" else np.where(gap % 2 == 1, math.copysign(1.0, c), 1.0) * abs(math.tanh(c)) ** gap
+        cov = math.exp(2 * min(max(p[2], -6.0), 4.0)) * corr
+        fixed = np.clip(design @ beta, -30, 30)
+        gammas = float(sum(math.lgamma(v + k) for v in y)) - n * math.lgamma(k) + constant
+
+        def at(w):
+            z = cov @ w
+            eta = np.clip(fixed + z, -40, 40)
+            mu = np.exp(eta)
+            return float((y * eta - (y + k) * np.log(k + mu)).sum()) + n * k * math.log(k) - 0.5 * float(w @ z), z, mu
+
+        w = warm[0]
+        value, z, mu = at(w)
+        for _ in range(50):
+            info, rest = mu * k * (k + y) / (k + mu) ** 2, (y - mu) * k / (k + mu)
+            new = np.linalg.solve(np.eye(n) + info[:, None] * cov, info * z + rest)
+            size, tried = 1.0, at(new)
+            while tried[0] < value - 1e-9 * abs(value) and size > 1e-4:
+                size /= 2
+                tried = at(w + size * (new - w))
+            moved = float(np.abs(tried[1] - z).max())
+            w = w + size * (new - w)
+            value, z, mu = tried
+            if moved < 1e-9:
+                break
+        warm[0] = w
+        info = mu * k * (k + y) / (k + mu) ** 2
+        return -(value + gammas - 0.5 * float(np.linalg.slogdet(np.eye(n) + info[:, None] * cov)[1]))
+
+    level, spread = math.log(max(float(y.mean()), 1e-3)), 0.5
+    starts = [np.array([level, 0.0, math.log(s), c, math.log(k)]) for s, c, k in ((spread, 0.0, 5.0), (0.2, 0.5, 50.0), (1.0, -0.5, 1.0))]
+    place, cov, value, warning = ladder(negative_loglik, starts)
+    se = math.sqrt(cov[1, 1]) if cov is not None and cov[1, 1] > 0 else None
+    p = math.erfc(abs(place[1] / se) / math.sqrt(2)) if se else None
+    return {"estimate": float(place[1]), "se": se, "p_value": p, "aic": 10 + 2 * value, "warning": warning}
+
+
 def fitted(df: DataFrame, keys: Sequence[str], specs: DataFrame, x: str = "yr", y: str = "y", t: str = "t_coord", least: int = 4) -> DataFrame:
     """Every model of the grid (spec, autocor, trans, family) for every group.
 
-    One row each: estimate, se, p_value, aic, and a warning instead of them where a fit failed, or where the
-    family has no fit with correlated residuals (nbinom2).
+    One row each: estimate, se, p_value, aic.  Where a fit failed there is a warning instead of them; where it is in doubt even after the
+    retries of ``ladder``, a warning beside them.
     """
     types = dict(df.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", spec string, n bigint, estimate double, se double, p_value double, aic double, warning string"
@@ -103,15 +212,15 @@ def fitted(df: DataFrame, keys: Sequence[str], specs: DataFrame, x: str = "yr",
                 a = (a - a.mean()) / a.std(ddof=1)
                 b = (b - b.mean()) / b.std(ddof=1) if row.family == "gaussian" else b
             if row.family == "nbinom2" and row.autocor != "no_autocor":
-                raise ValueError("nbinom2 is not fitted with correlated residuals")
-            if row.family == "nbinom2":
+                out.update(latent_negative_binomial(a, np.round(b), s[t].to_numpy(float), row.autocor))
+            elif row.family == "nbinom2":
                 out.update(negative_binomial(a, np.round(b)))
             else:
                 kind = {"no_autocor": "none"}.get(row.autocor, row.autocor)
                 out.update(correlated(a, np.log(b) if row.family == "lognormal" else b, s[t].to_numpy(float), kind))
                 if row.family == "lognormal":
                     out["aic"] += 2 * float(np.log(b).sum())
-            if not all(v is not None and math.isfinite(v) for v in (out["estimate"], out["se"], out["aic"])):
+            if not out["warning"] and not all(v is not None and math.isfinite(v) for v in (out["estimate"], out["se"], out["aic"])):
                 raise ArithmeticError("not finite")
         except (ArithmeticError, ValueError, np.linalg.LinAlgError) as e:
             out.update(estimate=None, se=None, p_value=None, aic=None, warning=str(e) or type(e).__name__)
