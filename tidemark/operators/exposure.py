@@ -96,6 +96,13 @@ def site_series(sites: DataFrame, cube: DataFrame, days: DataFrame, levels: int
     return grid.join(values, ["site", "level", "day"], "left").select("site", "day", "v", "level")
 
 
+def covered_years(series: DataFrame) -> DataFrame:
+    """The rows of a series, with yr, in years that have any value."""
+    rows = series.withColumn("yr", F.year("day"))
+    some = rows.where("v is not null").select("site", "yr").distinct()
+    return rows.join(some, ["site", "yr"], "left_semi")
+
+
 def site_catalogue(optima: DataFrame, least_years: int = 3, keys: Sequence[str] = POP) -> DataFrame:
     """The distinct sites of populations with enough years: their years as text and their order of first visit."""
     seen = optima.withColumn("_n", F.size(F.collect_set("yr").over(Window.partitionBy(*keys)))).where(F.col("_n") >= least_years)

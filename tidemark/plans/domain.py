@@ -187,6 +187,18 @@ def _(spark, d):
     return series.groupBy("site", "level").agg(F.count("v").alias("days"), F.round(F.avg("v"), 3).alias("mean"))
 
 
+_LONG = {**_SERIES, "steps": "SELECT CAST(unnest([0, 1, 1, 1]) AS INTEGER) AS level, unnest([0, -1, 0, 1]) AS o"}
+
+
+@query("d03b_longterm_series", sql("SELECT site, level, CAST(year(day) AS INTEGER) AS yr, count(v) AS days, round(avg(v) + 1e-6, 3) AS mean FROM chosen JOIN vals USING (site, level) GROUP BY ALL", "survey", "sites", **_LONG))
+def _(spark, d):
+    """The long-term variant: the cell or its nearest neighbours only; a year without any value is no year of the series."""
+    cell = [F.floor(F.col(c) / 5).alias(n) for c, n in (("lon", "cx"), ("lat", "cy"))]
+    cube = staged(survey(spark, d).join(sites(spark, d), ["site", "region"]).groupBy(*cell, "day").agg(F.avg("temp").alias("value")))
+    series = exposure.site_series(sites(spark, d).select("site", *cell), cube, cube.select("day").distinct(), levels=1, reject=False)
+    return exposure.covered_years(series).groupBy("site", "level", "yr").agg(F.count("v").alias("days"), F.round(F.avg("v") + 1e-6, 3).alias("mean"))
+
+
 def _reference_sql(pick):
     return sql(f"SELECT x.region, x.species, x.yr, x.site, {_metric_sql(('q90',), (), False)} FROM (SELECT r.region, r.species, r.site, d.yr, d.v FROM (SELECT region, species, {pick} AS site FROM optima GROUP BY ALL) r JOIN daily d ON d.site = r.site WHERE r.site IS NOT NULL) x JOIN thresholds t USING (species) GROUP BY ALL", "daily", "optima", "thresholds")
 
@@ -293,13 +305,17 @@ def _(spark, d):
     return regress.contrasts(s, POP, x="x").select(*POP, r4(F.col("ref_slope") * 1000).alias("ref_slope"), r4(F.col("slope_dev") * 1000).alias("slope_dev"), F.round("slope_dev_z", 3).alias("slope_dev_z"))
 
 
-@query("d15_model_grid", "SELECT var_type || '_' || metric || '_' || autocor || '_' || trans || '_' || family AS spec FROM (VALUES ('Env'), ('Abund')) v(var_type), (VALUES ('mean'), ('q50'), ('q70'), ('q90'), ('q95'), ('q97_5')) m(metric), (VALUES ('no_autocor'), ('ou'), ('ar1')) a(autocor), (VALUES ('NULL'), ('Standardize')) t(trans), (VALUES ('gaussian'), ('lognormal'), ('nbinom2')) f(family)")
+_LISTED = "SELECT region, count(*) AS n FROM (SELECT region, species FROM optima GROUP BY ALL HAVING count(*) >= 4) GROUP BY 1"
+
+
+@query("d15_model_grid", sql("SELECT region, n, var_type || '_' || metric || '_' || autocor || '_' || trans || '_' || family AS spec FROM listed, (VALUES ('Env'), ('Abund')) v(var_type), (VALUES ('mean'), ('q50'), ('q70'), ('q90'), ('q95'), ('q97_5')) m(metric), (VALUES ('no_autocor'), ('ou'), ('ar1')) a(autocor), (VALUES ('NULL'), ('Standardize')) t(trans), (VALUES ('gaussian'), ('lognormal'), ('nbinom2')) f(family)", "optima", listed=_LISTED))
 def _(spark, d):
+    """All specs for each region that has populations to fit, with their number."""
     axes = {"var_type": ["Env", "Abund"], "metric": list(ABOVE), "autocor": ["no_autocor", "ou", "ar1"], "trans": ["NULL", "Standardize"], "family": ["gaussian", "lognormal", "nbinom2"]}
-    grid = spark.range(1)
+    grid = optima(spark, d).groupBy(*POP).agg(F.count("*").alias("years")).where("years >= 4").groupBy("region").agg(F.count("*").alias("n"))
     for name, values in axes.items():
         grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
-    return grid.select(F.concat_ws("_", *axes).alias("spec"))
+    return grid.select("region", "n", F.concat_ws("_", *axes).alias("spec"))
 
 
 _SPECS = "SELECT region, species, 'lat' AS spec, CASE WHEN var > 0 THEN n * (ln(2 * pi() * var) + 1) + 8 END AS aic, slope FROM trend UNION ALL SELECT region, species, 'lon', CASE WHEN var > 0 THEN n * (ln(2 * pi() * var) + 1) + 8 END, slope FROM trend2"
@@ -614,11 +630,18 @@ def _(spark, d):
     return long.withColumn("class", F.when((F.col("metric") == "q90") & (F.col("value") > 0), "Extreme").otherwise("Other"))
 
 
-@query("d39_model_strings", "SELECT spec, contains(spec, '_ou_') AS ou, contains(spec, '_ar1_') AS ar1, contains(spec, '_Standardize_') AS std, contains(spec, '_lognormal') AS logn, CAST(nullif(regexp_extract(spec, 'Mr(\\d+)', 1), '') AS INTEGER) AS mr FROM (VALUES ('Env_q90_ou_Standardize_gaussian'), ('Lat_mean_ar1_NULL_lognormal'), ('Mr12d3p4')) t(spec)")
+_STRINGS = "SELECT region, species, CASE WHEN n % 2 = 0 THEN 'Env_q90_' || ['no_autocor', 'ou', 'ar1'][1 + region % 3] || '_' || ['NULL', 'Standardize'][1 + length(species) % 2] || '_' || ['gaussian', 'lognormal'][1 + region % 2] ELSE 'Mr' || region || 'd' || n || 'p4' END AS spec FROM (SELECT region, species, CAST(sum(abund) AS BIGINT) AS n FROM optima GROUP BY ALL)"
+
+
+@query("d39_model_strings", sql("SELECT region, species, contains(spec, '_ou_') AS ou, contains(spec, '_ar1_') AS ar1, contains(spec, '_Standardize_') AS std, contains(spec, '_lognormal') AS logn, CAST(nullif(regexp_extract(spec, 'Mr(\\d+)', 1), '') AS INTEGER) AS mr FROM strings", "optima", strings=_STRINGS))
 def _(spark, d):
-    s = spark.createDataFrame([("Env_q90_ou_Standardize_gaussian",), ("Lat_mean_ar1_NULL_lognormal",), ("Mr12d3p4",)], "spec string")
+    """What the model string of each population says; about half are specs, the others codes of curves."""
+    pick = lambda names, i: F.get(F.array(*[F.lit(n) for n in names]), i.cast("int"))
+    spec = F.concat_ws("_", F.lit("Env_q90"), pick(("no_autocor", "ou", "ar1"), F.col("region") % 3), pick(("NULL", "Standardize"), F.length("species") % 2), pick(("gaussian", "lognormal"), F.col("region") % 2))
+    code = F.concat(F.lit("Mr"), F.col("region").cast("string"), F.lit("d"), F.col("n").cast("string"), F.lit("p4"))
+    s = optima(spark, d).groupBy(*POP).agg(F.sum("abund").cast("bigint").alias("n")).withColumn("spec", F.when(F.col("n") % 2 == 0, spec).otherwise(code))
     c = F.col("spec")
-    return s.select("spec", c.contains("_ou_").alias("ou"), c.contains("_ar1_").alias("ar1"), c.contains("_Standardize_").alias("std"), c.contains("_lognormal").alias("logn"), F.expr("try_cast(nullif(regexp_extract(spec, 'Mr(\\\\d+)', 1), '') AS INT)").alias("mr"))
+    return s.select(*POP, c.contains("_ou_").alias("ou"), c.contains("_ar1_").alias("ar1"), c.contains("_Standardize_").alias("std"), c.contains("_lognormal").alias("logn"), F.expr("try_cast(nullif(regexp_extract(spec, 'Mr(\\\\d+)', 1), '') AS INT)").alias("mr"))
 
 
 @query("d41_worked_example", sql("SELECT arm, n, round(slope, 4) AS slope FROM (SELECT arm, count(*) AS n, regr_slope(y, CAST(yr AS DOUBLE)) AS slope FROM stack WHERE region = (SELECT min(region) FROM stack) AND species = (SELECT min(species) FROM stack) AND yr BETWEEN 1995 AND 2020 AND y IS NOT NULL GROUP BY 1)", "daily", "optima", stack=_STACK))

@@ -194,6 +194,16 @@ def _(spark, d):
     return t.where("outcome is not null").groupBy("region", "outcome").agg(F.count("*").alias("n")).withColumn("pct", 100 * rel.share(F.col("n"), ["region"]))
 
 
+@query("d28b_tested_outcome_range")
+def _(spark, d):
+    """For each guild and outcome the least and the largest share over the parts of the range, from tested paths."""
+    t = _path_tests(spark, d).withColumn("outcome", classify.path_outcome_of_tests(F.col("best_ref_z"), F.col("best_obs_z"))).where("outcome is not null")
+    places = _categorised(spark, d).select(F.col("region").cast("int").alias("region"), "species", "guild", "range").distinct()
+    n = t.join(places, POP).groupBy("guild", "range", "outcome").agg(F.count("*").alias("n"))
+    n = n.withColumn("p", F.round(100 * rel.share(F.col("n"), ["guild", "range"]), 0))
+    return n.groupBy("guild", "outcome").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.sum("n").alias("n"))
+
+
 @query("d13_m03_m04_model_grid")
 def _(spark, d):
     grid = spark.createDataFrame([(f"Abund_{a}_{t}_{f}", a, t, f) for a in ("no_autocor", "ou", "ar1") for t in ("NULL", "Standardize") for f in ("gaussian", "lognormal", "nbinom2")], "spec string, autocor string, trans string, family string")
