@@ -685,7 +685,7 @@ def test_query_against_sql(spark, name):
     assert tidy(queries.queries()[name](spark, "/root/testdata/sf0.001").toPandas()) == tidy(c.sql(SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", [n for n in queries.queries() if n != "pipeline"])
+@pytest.mark.parametrize("name", [n for n in queries.queries() if n != "pipeline" and not n.startswith("op12_")])  # op12 has rows of groups
 def test_query_keeps_all_rows(spark, tiny, name):
     source = "pages" if name.startswith("op1_") else "documents"
     assert queries.queries()[name](spark, tiny).count() == spark.read.parquet(f"{tiny}/{source}.parquet").count()
