@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
-from tidemark.operators import classify, exposure, models, path, regress, relational, sea, shape, spatial
+from tidemark.operators import barriers, classify, exposure, models, path, regress, relational, sea, shape, spatial
 from tidemark.operators import windows as win
 from tidemark.sources import tables
 
@@ -199,7 +199,7 @@ _LANDS = "region int, cx bigint, cy bigint, piece int, area_km2 double"
 
 
 def _parts(spark, sites, land):
-    got = spatial.split_regions(spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(sites)], "region int, site long, lon double, lat double"), spark.createDataFrame(land, _LANDS), 1.0)
+    got = barriers.split_regions(spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(sites)], "region int, site long, lon double, lat double"), spark.createDataFrame(land, _LANDS), 1.0)
     return {r["site"]: r["suffix"] for r in got.collect()}
 
 

@@ -10,13 +10,10 @@ import heapq
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import KM_PER_DEGREE_LINE, line_km
-from ..sources.staging import ship
 from .relational import first_of_each, near_pairs
 
 
@@ -134,77 +131,6 @@ def nearest_land(sites: DataFrame, pieces: DataFrame, step: float, large_km2: fl
     return closest(cells).join(large, ["region", "point"], "left").select("region", "point", F.coalesce("l.piece", "piece").alias("piece"), F.coalesce("l.km", "km").alias("km"))
 
 
-def split_regions(sites: DataFrame, land: DataFrame, step: float, lat_gap: float = 1.0, times: float = 4.0, lon_gap: float = 0.30, overlap: float = 0.30, land_share: float = 0.30, least: int = 5) -> DataFrame:
-    """Groups of the sites of each region behind barriers, by repeated splits.
-
-    ``sites`` has region, site, lon, lat; ``land`` is that of ``sea.land_pieces``.  First the widest gap of latitude: at least
-    ``lat_gap`` degrees and ``times`` the median spacing, where the centres of both sides belong to different land
-    masses, by the rule of ``nearest_land``; a region without land is open water.  Else the widest gap of longitude: at
-    least ``lon_gap``, with ``overlap`` of the latitudes shared and land on ``land_share`` of the gap.  Both sides keep ``least``
-    sites.  A side of a gap of longitude is named E or W, other groups after the compass direction of their centre from the region's.
-    """
-
-    def widest(values: pd.Series) -> tuple[float, float, float]:
-        """The width and the middle of the widest gap, and the median one."""
-        v = np.unique(np.round(values, 3))
-        if len(v) < 2:
-            return 0.0, math.nan, math.nan
-        gaps = np.diff(v)
-        i = int(np.argmax(gaps))
-        return float(gaps[i]), float(v[i] + v[i + 1]) / 2, float(np.median(gaps))
-
-    def mass(part: pd.DataFrame, cells: pd.DataFrame) -> int:
-        lon, lat = part.lon.mean(), part.lat.mean()
-
-        def closest(c: pd.DataFrame):
-            x, y = (c.cx + 0.5) * step, (c.cy + 0.5) * step
-            i = int(np.argmin((x - lon) ** 2 + (y - lat) ** 2))
-            return c.piece.iloc[i], math.hypot((x.iloc[i] - lon) * math.cos(math.radians(lat)), y.iloc[i] - lat) * KM_PER_DEGREE_LINE
-
-        large = cells[cells.area_km2 >= LARGE_LAND_KM2]
-        if len(large):
-            piece, km = closest(large)
-            if km <= NEARBY_LAND_KM:
-                return piece
-        return closest(cells)[0]
-
-    def doubled(a: pd.DataFrame, b: pd.DataFrame, inner: tuple[float, float], cells: set[Cell]) -> bool:
-        """Whether both sides share latitudes and land lies between them."""
-        low, high = max(a.lat.min(), b.lat.min()), min(a.lat.max(), b.lat.max())
-        whole = max(a.lat.max(), b.lat.max()) - min(a.lat.min(), b.lat.min())
-        if high <= low or (high - low) / whole < overlap:
-            return False
-        between = [(math.floor(x / step), math.floor(y / step)) for x in np.linspace(*inner, 10) for y in np.linspace(low, high, 20)]
-        return sum(c in cells for c in between) >= land_share * len(between)
-
-    def cut(part: pd.DataFrame, cells: pd.DataFrame, names: set[Cell], tag: str) -> list[tuple[pd.DataFrame, str]]:
-        gap, middle, typical = widest(part.lat)
-        a, b = part[part.lat <= middle], part[part.lat > middle]
-        if gap >= lat_gap and gap >= times * typical and min(len(a), len(b)) >= least and (cells.empty or mass(a, cells) != mass(b, cells)):
-            return cut(a, cells, names, tag) + cut(b, cells, names, tag)
-        gap, middle, _ = widest(part.lon)
-        a, b = part[part.lon <= middle], part[part.lon > middle]
-        if gap >= lon_gap and min(len(a), len(b)) >= least and doubled(a, b, (a.lon.max(), b.lon.min()), names):
-            return cut(a, cells, names, "W") + cut(b, cells, names, "E")
-        return [(part, tag)]
-
-    ship(sites.sparkSession)
-
-    def plan(key, own: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-        rows, given = [], {}
-        parts = cut(own.sort_values("site"), cells.sort_values(["cx", "cy"]), set(zip(cells.cx, cells.cy, strict=True)), "") if len(own) else []
-        for k, (part, tag) in enumerate(parts):
-            dx, dy = part.lon.mean() - own.lon.mean(), part.lat.mean() - own.lat.mean()
-            compass = ("N" if dy >= 0 else "S") if abs(dy) >= abs(dx) else ("E" if dx >= 0 else "W")
-            name = "" if len(parts) == 1 else tag or compass
-            given[name] = given.get(name, 0) + 1  # equal names get numbers
-            rows.append(part.assign(part=k, suffix=name + (str(given[name]) if given[name] > 1 else "")))
-        return pd.concat(rows)[["region", "site", "part", "suffix"]] if rows else pd.DataFrame(columns=["region", "site", "part", "suffix"])
-
-    left = sites.select(F.col("region").cast("int").alias("region"), F.col("site").cast("bigint").alias("site"), "lon", "lat")
-    return left.groupBy("region").cogroup(land.groupBy("region")).applyInPandas(plan, "region int, site bigint, part int, suffix string")
-
-
 def pooled(optima: DataFrame, chains: DataFrame, least_regions: int = 2) -> DataFrame:
     """Regions of a chain as one coast; species that live in enough of its regions."""
     named = optima.join(chains.select("region", "coast"), "region")

@@ -9,12 +9,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import classify, mixed, models, path, regress, sea, spatial
+from ..operators import barriers, classify, mixed, models, path, regress, sea, spatial
 from ..operators import relational as rel
 from ..operators import windows as win
 from ..sources.staging import staged
 from .domain import _categorised, _curve_points, _lat_trends, stacked
-from .proxy import POP, daily, optima, read, sites, sql
+from .proxy import POP, daily, optima, read, sites, sql, survey
 from .registry import query
 
 r4 = lambda c: F.round(c, 4)
@@ -149,9 +149,46 @@ def _(spark, d):
     return near.select(F.col("point").alias("site"), "piece", F.round("km", 3).alias("km"))
 
 
+def _coasts(spark, d):
+    """The sites along three short coasts: one in the north, two in the south with a ridge of land between them."""
+    k, part = F.col("s_suppkey"), F.pmod("s_suppkey", F.lit(3))
+    lon = F.when(part == 0, -1.0).when(part == 1, -9.0).otherwise(7.0) + (k * 29 % 100) / 50
+    lat = F.when(part == 0, 2.5).otherwise(-4.5) + (k * 37 % 100) / 50
+    return read(spark, d, "supplier").select(F.col("s_nationkey").alias("region"), k.alias("site"), lon.alias("lon"), lat.alias("lat"))
+
+
+def _ridges(spark, d):
+    ridge = F.col("cx").between(-4, 3) & (F.col("cy") < 0)
+    return _world(spark, d).withColumn("z", F.when(ridge, 5.0).otherwise(F.col("z")))
+
+
+def _split(spark, d):
+    return staged(barriers.split_regions(_coasts(spark, d), sea.land_pieces(_ridges(spark, d), 1.0), 1.0))
+
+
+def _confirmed(spark, d):
+    """Splits are recognised in the nations of the first four regions of the order tables."""
+    return read(spark, d, "nation").where("n_regionkey < 4").select(F.col("n_nationkey").alias("region"))
+
+
 @query("d23_barrier_split")
 def _(spark, d):
-    return spatial.split_regions(_reefs(spark, d).withColumnRenamed("cell", "site"), sea.land_pieces(_world(spark, d), 1.0), 1.0)
+    return _split(spark, d)
+
+
+@query("d23_unconfirmed_splits")
+def _(spark, d):
+    return barriers.unconfirmed(_split(spark, d), _confirmed(spark, d))
+
+
+@query("d23_split_viability")
+def _(spark, d):
+    return barriers.viability(barriers.confirmed_plan(_split(spark, d), _confirmed(spark, d)), survey(spark, d))
+
+
+@query("d23_species_to_refit")
+def _(spark, d):
+    return barriers.to_refit(barriers.confirmed_plan(_split(spark, d), _confirmed(spark, d)), survey(spark, d))
 
 
 @query("d24_pooled_coasts", sql("SELECT coast, species, region, yr FROM (SELECT *, region // 5 AS coast FROM optima) JOIN (SELECT region // 5 AS coast, species FROM optima GROUP BY ALL HAVING count(DISTINCT region) >= 2) USING (coast, species)", "optima"))
