@@ -9,7 +9,8 @@ from ..functions import nulls, scalar
 from ..operators import classify, exposure, regress, shape, spatial
 from ..operators import relational as rel
 from ..operators import windows as win
-from ..sources.staging import staged
+from ..sources import cube
+from ..sources.staging import shared_folder, staged
 from .proxy import POP, QUANTILES, daily, optima, read, sites, sql, survey, thresholds
 from .registry import query
 
@@ -187,6 +188,30 @@ def _(spark, d):
     return series.groupBy("site", "level").agg(F.count("v").alias("days"), F.round(F.avg("v"), 3).alias("mean"))
 
 
+def _laid_out(spark, d, size):
+    """The cube of the survey by tiles of ``size`` cells and years."""
+    cell = [F.floor(F.col(c) / 5).alias(n) for c, n in (("lon", "cx"), ("lat", "cy"))]
+    path = shared_folder(spark)
+    cube.lay_out(survey(spark, d).join(sites(spark, d), ["site", "region"]).groupBy(*cell, "day").agg(F.avg("temp").alias("value")), path, size)
+    return path
+
+
+@query("s09_cube_layout", sql("SELECT CAST(floor(cx / 8.0) AS BIGINT) AS tx, CAST(floor(cy / 8.0) AS BIGINT) AS ty, CAST(year(day) AS INTEGER) AS yr, count(*) AS n, count(DISTINCT day) AS layers, round(avg(value), 3) AS mean FROM cube GROUP BY ALL", "survey", "sites", **_SERIES))
+def _(spark, d):
+    """Each directory of the laid-out cube: its values, its layers and their mean."""
+    laid = spark.read.parquet(f"{_laid_out(spark, d, 8)}/values")
+    out = laid.groupBy("tile", "yr").agg(F.min(F.floor(F.col("cx") / 8)).alias("tx"), F.min(F.floor(F.col("cy") / 8)).alias("ty"), F.count("*").alias("n"), F.countDistinct("day").alias("layers"), F.round(F.avg("value"), 3).alias("mean"))
+    return out.select("tx", "ty", "yr", "n", "layers", "mean")
+
+
+@query("d03_tiled_series", sql("SELECT site, level, count(v) AS days, round(avg(v), 3) AS mean FROM chosen JOIN vals USING (site, level) GROUP BY ALL", "survey", "sites", **_SERIES))
+def _(spark, d):
+    """The series of d03 from the laid-out cube."""
+    cell = [F.floor(F.col(c) / 5).alias(n) for c, n in (("lon", "cx"), ("lat", "cy"))]
+    series = cube.series(sites(spark, d).select("site", *cell), _laid_out(spark, d, 8), size=8, reject=False)
+    return series.groupBy("site", "level").agg(F.count("v").alias("days"), F.round(F.avg("v"), 3).alias("mean"))
+
+
 _LONG = {**_SERIES, "steps": "SELECT CAST(unnest([0, 1, 1, 1]) AS INTEGER) AS level, unnest([0, -1, 0, 1]) AS o"}
 
 
