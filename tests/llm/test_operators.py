@@ -125,13 +125,15 @@ def plain_license(text):
     at = sorted(i for v in places.values() for i in v)
     base = sorted(k for k, v in places.items() if v)
     more, best = set(), 0.0
-    for label, t, keys, bars in license_scan.TEMPLATES:
+    for label, t, tells in license_scan.TEMPLATES:
         k, size = set(words(t)), license_scan.LEAST_REACH
         while size < len(words(t)):
             size *= 2
         for start in range(0, max(len(w) - size, 1), size):
-            own = set(w[start : start + 2 * size])
-            if len(own & k) >= max(1, -(-8 * len(k) // 10)) and own >= set(keys) and not own & set(bars):
+            run = w[start : start + 2 * size]
+            own = set(run)
+            told = any(run[i : i + len(t.split())] == t.split() for t in tells for i in range(len(run)))
+            if len(own & k) >= max(1, -(-8 * len(k) // 10)) and told:
                 more.add(label)
                 best = max(best, len(own & k) / len(k))
     return len(w), len(at), at[0] if at else None, at[-1] if at else None, ",".join(base), ",".join(sorted({*base, *more})), 1.0 if at else best
@@ -158,6 +160,14 @@ def test_license_scan(spark, awkward, nothing):
         ("This work is licensed\nunder the GNU\nGeneral Public License,\nversion 3.", "gpl-3"), ("Released under the BSD License", ""), ("Licensed under CC BY-NC-SA 4.0", "cc-by-nc"),
         (PROSE * 300 + "This work is licensed under the GNU General Public License, version 3. " + PROSE * 300, "gpl-3"),
         ("licensed " + PROSE * 3 + "gnu " + PROSE * 3 + "general public " + PROSE * 3 + "license version 3 this work is under the", ""),
+        ("This work is licensed under the GNU Free Documentation License, Version 1.3", ""), ("This work is licensed under the GNU General Public License, version 2. See chapter 3.", ""),
+        ("This work is licensed under the GNU General Public License, version 3, or the GNU Lesser General Public License", "gpl-3"),
+        ("This work is licensed under the GNU General Public License, version 3. Its library is licensed under the GNU Lesser General Public License, version 3.", "gpl-3,lgpl-3"),
+        ("This work is licensed under the GNU Affero General Public License, version 3", ""), ("Licensed under the GNU Lesser General Public License, version 2.1, chapter 3", ""),
+        ("Licensed under the Apache License, Version 1.1, chapter 2", ""), ("Licensed under the Apache License, 2.0", "apache-2"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License, that one under a ShareAlike one", "cc-by-nc"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", ""),
+        ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License", "lgpl-3"),
         ("Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles, to deal in the Software without restriction", "mit"),
     ],
 )
