@@ -293,6 +293,28 @@ def test_predicted_curve(spark):
         assert np.allclose(got[name], want, atol=1e-9)
 
 
+def test_multinomial_equals_newton(spark):
+    rng = np.random.default_rng(11)
+    a, b = rng.integers(0, 4, 600) / 2, rng.normal(size=600).round(1)
+    odds = np.column_stack([np.zeros(600), 0.4 + a - 0.5 * b, -0.3 - 0.8 * a + b])
+    y = np.array([rng.choice(3, p=np.exp(o) / np.exp(o).sum()) for o in odds])
+    x, beta = np.column_stack([np.ones(600), a, b]), np.zeros((2, 3))
+    for _ in range(30):
+        e = np.column_stack([np.ones(600), np.exp(x @ beta.T)])
+        p = e / e.sum(axis=1, keepdims=True)
+        grad = np.concatenate([x.T @ ((y == k) - p[:, k]) for k in (1, 2)])
+        info = np.block([[x.T @ (x * (p[:, k] * ((k == m) - p[:, m]))[:, None]) for m in (1, 2)] for k in (1, 2)])
+        beta = beta + np.linalg.solve(info, grad).reshape(2, 3)
+    df = spark.createDataFrame([(float(k), float(u), float(v)) for k, u, v in zip(y, a, b, strict=True)], "label double, a double, b double")
+    terms, shares = models.multinomial(df, "label", ["a", "b"])
+    assert [t[:2] for t in terms] == [(k, n) for k in (1, 2) for n in ("intercept", "a", "b")]
+    assert [t[2] for t in terms] == pytest.approx(beta.ravel(), abs=2e-3)
+    assert [t[3] for t in terms] == pytest.approx(np.sqrt(np.diag(np.linalg.inv(info))), rel=5e-3)
+    at = {(u, v): p[i] for i, (u, v) in enumerate(zip(a, b, strict=True))}
+    got = shares.collect()
+    assert len(got) == 3 * len(at) and all(r["p"] == pytest.approx(at[r["a"], r["b"]][r["label"]], abs=2e-3) for r in got)
+
+
 def test_type3_of_a_saturated_model(spark):
     rng = np.random.default_rng(4)
     rows = [(float(rng.choice(3, p=(0.6, 0.3, 0.1) if a else (0.2, 0.3, 0.5))), float(a)) for a in rng.integers(0, 2, 300)]
@@ -346,6 +368,28 @@ def test_ladder_of_fits():
     assert place[0] == pytest.approx(-4, abs=1e-3) and warning is None and value == pytest.approx(-5, abs=1e-6)
 
 
+def test_profiles_are_searched_again():
+    hollows = lambda p: min((p + 3) ** 2 / 9, (p - 2.9) ** 2 * 40 - 1)
+    assert models.minimum(hollows, -6.0, 4.0) == pytest.approx(-3, abs=1e-3)  # the first search alone
+    place, warning = models.profiled(hollows, -6.0, 4.0)
+    assert place == pytest.approx(2.9, abs=1e-4) and warning is None
+    assert models.profiled(lambda p: p, 0.0, 1.0)[1] == "correlation at the end of its range"
+    assert models.profiled(lambda p: 1e-9 * p * p, -1.0, 1.0)[1] == "non-positive-definite Hessian matrix"
+    assert models.profiled(lambda p: 0.0, -1.0, 1.0)[1] is not None
+
+
+@pytest.mark.parametrize("kind", ["ou", "ar1"])
+def test_planted_correlation_is_found(kind):
+    rng = np.random.default_rng(4)
+    t = np.arange(200.0)
+    noise = np.zeros(200)
+    for i in range(1, 200):
+        noise[i] = 0.6 * noise[i - 1] + rng.normal()
+    got = models.correlated(t, 3 + 0.05 * t + noise, t, kind)
+    assert got["warning"] is None and got["estimate"] == pytest.approx(0.05, abs=3 * got["se"])
+    assert got["aic"] < models.correlated(t, 3 + 0.05 * t + noise, t, "none")["aic"] - 20
+
+
 def test_ladder_goes_on_where_iterations_did_not_suffice(monkeypatch):
     monkeypatch.setattr(models, "FIRST_STEPS", 2)
     valley = lambda p: float((1 - p[0]) ** 2 + 100 * (p[1] - p[0] ** 2) ** 2)

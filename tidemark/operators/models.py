@@ -35,11 +35,36 @@ def minimum(f, lo: float, hi: float, steps: int = 60) -> float:
     return (a + b) / 2
 
 
+#: Places along its range at which a profile is looked at once its first search is done.
+PLACES = 41
+
+
+def profiled(f, lo: float, hi: float) -> tuple[float, str | None]:
+    """The least place of a profile of one parameter, and a warning where it stays in doubt.
+
+    First rung: golden section over the whole range.  Where a place elsewhere is lower, the search goes on beside the lowest one,
+    and the lower result stays.  A place at the end of the range or one without curvature is returned with its reason.
+    """
+    wide = hi - lo
+    best = minimum(f, lo, hi)
+    value, step = f(best), wide / (PLACES - 1)
+    seen = [f(lo + i * step) for i in range(PLACES)]
+    i = min(range(PLACES), key=seen.__getitem__)
+    if seen[i] < value - 1e-6:
+        again = minimum(f, lo + max(i - 1, 0) * step, lo + min(i + 1, PLACES - 1) * step)
+        best = min((again, lo + i * step, best), key=f)
+    if min(best - lo, hi - best) < 1e-3 * wide:
+        return best, "correlation at the end of its range"
+    h = min(1e-2 * wide, (best - lo) / 2, (hi - best) / 2)
+    bend = (f(best + h) - 2 * f(best) + f(best - h)) / (h * h)
+    return best, None if bend > 1e-6 else "non-positive-definite Hessian matrix"
+
+
 def correlated(x: np.ndarray, y: np.ndarray, times: np.ndarray, kind: str) -> dict:
     """Maximum likelihood of y ~ x with residual correlation ``none``, ``ar1`` or ``ou``.
 
     The correlation of two times is rho^|i - j| over places (ar1) or exp(-theta |t - s|) (ou); its
-    parameter is profiled out, and counts as a parameter of AIC.
+    parameter is profiled out, with the retries of ``profiled``, and counts as a parameter of AIC.
     """
     n, design = len(y), np.column_stack([np.ones(len(x)), x - x.mean()])
     gap = np.abs(times[:, None] - times[None]) if kind == "ou" else np.abs(np.subtract.outer(np.arange(n), np.arange(n))).astype(float)
@@ -53,10 +78,10 @@ def correlated(x: np.ndarray, y: np.ndarray, times: np.ndarray, kind: str) -> di
         loglik = -0.5 * n * (math.log(2 * math.pi * var) + 1) - float(np.log(np.diag(root)).sum())
         return beta, var * np.linalg.inv(a.T @ a), loglik
 
-    p = 0.0 if kind == "none" else minimum(lambda q: -fit(q)[2], *((-6.0, 4.0) if kind == "ou" else (-0.95, 0.95)))
+    p, warning = (0.0, None) if kind == "none" else profiled(lambda q: -fit(q)[2], *((-6.0, 4.0) if kind == "ou" else (-0.95, 0.95)))
     beta, cov, loglik = fit(p)
     se = math.sqrt(cov[1, 1])
-    return {"estimate": float(beta[1]), "se": se, "p_value": math.erfc(abs(beta[1] / se) / math.sqrt(2)) if se > 0 else None, "aic": 2 * (4 + (kind != "none")) - 2 * loglik}
+    return {"estimate": float(beta[1]), "se": se, "p_value": math.erfc(abs(beta[1] / se) / math.sqrt(2)) if se > 0 else None, "aic": 2 * (4 + (kind != "none")) - 2 * loglik, "warning": warning}
 
 
 def negative_binomial(x: np.ndarray, y: np.ndarray) -> dict:
@@ -195,7 +220,7 @@ def fitted(df: DataFrame, keys: Sequence[str], specs: DataFrame, x: str = "yr",
     """Every model of the grid (spec, autocor, trans, family) for every group.
 
     One row each: estimate, se, p_value, aic.  Where a fit failed there is a warning instead of them; where it is in doubt even after the
-    retries of ``ladder``, a warning beside them.
+    retries of ``ladder`` or ``profiled``, a warning beside them.
     """
     types = dict(df.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", spec string, n bigint, estimate double, se double, p_value double, aic double, warning string"
@@ -288,6 +313,36 @@ def multinomial_deviance(rows: DataFrame, label: str, features: Sequence[str]) -
     return float(-2 * model.transform(made).agg(F.sum(F.log(own)).alias("ll")).first()["ll"])
 
 
+def multinomial(rows: DataFrame, label: str, features: Sequence[str]) -> tuple[list[tuple[int, str, float, float | None, float | None]], DataFrame]:
+    """A multinomial logit of the label (0, 1, ...) on the features: its terms, and the probabilities of every distinct row of features.
+
+    Terms are (class, term, estimate, se, p) of each class against the least one that occurs; standard errors come from the information
+    matrix, summed over all rows in one aggregate.  Probabilities are rows of the features with label and p.
+    """
+    classes = sorted(int(r[0]) for r in rows.select(label).distinct().collect())  # one row a class
+    made = VectorAssembler(inputCols=list(features), outputCol="_features").transform(rows)
+    model = LogisticRegression(family="multinomial", featuresCol="_features", labelCol=label, probabilityCol="_p", maxIter=200, tol=1e-10).fit(made)
+    beta = np.column_stack([model.interceptVector.toArray(), model.coefficientMatrix.toArray()])
+    x, names = [F.lit(1.0), *(F.col(f) for f in features)], ["intercept", *features]
+    p = vector_to_array(F.col("_p"))
+    own = [(k, i) for k in classes[1:] for i in range(len(x))]
+    upper = [(a, b) for a in range(len(own)) for b in range(a, len(own))]
+    cell = lambda a, b: F.sum(p[own[a][0]] * (float(own[a][0] == own[b][0]) - p[own[b][0]]) * x[own[a][1]] * x[own[b][1]])
+    info = np.zeros((len(own), len(own)))
+    if own:
+        for (a, b), v in zip(upper, model.transform(made).agg(*[cell(a, b).alias(f"_{a}_{b}") for a, b in upper]).first(), strict=True):
+            info[a, b] = info[b, a] = v
+    known = len(own) > 0 and np.linalg.eigvalsh(info).min() > 1e-9
+    se = np.sqrt(np.diag(np.linalg.inv(info))) if known else [None] * len(own)
+    terms = []
+    for (k, i), s in zip(own, se, strict=True):
+        b = float(beta[k, i] - beta[classes[0], i])
+        terms.append((k, names[i], b, None if s is None else float(s), None if s is None else math.erfc(abs(b / float(s)) / math.sqrt(2))))
+    seen = VectorAssembler(inputCols=list(features), outputCol="_features").transform(rows.select(*features).distinct())
+    shares = model.transform(seen).select(*features, F.posexplode(p).alias("label", "p"))
+    return terms, shares
+
+
 def type3(rows: DataFrame, label: str, features: Sequence[str]) -> list[tuple[str, float, int, float]]:
     """Type-3 tests of a multinomial logit: (term, chi2, df, p) of leaving out each term alone."""
     classes = rows.select(label).distinct().count()

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -345,9 +343,16 @@ def _classes(spark, d):
 
 @query("m08_multinomial")
 def _(spark, d):
-    rows = VectorAssembler(inputCols=["region"], outputCol="features").transform(_classes(spark, d))
-    model = LogisticRegression(family="multinomial", maxIter=20).fit(rows)
-    return model.transform(rows).groupBy("label", "prediction").agg(F.count("*").alias("n"))
+    """Log-odds of each class against the first, with standard errors."""
+    terms, _ = models.multinomial(staged(_classes(spark, d)), "label", ["region", "name"])
+    return spark.createDataFrame(terms, "class int, term string, estimate double, se double, p double")
+
+
+@query("m08_predicted_shares")
+def _(spark, d):
+    """The probability of each class in each region."""
+    _, shares = models.multinomial(staged(_classes(spark, d)), "label", ["region"])
+    return shares.select(F.round(10 * F.col("region")).cast("int").alias("region"), "label", "p")
 
 
 @query("m08_type3_tests")
