@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -53,16 +54,11 @@ def sums_by(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def literal_rows(spark: SparkSession, rows: Sequence[dict], schema: str) -> DataFrame:
-    """A small table of literals inside the plan; ``schema`` is the DDL of its rows."""
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    """A small table inside the plan, as one string that Spark parses, so that the plan doesn't grow with it; ``schema`` is the DDL of its rows."""
     if not rows:
         return spark.createDataFrame([], schema)
-
-    def cell(value):
-        return F.array(*[F.lit(v) for v in value]) if isinstance(value, (list, tuple)) else F.lit(value)
-
-    table = spark.range(1).select(F.inline(F.array(*[F.struct(*[cell(r[n]).alias(n) for n in names]) for r in rows])))
-    return table.select(*[F.col(p.strip().split(" ")[0]).cast(p.strip().split(" ", 1)[1]) for p in schema.split(",")])
+    parsed = F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), f"array<struct<{', '.join(part.strip().replace(' ', ': ', 1) for part in schema.split(', '))}>>")
+    return spark.range(1).select(F.inline(parsed))
 
 
 def discard(spark: SparkSession, path: str) -> None:
