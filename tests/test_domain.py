@@ -519,3 +519,20 @@ def test_population_average(spark):
     assert [r["n"], r["slope"], r["se"], r["tau2"]] == pytest.approx([4, (u * b).sum() / u.sum(), 1 / math.sqrt(u.sum()), tau2])
     alone = regress.population_average(spark.createDataFrame(rows[:1], "slope double, v double")).first()
     assert (alone["slope"], alone["tau2"]) == (0.5, 0.0)
+
+
+@pytest.mark.parametrize("master, ok", [("local[4]", True), ("local", True), ("local-cluster[2,1,1024]", False), ("spark://host:7077", False), ("yarn", False)])
+def test_clusters_need_a_shared_folder(master, ok):
+    from tidemark.sources import staging
+
+    class Session:
+        class conf:
+            values = {"spark.master": master}
+            get = classmethod(lambda cls, k, default=None: cls.values.get(k, default))
+            set = classmethod(lambda cls, k, v: cls.values.update({k: v}))
+
+    if ok:
+        assert staging.shared_folder(Session).startswith(Session.conf.values["spark.checkpoint.dir"])
+    else:
+        with pytest.raises(RuntimeError):
+            staging.shared_folder(Session)
