@@ -157,7 +157,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, block
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
-    """The documents in which no benchmark window occurs, with all their columns; those without words stay, and so do repeated rows."""
+    """The documents in which no benchmark window occurs, with all their columns; those without words stay, and so do repeated rows.
+
+    An empty table gives no rows, an empty benchmark takes none away, very long texts are searched whole.  Each block of the benchmark is one
+    pass over the documents that are left.
+    """
     ship(docs.sparkSession)
     for windows, final in _blocks(benchmark, length, block_bytes, "item_id", "text"):
         shared = docs.sparkSession.sparkContext.broadcast(windows)

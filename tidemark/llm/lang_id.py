@@ -124,7 +124,11 @@ def language_of(docs: DataFrame, dictionaries: dict[str, bytes], margin: float =
 
 
 def only_known(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, text: str = "text") -> DataFrame:
-    """The documents whose prediction is confident, with all their columns; null texts and those without letters go, repeated rows stay."""
+    """The documents whose prediction is confident, with all their columns; null texts and those without letters go, repeated rows stay.
+
+    An empty table gives no rows, very long texts are compressed whole, further columns pass through, whatever they are called.
+    Where nothing was learned, nothing is known and all documents go.
+    """
     shared = shared_parts(docs.sparkSession, dictionaries)
 
     ship(docs.sparkSession)
