@@ -76,7 +76,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 20, key: str = "do
 
     Rows are numbered by key (null first), then by the checksum and size of the text; fully equal
     rows are interchangeable.  ``size`` is the UTF-8 length plus 1, so 1 for null and empty
-    texts.  An empty table gives no rows.  Other columns are not read.
+    texts; very long ones are measured whole.  An empty table gives no rows.  Other columns are not read.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
