@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, LOWER_BYTES, shared_folder, ship, sliced, staged
+from .common import discard, large, LOWER_BYTES, shared_folder, ship, sliced, staged
 
 SHINGLE, PERCENT = 3, 85
 BUNDLES, ROWS = 9, 3
@@ -161,7 +161,7 @@ def measured(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFra
     """(a, b, common, united) of each pair (a, b) of nodes, from the full texts (node, set_key, text)."""
     first = texts.select(F.col("node").alias("a"), F.col("set_key").alias("key_a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("node").alias("b"), F.col("set_key").alias("key_b"), F.col("text").alias("text_b"))
-    met = pairs.select("a", "b").join(first, "a").join(second, "b")
+    met = pairs.select("a", "b").join(large(first), "a").join(large(second), "b")
     ship(pairs.sparkSession)
 
     def counted(batches):
@@ -197,10 +197,10 @@ def components(edges: DataFrame) -> DataFrame:
     k = 0
     while True:
         k += 1
-        near = both.join(roots, both["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        new = roots.join(near.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "near").alias("next"))
+        near = both.join(large(roots), both["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("near"))
+        new = roots.join(large(near.withColumnRenamed("a", "node")), "node").select("node", "root", F.least("root", "near").alias("next"))
         jump = roots.select(F.col("node").alias("next"), F.col("root").alias("jumped"))
-        new = new.join(jump, "next").select("node", F.least("next", "jumped").alias("root"), (F.least("next", "jumped") != F.col("root")).alias("changed"))
+        new = new.join(large(jump), "next").select("node", F.least("next", "jumped").alias("root"), (F.least("next", "jumped") != F.col("root")).alias("changed"))
         new = staged(new, f"{folder}/{k}")
         more = new.where("changed").limit(1).count()
         discard(spark, f"{folder}/{k - 1}")
@@ -223,43 +223,43 @@ def grouped(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, key: s
     # Tables: every class that shares a bucket, and the bucket's pivot.
     rows = table_keys(classes, n)
     sizes = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = staged(rows.join(sizes, "key"), f"{folder}/members")
+    members = staged(rows.join(large(sizes), "key"), f"{folder}/members")
     shares = members.groupBy("node").agg(F.sum("members").alias("shares"))
-    pivots = members.select("key", "node").join(shares, "node").groupBy("key").agg(F.max_by("node", F.struct("shares", "node")).alias("a"))
+    pivots = members.select("key", "node").join(large(shares), "node").groupBy("key").agg(F.max_by("node", F.struct("shares", "node")).alias("a"))
     pivots = staged(pivots, f"{folder}/pivots")
-    tested = staged(members.join(pivots, "key").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct(), f"{folder}/tested")
+    tested = staged(members.join(large(pivots), "key").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct(), f"{folder}/tested")
 
-    held = members.select("node").distinct().join(classes.select("node", "set_key", F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("rep_text")), "node")
+    held = members.select("node").distinct().join(large(classes.select("node", "set_key", F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("rep_text"))), "node")
     own = docs.select(F.col(key).cast("bigint").alias("rep"), F.col(text).alias("text"), text_key(F.col(text)).alias("rep_text")).where(F.col("text").isNotNull()).withColumnRenamed("rep", "own")
-    texts = own.join(held, own["own"].eqNullSafe(held["rep"]) & (own["rep_text"] == held["rep_text"])).select("node", "set_key", "text").dropDuplicates(["node"])  # once, however often its row repeats
+    texts = own.join(large(held), own["own"].eqNullSafe(held["rep"]) & (own["rep_text"] == held["rep_text"])).select("node", "set_key", "text").dropDuplicates(["node"])  # once, however often its row repeats
     texts = staged(texts, f"{folder}/texts")
     linked = F.col("common") * 100 >= F.col("united") * percent
     links = staged(measured(tested, texts, size).where(linked).select("a", "b"), f"{folder}/links")
     roots = components(links)
 
     # Buckets that hold several components: classes apart from their pivot against all others.
-    placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = members.select("key", "node").join(large(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    main = pivots.join(mixed, "key").select("key", F.col("a").alias("node")).join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("main"))
-    left = staged(placed.join(main, "key").join(classes.select("node", "n", "sketch", "bundles"), "node"), f"{folder}/left")
+    main = pivots.join(large(mixed), "key").select("key", F.col("a").alias("node")).join(large(roots), "node", "left").select("key", F.coalesce("root", "node").alias("main"))
+    left = staged(placed.join(large(main), "key").join(large(classes.select("node", "n", "sketch", "bundles")), "node"), f"{folder}/left")
     other = left.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other_root"), (F.col("root") != F.col("main")).alias("apart"), F.col("sketch").alias("other_sketch"), F.col("bundles").alias("other_bundles"))
     differ = F.lit(0)
     for i in range(SKETCH // 64):
         differ = differ + F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("other_sketch")[i]))
     able = (F.col("root") != F.col("other_root")) & (differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
     once = first_key(F.col("bundles"), F.col("other_bundles"), n) == F.col("key")
-    rest = left.where("root <> main").join(other, "key").where(able & (~F.col("apart") | (F.col("node") < F.col("b"))) & once)
+    rest = left.where("root <> main").join(large(other), "key").where(able & (~F.col("apart") | (F.col("node") < F.col("b"))) & once)
     rest = staged(rest.select(F.col("node").alias("a"), "b").distinct(), f"{folder}/rest")
     more = staged(measured(rest, texts, size).where(linked).select("a", "b"), f"{folder}/more")
     if more.limit(1).count():
         roots = components(links.union(more))
 
-    named = classes.select("node", "set_key", "rep", "n_equal").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = classes.select("node", "set_key", "rep", "n_equal").join(large(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("first"))
-    classes_out = staged(named.join(least, "root").select("set_key", "first", "n_equal"), f"{folder}/named")
+    classes_out = staged(named.join(large(least), "root").select("set_key", "first", "n_equal"), f"{folder}/named")
     for name in ("members", "pivots", "tested", "texts", "links", "left", "rest", "more"):
         discard(spark, f"{folder}/{name}")
-    out = signed.select("doc_id", "text_key", "n_shingles", "set_key").join(classes_out, "set_key", "left")
+    out = signed.select("doc_id", "text_key", "n_shingles", "set_key").join(large(classes_out), "set_key", "left")
     return out.withColumn("n_equal", F.coalesce("n_equal", F.lit(1)).cast("bigint"))
 
 
@@ -286,7 +286,7 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, ke
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     gone = grouped(docs, percent, size, key, text).where(F.col("set_key").isNotNull() & ~is_first).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_text")).distinct()
     same = F.col(key).cast("bigint").eqNullSafe(F.col("_gone")) & (text_key(F.col(text)) == F.col("_gone_text"))
-    return docs.join(gone, same, "left_anti").dropDuplicates([key, text])
+    return docs.join(large(gone), same, "left_anti").dropDuplicates([key, text])
 
 
 def oracle(percent: int = PERCENT) -> str:
