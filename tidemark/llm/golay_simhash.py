@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, discard, shared_folder, ship, sliced, staged
+from .common import LOWER_BYTES, discard, large, shared_folder, ship, sliced, staged
 from .near_dup import components
 
 SHINGLE, SEED, ERRORS = 3, 42, 3
@@ -182,10 +182,10 @@ def linked(nodes: DataFrame) -> DataFrame:
     folder = shared_folder(spark)
     rows = keyed(nodes)
     sizes = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = staged(rows.join(sizes, "key"), f"{folder}/members")
+    members = staged(rows.join(large(sizes), "key"), f"{folder}/members")
     shares = members.groupBy("node").agg(F.sum("members").alias("shares"))
-    pivots = members.select("key", "node").join(shares, "node").groupBy("key").agg(F.max_by("node", F.struct("shares", "node")).alias("a"))
-    tested = members.join(pivots, "key").where((F.col("node") != F.col("a")) & near(F.col("node"), F.col("a")))
+    pivots = members.select("key", "node").join(large(shares), "node").groupBy("key").agg(F.max_by("node", F.struct("shares", "node")).alias("a"))
+    tested = members.join(large(pivots), "key").where((F.col("node") != F.col("a")) & near(F.col("node"), F.col("a")))
     links = staged(tested.select("a", F.col("node").alias("b")).distinct(), f"{folder}/links")
 
     # Buckets of several components: more pivots, then pairs between components that agree in a part of their bits.
@@ -193,10 +193,10 @@ def linked(nodes: DataFrame) -> DataFrame:
     rest, before = members.select("key", "node"), None
     for draw in range(DRAWS + 1):
         roots = components(links)
-        placed = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = rest.join(large(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
         placed = staged(placed, f"{folder}/placed{draw}")
         mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("node", F.xxhash64("node", F.lit(draw))).alias("a")).where("lo <> hi")
-        rest = staged(placed.join(mixed.select("key", "a"), "key"), f"{folder}/rest{draw}")
+        rest = staged(placed.join(large(mixed.select("key", "a")), "key"), f"{folder}/rest{draw}")
         parts = rest.select("key", "node", "root", F.posexplode(F.get(masks, F.shiftright("key", 38).cast("int"))).alias("part", "mask"))
         parts = parts.select("key", "node", "root", "part", F.col("node").bitwiseAND(F.col("mask")).alias("bits"))
         in_part = parts.groupBy("key", "part", "bits").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0
@@ -204,12 +204,12 @@ def linked(nodes: DataFrame) -> DataFrame:
         if in_part <= PLENTY * left or draw == DRAWS or (before is not None and 10 * left > 9 * before):
             break
         before = left
-        drawn = rest.join(roots.select(F.col("node").alias("a"), F.col("root").alias("other")), "a", "left")
+        drawn = rest.join(large(roots.select(F.col("node").alias("a"), F.col("root").alias("other"))), "a", "left")
         drawn = drawn.where((F.col("root") != F.coalesce("other", "a")) & near(F.col("node"), F.col("a")))
         links = staged(links.union(drawn.select("a", F.col("node").alias("b"))).distinct(), f"{folder}/links{draw}")
         rest = rest.select("key", "node")
     other = parts.select("key", "part", "bits", F.col("node").alias("b"), F.col("root").alias("other"))
-    more = parts.join(other, ["key", "part", "bits"]).where((F.col("root") < F.col("other")) & near(F.col("node"), F.col("b")))
+    more = parts.join(large(other), ["key", "part", "bits"]).where((F.col("root") < F.col("other")) & near(F.col("node"), F.col("b")))
     out = staged(links.union(more.select(F.col("node").alias("a"), "b")).distinct(), f"{folder}/out")
     for name in ("members", "links", *[f"{n}{k}" for n in ("placed", "rest") for k in range(draw + 1)], *[f"links{k}" for k in range(draw)]):
         discard(spark, f"{folder}/{name}")
@@ -227,7 +227,7 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     rows = staged(fingerprints(docs, key, text, size), f"{folder}/rows")
     nodes = staged(rows.groupBy("node").agg(F.min("doc_id").alias("first")), f"{folder}/nodes")
     roots = components(linked(nodes))
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.join(large(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = staged(named.join(least, "root").select("node", "component_id"), f"{folder}/named")
-    return rows.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+    named = staged(named.join(large(least), "root").select("node", "component_id"), f"{folder}/named")
+    return rows.join(large(named), "node").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
