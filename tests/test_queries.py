@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import plans
 from tidemark.plans.proxy import optima
@@ -66,3 +67,15 @@ def test_entry(spark):
     import __spark_entry__
 
     assert len(__spark_entry__.entry(spark).columns) == 7
+
+
+def test_a_point_on_the_ring_is_outside_as_in_the_sql(spark, tmp_path):
+    """Customer 27,173 lies at (-30, 5), on the western side of the triangle."""
+    key = next(k for k in range(1, 121 * 361 + 1) if k * 29 % 121 - 60 == 5 and k * 31 % 361 - 180 == -30)
+    spark.createDataFrame([(k, 1) for k in (key, key + 1, 1, 2)], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    con.sql(f"CREATE VIEW supplier AS SELECT * FROM '{SF}/supplier.parquet'")
+    name = "j14_g05_points_in_polygon"
+    got = {r["point"] for r in plans.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == {r[0] for r in con.sql(plans.SQL[name]).fetchall()} and key not in got
