@@ -79,3 +79,17 @@ def test_a_point_on_the_ring_is_outside_as_in_the_sql(spark, tmp_path):
     name = "j14_g05_points_in_polygon"
     got = {r["point"] for r in plans.QUERIES[name](spark, str(tmp_path)).collect()}
     assert got == {r[0] for r in con.sql(plans.SQL[name]).fetchall()} and key not in got
+
+
+def test_the_first_of_equal_prices_counts(spark, tmp_path):
+    orders = [(k, c, p) for c in (1, 2) for k, p in ((c * 10 + 1, 5.0), (c * 10 + 2, 1.0), (c * 10 + 3, 5.0), (c * 10 + 4, 1.0), (c * 10 + 5, None))] + [(90, 3, None)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).sortWithinPartitions("o_orderkey").write.parquet(str(tmp_path / "up"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/up/*.parquet'")
+    name = "t05_t06_arg_extremes"
+    want = sorted(con.sql(plans.SQL[name]).fetchall())
+    assert want[:2] == [(1, 12, 11), (2, 22, 21)]
+    for way in (F.col("o_orderkey").asc(), F.col("o_orderkey").desc()):
+        path = tmp_path / f"way{len(list(tmp_path.iterdir()))}"
+        spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).sortWithinPartitions(way).write.mode("overwrite").parquet(f"{path}/orders.parquet")
+        assert sorted(map(tuple, plans.QUERIES[name](spark, str(path)).collect())) == want

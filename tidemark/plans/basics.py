@@ -485,7 +485,10 @@ def _(spark, d):
 
 @query("t05_t06_arg_extremes", "SELECT o_custkey, arg_min(o_orderkey, o_totalprice) AS cheapest, arg_max(o_orderkey, o_totalprice) AS dearest FROM orders GROUP BY 1")
 def _(spark, d):
-    return read(spark, d, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", "o_totalprice").alias("cheapest"), F.max_by("o_orderkey", "o_totalprice").alias("dearest"))
+    """Of orders with the same price the first counts, which is that of the smallest key."""
+    known, k, price = F.col("o_orderkey").isNotNull() & F.col("o_totalprice").isNotNull(), F.col("o_orderkey"), F.col("o_totalprice")
+    cheapest = F.min_by(k, F.when(known, F.struct(price, k))).alias("cheapest")
+    return read(spark, d, "orders").groupBy("o_custkey").agg(cheapest, F.max_by(k, F.when(known, F.struct(price, -k))).alias("dearest"))
 
 
 @query("t07_shared_order", sql("SELECT o.region, CAST(row_number() OVER (ORDER BY m DESC, region) AS INTEGER) AS k, n FROM (SELECT region, count(*) AS n FROM optima GROUP BY 1) o JOIN (SELECT region, avg(lat) AS m FROM sites GROUP BY 1) s USING (region)", "optima"))
