@@ -536,3 +536,25 @@ def test_clusters_need_a_shared_folder(master, ok):
     else:
         with pytest.raises(RuntimeError):
             staging.shared_folder(Session)
+
+
+def test_series_are_worked_out_once_a_cell(spark):
+    """A thousand sites of one cell make no more rows below the last join than one site does."""
+    days = spark.createDataFrame([(f"2000-01-{i:02d}",) for i in range(1, 11)], "day string")
+    cube = spark.createDataFrame([(0, 0, f"2000-01-{i:02d}", float(i)) for i in range(1, 11)], "cx int, cy int, day string, value double")
+    many = spark.range(1000).select(F.col("id").alias("site"), F.lit(0).alias("cx"), F.lit(0).alias("cy"))
+    df = exposure.site_series(many, cube, days, reject=False)
+    assert df.count() == 10_000 and df.select("site", "day").distinct().count() == 10_000
+    assert [tuple(r) for r in df.groupBy("level").agg(F.sum("v"), F.count("v")).collect()] == [(0, 55_000.0, 10_000)]
+    before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    df.write.format("noop").mode("overwrite").save()
+    store = spark._jsparkSession.sharedState().statusStore()
+    run = store.executionsList().apply(int(before)).executionId()
+    graph, values = store.planGraph(run), store.executionMetrics(run)
+    joins = []
+    for i in range(graph.allNodes().size()):
+        node = graph.allNodes().apply(i)
+        if "Join" in node.name():
+            counts = [values.get(m.accumulatorId()) for k in range(node.metrics().size()) if (m := node.metrics().apply(k)).name() == "number of output rows"]
+            joins += [int(c.get().replace(",", "")) for c in counts if c.isDefined()]
+    assert sorted(joins)[-1] == 10_000 and all(n <= 30 for n in sorted(joins)[:-1])

@@ -78,22 +78,25 @@ def site_series(sites: DataFrame, cube: DataFrame, days: DataFrame, levels: int
     the diagonal through it.  A level serves if its share of missing days is not above
     ``most_missing`` (``strict``; else not at or above it); level 1 serves whenever it has any day and
     level 2 follows only where level 1 has none.  With ``reject`` a series with ``most_missing`` or more missing
-    days goes.  Returns site, day, v (null where missing), level.
+    days goes.  Returns site, day, v (null where missing), level.  All is worked out once for each cell, however many sites lie in it.
     """
+    placed = sites.select("site", "cx", "cy").distinct()
+    own = placed.select(F.struct("cx", "cy").alias("home"), "cx", "cy").where("cx is not null and cy is not null").distinct()
     steps = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.lit(o).alias("o")) for k in range(levels + 1) for o in range(-k, k + 1)]))
-    cells = sites.withColumn("at", steps).select("site", "at.level", (F.col("cx") + F.col("at.o")).alias("cx"), (F.col("cy") + F.col("at.o")).alias("cy"))
-    values = cells.join(cube.where("value is not null"), ["cx", "cy"]).groupBy("site", "level", "day").agg(F.avg("value").alias("v"))
+    cells = own.withColumn("at", steps).select("home", "at.level", (F.col("cx") + F.col("at.o")).alias("cx"), (F.col("cy") + F.col("at.o")).alias("cy"))
+    values = cells.join(cube.where("value is not null"), ["cx", "cy"]).groupBy("home", "level", "day").agg(F.avg("value").alias("v"))
     n = days.agg(F.count("*").alias("n_days"))
-    every = sites.select("site").distinct().crossJoin(F.broadcast(n)).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-    held = values.groupBy("site", "level").agg(F.count("*").alias("held"))
-    state = every.join(held, ["site", "level"], "left").withColumn("missing", 1 - F.coalesce("held", F.lit(0)) / F.col("n_days"))
+    every = own.select("home").crossJoin(F.broadcast(n)).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    held = values.groupBy("home", "level").agg(F.count("*").alias("held"))
+    state = every.join(held, ["home", "level"], "left").withColumn("missing", 1 - F.coalesce("held", F.lit(0)) / F.col("n_days"))
     fine = F.col("missing") <= most_missing if strict else F.col("missing") < most_missing
     usable = state.where(F.when(F.col("level") == 0, fine).otherwise(F.col("missing") < 1))
-    chosen = usable.groupBy("site").agg(F.min(F.struct("level", "missing")).alias("c")).select("site", "c.level", "c.missing")
+    chosen = usable.groupBy("home").agg(F.min(F.struct("level", "missing")).alias("c")).select("home", "c.level", "c.missing")
     if reject:
         chosen = chosen.where(F.col("missing") < most_missing)
-    grid = chosen.select("site", "level").crossJoin(F.broadcast(days.select("day").distinct()))
-    return grid.join(values, ["site", "level", "day"], "left").select("site", "day", "v", "level")
+    grid = chosen.select("home", "level").crossJoin(F.broadcast(days.select("day").distinct()))
+    series = grid.join(values, ["home", "level", "day"], "left")
+    return placed.select("site", F.struct("cx", "cy").alias("home")).join(series, "home").select("site", "day", "v", "level")
 
 
 def covered_years(series: DataFrame) -> DataFrame:
