@@ -558,3 +558,24 @@ def test_series_are_worked_out_once_a_cell(spark):
             counts = [values.get(m.accumulatorId()) for k in range(node.metrics().size()) if (m := node.metrics().apply(k)).name() == "number of output rows"]
             joins += [int(c.get().replace(",", "")) for c in counts if c.isDefined()]
     assert sorted(joins)[-1] == 10_000 and all(n <= 30 for n in sorted(joins)[:-1])
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_moves_between_places_equal_moves_between_cells(seed):
+    rng = np.random.default_rng(seed)
+    years, cells = 6, 30
+    e = rng.integers(0, 6, (years, cells)).astype(float)
+    e[rng.random((years, cells)) < 0.2] = np.nan
+    home, xy = rng.integers(0, 7, cells), rng.random((7, 2))
+    d = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
+    reach = float(np.median(d))
+    want = path.best_path(e, *moves(d[home][:, home], reach), 3)
+    assert path.best_path(e, *moves(d, reach), 3, place=home) == want
+
+
+def test_moves_follow_places_not_cells(spark):
+    """Forty cells of each of three places: nine moves, not 14,400."""
+    cells = spark.createDataFrame([(1, 40 * x + i, x + 0.5, 0.5) for x in range(3) for i in range(40)], "region int, cell bigint, lon double, lat double")
+    water = spark.createDataFrame([(1, x, 0) for x in range(3)], _SEA)
+    at, far = path.sea_moves(cells, water, 1.0, spark.createDataFrame([(1, 1000.0)], "region int, reach_km double"))
+    assert at.count() == 120 and far.count() == 9
