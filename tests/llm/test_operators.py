@@ -175,6 +175,26 @@ def test_licences_are_told_apart(spark, text, want):
     assert license_scan.license_scan(table(spark, [text])).first()["labels"] == want
 
 
+def test_every_pair_at_the_threshold_is_found(spark):
+    notices = [
+        "version 3 of the license general public gnu this work is licensed under", "This work is licensed under the GNU Affero General Public License, version 3",
+        "This work is licensed under the GNU General Public License, version 3.", "the License under MIT Released", PROSE * 5 + "CC, BY; NC under 4.1 licensed " + PROSE * 5, PROSE,
+    ]
+    docs = table(spark, notices)
+    want = set()
+    for t in notices:
+        w = words(t)
+        for k, (label, notice, tells) in enumerate(license_scan.TEMPLATES):
+            own, size = set(words(notice)), license_scan.reach(notice)
+            for start in range(0, max(len(w) - size, 1), size):
+                run = w[start : start + 2 * size]
+                if 10 * len(own & set(run)) >= 8 * len(own):
+                    told = any(f" {r} " in f" {' '.join(run)} " for r in tells)
+                    want.add((hashlib.sha256(t.encode()).hexdigest(), size, start, label, k, told))
+    got = license_scan.template_matches(docs).drop("containment").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and {w[-1] for w in want} == {True, False}
+
+
 # --- 3 near-duplicates
 
 
