@@ -444,6 +444,22 @@ def test_lattice_equals_merging(spark, model):
     assert got == {w: model.cut(w) for w in found}
 
 
+def test_the_lattice_covers_all_words(spark, model, monkeypatch):
+    """Words outside the broadcast table go through the lattice too; only those of more than 60 characters don't."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(pieces, "SAMPLE_CHARS", -1)  # no word by broadcast
+    texts = [f"tide{i} shore{i * 7} 🙂{i} été{i % 9} " + " " * (i % 20) for i in range(200)] + ["ab" * 40, None, ""]
+    got = {r["doc_id"]: list(r["ids"]) for r in pieces.encode(table(spark, texts), public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    coder = pieces.Coder(model, {})
+    assert got == {i: ids for i, ids in enumerate(coder.encode(pa.array([t or "" for t in texts])).to_pylist())}
+    want = {w for t in texts if t for w in coder.words(pa.array([t]))[0].as_py() if 1 <= len(w) <= 60}
+    shared = pieces._Shared(spark.sparkContext.broadcast((model, {})))
+    rows = table(spark, texts).select("text", (F.col("doc_id") % 3).cast("int").alias("slice"))
+    found = pieces.words_of_slices(rows, shared).select("word").distinct()
+    assert {r["word"] for r in found.collect()} == want == {r["word"] for r in pieces.encoded_words(found, model).collect()}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_merging_with_a_heap_is_the_same(model, seed):
     rng = random.Random(seed)

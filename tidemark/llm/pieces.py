@@ -6,8 +6,10 @@ and folds them with a higher-order aggregate.  A unigram model is folded by Vite
 largest sum of scores, position by position.  A byte-pair model is no sum of scores: each step merges the two
 neighbours whose edge scores best, the leftmost among equals, until none can.
 
-The lattice is built for the words of a bounded hashed sample of whole documents that are not very long,
-and its table is broadcast; words outside it are cut by the same rule where they occur, once per worker.
+The lattice is built for all distinct words of LATTICE_CHARS characters at most.  Those of a bounded hashed sample of
+documents, the frequent ones among them, reach the texts by broadcast.  All others go to the slices of documents that hold them:
+words and documents are dealt by slice and sorted, so that a task reads the words of a slice before its documents.
+Longer words, those without any piece and unigram words with a character that no piece covers are cut by the same rule where they occur.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gathered, ship, sliced, sums_by
+from .common import gathered, large, ship, sliced, sums_by, width
 
 SPACE = "▁"
-#: The lattice is built for the words, of at most so many characters (a merge's state is one 64-bit number), of about so many documents.
-SAMPLE_DOCS, LATTICE_CHARS = 1000, 60
-#: Longer documents are not in that sample, so that its size is bounded; their words are cut like all others.
-SAMPLE_CHARS = 20_000
+#: The lattice is built for words of at most so many characters: a merge's state is one 64-bit number.
+LATTICE_CHARS = 60
+#: The words of about so many documents are broadcast; longer documents are not in that sample, so that its size is bounded.
+SAMPLE_DOCS, SAMPLE_CHARS = 1000, 20_000
+#: Bytes of text in a slice of documents, whose words a task holds.
+SLICE_BYTES = 16 << 20
 #: Words that a Python worker remembers beyond that table.
 REMEMBERED = 250_000
 IDS = "doc_id bigint, ids array<int>"
@@ -72,6 +76,7 @@ class Model:
         self.scores = {p: s for p, (_, s) in self.pieces.items()}
         self.costs = {p: -s for p, s in self.scores.items()}
         self.longest = max(map(len, self.pieces))
+        self.late: set[str] | None = None
         self.uncovered = min(self.scores.values()) - UNCOVERED
         if len(self.byte_ids) < 256:
             raise ValueError("this model has no byte pieces")
@@ -88,6 +93,14 @@ class Model:
             out += [self.pieces[part][0]] if part in self.pieces else [self.byte_ids[b] for b in part.encode()]
         return out
 
+    def filled(self, word: str, ids: list[int]) -> list[int]:
+        """The ids of a word's parts with those of bytes where a negative one stands for a character without a piece."""
+        out, at = [], 0
+        for i in ids:
+            out += [i] if i >= 0 else [self.byte_ids[b] for b in word[at].encode()]
+            at += len(self.texts[i]) if i >= 0 else 1
+        return out
+
     def merged(self, word: str) -> list[str]:
         """Byte pairs: neighbours merge by best score, leftmost first, until none can."""
         if len(word) > 256:
@@ -108,6 +121,25 @@ class Model:
                 costs[i] = cost(parts[i] + parts[i + 1], none)
         return parts
 
+    def made_late(self) -> set[str]:
+        """Byte pairs: the pieces that some merge makes possible after its own turn in the order of costs has passed.
+
+        Merges inside a part depend on nothing outside it, so what comes before a piece are the merges of its own text alone.
+        """
+        if self.late is None:
+            self.late = set()
+            for piece, own in self.costs.items():
+                parts = list(piece)
+                while len(parts) > 1:
+                    least, i = min((self.costs.get(a + b, float("inf")), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+                    if least == float("inf"):
+                        break
+                    parts[i] += parts.pop(i + 1)
+                    if len(parts) > 1 and least >= own:
+                        self.late.add(piece)
+                        break
+        return self.late
+
     def merged_long(self, word: str) -> list[str]:
         """The same with a heap of offers, for words of any length."""
         parts: list[str | None] = list(word)
@@ -171,9 +203,20 @@ class Coder:
     """Encodes and decodes batches of texts; remembers words."""
 
     def __init__(self, model: Model, known: dict[str, bytes]):
-        self.model, self.first, self.known = model, known, dict(known)
+        self.model, self.first, self.known, self.most = model, known, dict(known), len(known) + REMEMBERED
         self.reads = pa.array(model.reads, pa.string())
 
+    def learn(self, words: pa.Array, ids: pa.ListArray) -> None:
+        """Remembers encodings from the lattice; null ids stand for characters that become bytes."""
+        flat, ends = ids.values.fill_null(-1).to_numpy(), ids.offsets.to_numpy().tolist()
+        hard = ids.values.null_count > 0
+        for word, a, b in zip(words.to_pylist(), ends, ends[1:]):
+            own = flat[a:b]
+            if hard and (own < 0).any():
+                own = np.array(self.model.filled(word, own.tolist()))
+            self.known[word] = own.astype("<i4").tobytes()
+        self.most += len(words)
+
     @staticmethod
     def words(texts: pa.Array) -> pa.ListArray:
         """Cuts before spaces that follow something else and around line ends; a space comes first."""
@@ -191,7 +234,7 @@ class Coder:
         words = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.known.get, words))
         if None in found:
-            if len(self.known) > len(self.first) + REMEMBERED:  # words that this batch holds too are frequent ones
+            if len(self.known) > self.most:  # words that this batch holds too are frequent ones
                 self.known = {**self.first, **{w: f for w, f in zip(words, found, strict=True) if f is not None and len(w) < 64}}
             for k, f in enumerate(found):
                 if f is None:
@@ -214,17 +257,67 @@ class Coder:
         return pc.if_else(hard, pa.array([self.model.decode(i) if h else None for i, h in zip(ids.to_pylist(), hard.to_pylist(), strict=True)], pa.string()), texts)
 
 
-_coders: dict[str, Coder] = {}
+#: Characters of a beginning that tells how long a piece can be.
+BEGINNING = 4
+
+
+def lattice(words: DataFrame, pieces: DataFrame, *edges: Column) -> DataFrame:
+    """(word, edges): the pieces that occur in each distinct word, gathered by the aggregates ``edges`` of the piece's columns, start s and end e.
+
+    Words are sorted before they are exploded, so that gathering finds their edges side by side.  From each start substrings go as far as the
+    longest piece with the same beginning; pieces are met by hash and compared in full.
+    """
+    part = F.substr("word", F.col("s") + 1, F.col("e") - F.col("s"))
+    begins = F.xxhash64(F.substr("word", F.col("s") + 1, F.lit(BEGINNING)))
+    reach = pieces.where(F.length("piece") >= BEGINNING).groupBy(F.xxhash64(F.substr("piece", F.lit(1), F.lit(BEGINNING))).alias("_begins")).agg(F.max(F.length("piece")).alias("_most"))
+    starts = words.select("word").sortWithinPartitions("word").select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
+    starts = starts.withColumn("_begins", begins).join(F.broadcast(reach), "_begins", "left")
+    ends = F.least(F.coalesce("_most", F.lit(BEGINNING - 1)) + F.col("s"), F.length("word"))
+    spans = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, ends)).alias("e"))
+    met = spans.withColumn("_hash", F.xxhash64(part)).join(F.broadcast(pieces.withColumn("_hash", F.xxhash64("piece"))), "_hash")  # the vocabulary of one model
+    return met.where(F.col("piece") == part).groupBy("word").agg(*edges)
+
+
+#: The order of an edge of byte pairs as one number: the place of its piece by cost, start, end and id, in so many bits.
+START_BITS = END_BITS = 6
+ID_BITS = 22
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+
+
+def packed_edge() -> Column:
+    """An edge by its order, with the bits of its ends and of what lies between them."""
+    shift = lambda c, bits: F.shiftleft(c.cast("bigint"), bits)
+    code = shift(F.col("rank"), START_BITS + END_BITS + ID_BITS) + shift(F.col("s"), END_BITS + ID_BITS) + shift(F.col("e"), ID_BITS) + F.col("id")
+    return F.struct(code.alias("code"), (_bit(F.col("s")) + _bit(F.col("e"))).alias("ends"), (_bit(F.col("e")) - _bit(F.col("s") + 1)).alias("inner"))
+
+
+def merge_pass(word: Column, wide: Column, single: Column, late: Column) -> Column:
+    """Byte pairs: the ids of a word after all merges, in one pass over its packed edges of several characters, cheapest and leftmost first.
+
+    That is the order of merges but where a piece is made late; such words, and those with a part that has no piece, go by merge_fold.
+    """
+    low = lambda code, bits: code.bitwiseAND(F.lit((1 << bits) - 1))
+    start = lambda code: low(F.shiftright(code, END_BITS + ID_BITS), START_BITS).cast("int")
+    end = lambda code: low(F.shiftright(code, ID_BITS), END_BITS).cast("int")
+    id_ = lambda code: low(code, ID_BITS).cast("int")
+
+    def step(state: Column, e: Column) -> Column:
+        able = (state.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state.bitwiseAND(e["inner"])) == 1)
+        return F.when(able, state.bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(state)
 
+    def parts(state: Column) -> Column:
+        left = F.concat(F.filter(single, lambda e: state.bitwiseAND(e["ends"]) == e["ends"]), F.filter(wide, lambda e: state.bitwiseAND(e["ends"].bitwiseOR(e["inner"])) == e["ends"]))
+        return F.sort_array(F.transform(left, lambda e: low(e["code"], START_BITS + END_BITS + ID_BITS)))
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, edges): for each distinct word the pieces that occur in it, as cost, start s, end e and id, cheapest and leftmost first."""
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
-    spans = starts.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s")))).alias("n"))
-    parts = spans.select("word", "s", "n", F.substr("word", F.col("s") + 1, F.col("n")).alias("piece"))
-    edges = parts.join(F.broadcast(pieces), "piece")  # the vocabulary of one model
-    edge = F.struct((-F.col("score")).alias("cost"), F.col("s"), (F.col("s") + F.col("n")).alias("e"), F.col("id"))
-    return edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    last = F.aggregate(wide, _bit(F.length(word) + 1) - 1, step)
+    every = F.sort_array(F.concat(wide, single))
+    slow = merge_fold(word, F.transform(every, lambda e: F.struct(start(e["code"]).alias("s"), end(e["code"]).alias("e"), id_(e["code"]).alias("id"))))
+    covered = lambda x: F.aggregate(x, F.lit(0), lambda n, c: n + end(c) - start(c)) == F.length(word)
+    left = F.transform(F.transform(F.array(last), parts), lambda x: F.when(~late & covered(x), F.transform(x, id_)))
+    return F.coalesce(F.element_at(left, 1), slow)
 
 
 def merge_fold(word: Column, edges: Column) -> Column:
@@ -267,12 +360,17 @@ def viterbi_fold(word: Column, edges: Column) -> Column:
 
 
 def encoded_words(words: DataFrame, model: Model) -> DataFrame:
-    """(word, ids) of distinct words of 1 to LATTICE_CHARS characters; a part without a piece has a null id."""
+    """(word, ids) of distinct words of 1 to LATTICE_CHARS characters that hold a piece; a part without a piece has a null id."""
     spark = words.sparkSession
-    pieces = spark.createDataFrame([(p, i, float(s)) for p, (i, s) in model.pieces.items()], "piece string, id int, score float")
-    found = lattice(words, pieces, model.longest)
-    fold = merge_fold if model.kind == BYTE_PAIRS else viterbi_fold
-    return found.select("word", fold(F.col("word"), F.col("edges")).alias("ids"))
+    if model.kind == UNIGRAM:
+        pieces = spark.createDataFrame([(p, i, float(s)) for p, (i, s) in model.pieces.items()], "piece string, id int, score float")
+        found = lattice(words, pieces, F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("cost"), F.col("s"), F.col("e"), F.col("id")))).alias("edges"))
+        return found.select("word", viterbi_fold(F.col("word"), F.col("edges")).alias("ids"))
+    order, late = {c: k for k, c in enumerate(sorted(set(model.costs.values())))}, model.made_late()
+    pieces = spark.createDataFrame([(p, i, order[model.costs[p]], p in late) for p, (i, _) in model.pieces.items()], "piece string, id int, rank int, late boolean")
+    several, edge = F.col("e") - F.col("s") > 1, packed_edge()
+    found = lattice(words, pieces, F.sort_array(F.collect_list(F.when(several, edge))).alias("wide"), F.collect_list(F.when(~several, edge)).alias("single"), F.max("late").alias("late"))
+    return found.select("word", merge_pass(F.col("word"), F.col("wide"), F.col("single"), F.col("late")).alias("ids"))
 
 
 def sample_words(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -294,28 +392,75 @@ def word_table(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "
     return {r["word"]: np.array(r["ids"], "<i4").tobytes() for r in table.toLocalIterator()}
 
 
-def _coder(shared) -> Coder:
-    """The Python worker's coder for a broadcast (model, table)."""
-    if shared.id not in _coders:
-        _coders.clear()
-        _coders[shared.id] = Coder(*shared.value)
-    return _coders[shared.id]
-
-
-def _shared(docs: DataFrame, path: str, key: str, text: str):
-    model = Model(path)
-    return docs.sparkSession.sparkContext.broadcast((model, word_table(docs, model, key, text)))
-
-
 class _Shared:
-    """A broadcast with a name that is the same in every task."""
+    """A broadcast (model, table) that a Python worker unpacks once."""
+
+    last: tuple = ("", None)
 
     def __init__(self, broadcast):
         self.broadcast, self.id = broadcast, uuid.uuid4().hex
 
     @property
     def value(self):
-        return self.broadcast.value
+        if _Shared.last[0] != self.id:
+            _Shared.last = (self.id, self.broadcast.value)
+        return _Shared.last[1]
+
+
+def words_of_slices(rows: DataFrame, shared: _Shared) -> DataFrame:
+    """(slice, word): the words of each slice that the lattice takes and the broadcast table lacks; a pair may come several times."""
+
+    def cut(batches):
+        known = pa.array(shared.value[1], pa.string())
+        for batch in sliced(batches, 2048):
+            words = Coder.words(pc.fill_null(batch.column("text"), ""))
+            flat, found = pc.list_flatten(words).dictionary_encode(), pc.take(batch.column("slice"), pc.list_parent_indices(words))
+            chars = pc.utf8_length(flat.dictionary)
+            routed = pc.and_(pc.and_(pc.greater(chars, 0), pc.less_equal(chars, LATTICE_CHARS)), pc.invert(pc.is_in(flat.dictionary, known)))
+            pairs = pa.table({"slice": found, "at": flat.indices}).filter(pc.take(routed, flat.indices)).group_by(["slice", "at"]).aggregate([])
+            yield from pa.table({"slice": pairs["slice"], "word": pc.take(flat.dictionary, pairs["at"])}).to_batches()
+
+    return rows.select("slice", "text").mapInArrow(cut, "slice int, word string")
+
+
+def with_words(docs: DataFrame, path: str, key: str, text: str, out, schema: str) -> DataFrame:
+    """``out(coder, batch)`` for batches (doc_id, text) of all documents, with a coder that knows the words of their slice."""
+    spark = docs.sparkSession
+    ship(spark)
+    model = Model(path)
+    shared = _Shared(spark.sparkContext.broadcast((model, word_table(docs, model, key, text))))
+    size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    slices = max(size // SLICE_BYTES + 1, spark.sparkContext.defaultParallelism)
+    parts = max(width(spark), 6 * slices)
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).cast("int"))
+    # A fixed number of partitions: the words are few bytes but much work.  Pairs are dealt by word once, for the lattice and the join.
+    pairs = words_of_slices(rows, shared).repartition(parts, "word")
+    found = encoded_words(pairs.select("word").distinct(), model)
+    if model.kind == UNIGRAM:  # Viterbi's fold has no path over a character without a piece
+        found = found.where(~F.exists("ids", lambda i: i.isNull()))
+    routed = found.join(large(pairs.distinct()), "word").select("slice", F.lit(0).alias("kind"), "word", "ids")
+    both = routed.unionByName(rows.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    dealt = both.select("slice", "kind", "word", "ids", "doc_id", "text").repartitionById(slices, F.col("slice")).sortWithinPartitions("slice", "kind")
+
+    def read(batches):
+        now, coder = None, None
+        for batch in batches:
+            at, kind = batch.column("slice").to_numpy(), batch.column("kind").to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(at) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(at)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if at[a] != now:
+                    now, coder = at[a], Coder(*shared.value)
+                part = batch.slice(a, b - a)
+                if kind[a] == 0:
+                    coder.learn(part.column("word"), pa.concat_arrays([part.column("ids")]))
+                else:
+                    for few in sliced([part]):
+                        yield out(coder, few)
+
+    return dealt.mapInArrow(read, schema)
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -324,15 +469,11 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     An empty table gives no rows.  A very long text is cut like any other, a very long word by a heap.
     Only key and text are read, whatever other columns are called.
     """
-    shared = _Shared(_shared(docs, path, key, text))
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
-    def encoded(batches):
-        coder = _coder(shared)
-        for batch in sliced(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), coder.encode(pc.fill_null(batch.column("text"), ""))], names=["doc_id", "ids"])
+    def encoded(coder: Coder, batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), coder.encode(pc.fill_null(batch.column("text"), ""))], names=["doc_id", "ids"])
 
-    return rows.mapInArrow(encoded, IDS)
+    return with_words(docs, path, key, text, encoded, IDS)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -356,21 +497,17 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     A null text counts as empty.  U+2581 in a text decodes to a space, so it does not come back.
     Repeated rows stay repeated, an empty table gives no rows, only key and text are read.
     """
-    shared = _Shared(_shared(docs, path, key, text))
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
-    def checked(batches):
-        coder = _coder(shared)
-        for batch in sliced(batches):
-            texts = pc.fill_null(batch.column("text"), "")
-            ids = coder.encode(texts)
-            back = coder.decode(ids)
-            flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
-            columns = [
-                batch.column("doc_id"), pc.utf8_length(texts).cast(pa.int64()), pc.list_value_length(ids).cast(pa.int64()),
-                pa.array([zlib.crc32(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.int64()),
-                pa.array([zlib.crc32(t) for t in back.cast(pa.binary()).to_pylist()], pa.int64()), pc.equal(texts, back),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "n_pieces", "ids_crc32", "decoded_crc32", "round_trip"])
-
-    return rows.mapInArrow(checked, DIGEST)
+    def checked(coder: Coder, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = pc.fill_null(batch.column("text"), "")
+        ids = coder.encode(texts)
+        back = coder.decode(ids)
+        flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
+        columns = [
+            batch.column("doc_id"), pc.utf8_length(texts).cast(pa.int64()), pc.list_value_length(ids).cast(pa.int64()),
+            pa.array([zlib.crc32(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.int64()),
+            pa.array([zlib.crc32(t) for t in back.cast(pa.binary()).to_pylist()], pa.int64()), pc.equal(texts, back),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "n_pieces", "ids_crc32", "decoded_crc32", "round_trip"])
+
+    return with_words(docs, path, key, text, checked, DIGEST)
