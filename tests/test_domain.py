@@ -579,3 +579,22 @@ def test_moves_follow_places_not_cells(spark):
     water = spark.createDataFrame([(1, x, 0) for x in range(3)], _SEA)
     at, far = path.sea_moves(cells, water, 1.0, spark.createDataFrame([(1, 1000.0)], "region int, reach_km double"))
     assert at.count() == 120 and far.count() == 9
+
+
+def test_pairs_of_places_are_measured_once(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+
+    step = 121 * 361  # keys that far apart lie at one place
+    spark.createDataFrame([(1 + i * step, 3) for i in range(4)] + [(2, 3)], "c_custkey bigint, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1 + i * step, 3) for i in range(3)], "s_suppkey bigint, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    own, seen = relational.within_km, []
+
+    def within_km(points, sites, *more):
+        seen.append((points.count(), sites.count()))
+        return own(points, sites, *more)
+
+    monkeypatch.setattr(relational, "within_km", within_km)
+    got = [tuple(r) for r in entry.queries()["g15_geodesic_prefilter"](spark, str(tmp_path)).select("point", "site").collect()]
+    points = {1 + i * step for i in range(4)}
+    assert seen == [(2, 1)] and len(got) == len(set(got)) and {p for p, _ in got} >= points
+    assert {(p, 1 + i * step) for p in points for i in range(3)} <= set(got)
