@@ -460,6 +460,27 @@ def test_the_lattice_covers_all_words(spark, model, monkeypatch):
     assert {r["word"] for r in found.collect()} == want == {r["word"] for r in pieces.encoded_words(found, model).collect()}
 
 
+def test_packed_words_come_back(spark, model, monkeypatch):
+    """Words travel packed by slice, each slice's own ones, with null ids and words of 60 characters of four bytes."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(pieces, "PACKED", 7)  # several packs to a task
+    rows = [(i % 3, w, [None, 31_999, i] if i % 2 else [4_000_000]) for i, w in enumerate(["\n", "\0", "▁été", "🙂" * 60, *(f"▁w{k}" for k in range(40))])]
+    frame = spark.createDataFrame([*rows, (5, "▁alone", [])], "slice int, word string, ids array<int>")
+    got = [(r["slice"], w, ids) for r in pieces.packed_words(frame).collect() for w, ids in zip(*(x.to_pylist() for x in pieces.unpacked(bytes(r["pack"]))), strict=True)]
+    assert sorted(got, key=str) == sorted([*rows, (5, "▁alone", [])], key=str)
+    words_, ids = pa.array(["a", "bc", "d"]), pa.array([[1], [2, None], [3]], pa.list_(pa.int32()))
+    assert [x.to_pylist() for x in pieces.unpacked(pieces.packed(words_[1:], ids[1:]))] == [["bc", "d"], [[2, None], [3]]]
+
+
+def test_words_are_cut_and_dealt_once(spark, tmp_path):
+    """The lattice and the join that routes its encodings read the same exchange of pairs; nothing is cut a second time for it."""
+    pairs = spark.range(100).select((F.col("id") % 3).cast("int").alias("slice"), F.col("id").cast("string").alias("word")).mapInArrow(lambda batches: batches, "slice int, word string").repartition(8, "word")
+    both = pieces.words_of(pairs).join(pieces.large(pairs.distinct()), "word")
+    assert len(both.collect()) == 100
+    assert both._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") == 1
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_merging_with_a_heap_is_the_same(model, seed):
     rng = random.Random(seed)

@@ -8,7 +8,7 @@ neighbours whose edge scores best, the leftmost among equals, until none can.
 
 The lattice is built for all distinct words of LATTICE_CHARS characters at most.  Those of a bounded hashed sample of
 documents, the frequent ones among them, reach the texts by broadcast.  All others go to the slices of documents that hold them:
-words and documents are dealt by slice and sorted, so that a task reads the words of a slice before its documents.
+words and documents, many to a packed row, are dealt by slice and sorted, so that a task reads the words of a slice before its documents.
 Longer words, those without any piece and unigram words with a character that no piece covers are cut by the same rule where they occur.
 """
 
@@ -22,10 +22,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gathered, large, ship, sliced, sums_by, width
+from .common import large, ship, sliced, sums_by, width
 
 SPACE = "▁"
 #: The lattice is built for words of at most so many characters: a merge's state is one 64-bit number.
@@ -33,8 +34,12 @@ LATTICE_CHARS = 60
 #: The words of about so many documents are broadcast; longer documents are not in that sample, so that its size is bounded.
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 20_000
 #: Bytes of text in a slice of documents, whose words a task holds.
-SLICE_BYTES = 16 << 20
-#: Words that a Python worker remembers beyond that table.
+SLICE_BYTES = 32 << 20
+#: Pairs of slice and word that a task packs at once.
+PACKED = 200_000
+#: Documents that are encoded together, so that their words meet the table at once.
+TOGETHER = 1024
+#: Words beyond the lattice that a Python worker remembers.
 REMEMBERED = 250_000
 IDS = "doc_id bigint, ids array<int>"
 DIGEST = "doc_id bigint, n_chars bigint, n_pieces bigint, ids_crc32 bigint, decoded_crc32 bigint, round_trip boolean"
@@ -202,20 +207,39 @@ class Model:
 class Coder:
     """Encodes and decodes batches of texts; remembers words."""
 
-    def __init__(self, model: Model, known: dict[str, bytes]):
-        self.model, self.first, self.known, self.most = model, known, dict(known), len(known) + REMEMBERED
+    def __init__(self, model: Model, table: dict[str, bytes]):
+        self.model, self.known = model, {}
         self.reads = pa.array(model.reads, pa.string())
+        sizes = np.fromiter(map(len, table.values()), np.int64, len(table)) // 4
+        self.parts = [(pa.array(table, pa.string()), sizes, np.frombuffer(b"".join(table.values()), "<i4"))]
 
     def learn(self, words: pa.Array, ids: pa.ListArray) -> None:
-        """Remembers encodings from the lattice; null ids stand for characters that become bytes."""
-        flat, ends = ids.values.fill_null(-1).to_numpy(), ids.offsets.to_numpy().tolist()
-        hard = ids.values.null_count > 0
-        for word, a, b in zip(words.to_pylist(), ends, ends[1:]):
-            own = flat[a:b]
-            if hard and (own < 0).any():
-                own = np.array(self.model.filled(word, own.tolist()))
-            self.known[word] = own.astype("<i4").tobytes()
-        self.most += len(words)
+        """Remembers encodings from the lattice, as arrays; null ids stand for characters that become bytes."""
+        if ids.values.null_count:
+            whole = [self.model.filled(w, [-1 if i is None else i for i in own]) if None in own else own for w, own in zip(words.to_pylist(), ids.to_pylist())]
+            ids = pa.array(whole, pa.list_(pa.int32()))
+        self.parts.append((words, pc.list_value_length(ids).to_numpy().astype(np.int64), ids.flatten().to_numpy()))
+
+    def found(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each word begin and how many they are, and all ids; words that no table has are cut."""
+        if len(self.parts) > 1:
+            self.parts = [(pa.concat_arrays([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]), np.concatenate([p[2] for p in self.parts]))]
+        table, own, flat = self.parts[0]
+        at = pc.fill_null(pc.index_in(words, table), -1).to_numpy().copy()
+        rest = words.filter(pa.array(at < 0)).to_pylist()
+        if len(self.known) > REMEMBERED:  # words that this batch holds too are frequent ones
+            self.known = {w: self.known[w] for w in rest if w in self.known}
+        cut = []
+        for word in rest:
+            ids = self.known.get(word)
+            if ids is None:
+                ids = np.array(self.model.cut(word), "<i4").tobytes()
+                if len(word) < 64:
+                    self.known[word] = ids
+            cut.append(ids)
+        at[at < 0] = len(table) + np.arange(len(rest))
+        sizes = np.concatenate([own, np.fromiter(map(len, cut), np.int64, len(cut)) // 4])
+        return (np.cumsum(sizes) - sizes)[at], sizes[at], np.concatenate([flat, np.frombuffer(b"".join(cut), "<i4")]) if cut else flat
 
     @staticmethod
     def words(texts: pa.Array) -> pa.ListArray:
@@ -231,19 +255,12 @@ class Coder:
         """The ids of each text (none of them null); only the distinct words of the batch are looked up or cut."""
         cut = self.words(texts)
         distinct = cut.flatten().dictionary_encode()
-        words = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
-        found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) > self.most:  # words that this batch holds too are frequent ones
-                self.known = {**self.first, **{w: f for w, f in zip(words, found, strict=True) if f is not None and len(w) < 64}}
-            for k, f in enumerate(found):
-                if f is None:
-                    found[k] = np.array(self.model.cut(words[k]), "<i4").tobytes()
-                    if len(words[k]) < 64:
-                        self.known[words[k]] = found[k]
-        ids, sizes = gathered(found, distinct.indices.to_numpy(), "<i4")
+        starts, lengths, flat = self.found(distinct.dictionary)
+        index = distinct.indices.to_numpy()
+        sizes = lengths[index]
+        ids = flat[np.repeat(starts[index] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
         counts = sums_by(sizes, pc.list_value_length(cut).to_numpy())
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The text of each list of ids; a null list gives a null text."""
@@ -417,12 +434,82 @@ def words_of_slices(rows: DataFrame, shared: _Shared) -> DataFrame:
             flat, found = pc.list_flatten(words).dictionary_encode(), pc.take(batch.column("slice"), pc.list_parent_indices(words))
             chars = pc.utf8_length(flat.dictionary)
             routed = pc.and_(pc.and_(pc.greater(chars, 0), pc.less_equal(chars, LATTICE_CHARS)), pc.invert(pc.is_in(flat.dictionary, known)))
-            pairs = pa.table({"slice": found, "at": flat.indices}).filter(pc.take(routed, flat.indices)).group_by(["slice", "at"]).aggregate([])
+            pairs = pa.table({"slice": found, "at": flat.indices}).filter(pc.take(routed, flat.indices)).group_by(["slice", "at"], use_threads=False).aggregate([])
             yield from pa.table({"slice": pairs["slice"], "word": pc.take(flat.dictionary, pairs["at"])}).to_batches()
 
     return rows.select("slice", "text").mapInArrow(cut, "slice int, word string")
 
 
+def words_of(pairs: DataFrame) -> DataFrame:
+    """The distinct words of pairs (slice, word).
+
+    The slices are counted so that both columns are read: only then does Spark see that the join takes the same rows, and deals them once.
+    """
+    return pairs.groupBy("word").agg(F.count("slice").alias("n")).where("n > 0").select("word")
+
+
+def packed(words: pa.Array, ids: pa.ListArray) -> bytes:
+    """Words of LATTICE_CHARS characters at most and their ids, compressed: lengths, words, numbers of ids, ids by byte; -1 for null."""
+    raw, flat = words.cast(pa.binary()), ids.flatten().fill_null(-1).to_numpy().astype("<i4")
+    sizes, counts = pc.binary_length(raw).to_numpy().astype(np.uint8), pc.list_value_length(ids).to_numpy().astype(np.uint8)
+    head = np.array([len(words), len(flat)], "<i8").tobytes()
+    return zstandard.compress(b"".join([head, sizes.tobytes(), counts.tobytes(), flat.view(np.uint8).reshape(-1, 4).T.tobytes(), *raw.to_pylist()]))
+
+
+def unpacked(blob: bytes) -> tuple[pa.Array, pa.ListArray]:
+    """The words and ids of packed."""
+    data = zstandard.decompress(blob)
+    n, m = np.frombuffer(data, "<i8", 2).tolist()
+    sizes, counts = np.frombuffer(data, np.uint8, 2 * n, 16).reshape(2, n)
+    flat = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * m, 16 + 2 * n).reshape(4, m).T).view("<i4").ravel()
+    ends = lambda of: np.concatenate([[0], np.cumsum(of, dtype=np.int64)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(n, pa.py_buffer(ends(sizes)), pa.py_buffer(data[16 + 2 * n + 4 * m :]))
+    return words, pa.ListArray.from_arrays(pa.array(ends(counts)), pa.array(flat, mask=flat < 0))
+
+
+def packed_words(routed: DataFrame) -> DataFrame:
+    """(slice, pack): the rows (slice, word, ids) of each task, packed by slice."""
+
+    def pack(held):
+        table = pa.Table.from_batches(held)
+        table = table.take(pc.sort_indices(table["slice"])).combine_chunks()  # stable: words that are alike stay side by side
+        at = table["slice"].to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+        words, ids = (pa.concat_arrays(table[c].chunks) for c in ("word", "ids"))
+        blobs = [packed(words[a:b], ids[a:b]) for a, b in zip(edges, edges[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(at[edges[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "pack"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= PACKED:
+                yield pack(held)
+                held, n = [], 0
+        if held:
+            yield pack(held)
+
+    return routed.select("slice", "word", "ids").mapInArrow(run, "slice int, pack binary")
+
+
+def packed_docs(rows: DataFrame) -> DataFrame:
+    """(slice, pack): the rows (slice, doc_id, text), some thousand at a time, as compressed batches of each slice."""
+
+    def pack(batches):
+        small = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in sliced(batches, 2048):
+            for at in batch.column("slice").unique().to_pylist():
+                part = batch.select(["doc_id", "text"]).filter(pc.equal(batch.column("slice"), at))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=small) as to:
+                    to.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["slice", "pack"])
+
+    return rows.select("slice", "doc_id", "text").mapInArrow(pack, "slice int, pack binary")
+
+
 def with_words(docs: DataFrame, path: str, key: str, text: str, out, schema: str) -> DataFrame:
     """``out(coder, batch)`` for batches (doc_id, text) of all documents, with a coder that knows the words of their slice."""
     spark = docs.sparkSession
@@ -436,29 +523,34 @@ def with_words(docs: DataFrame, path: str, key: str, text: str, out, schema: str
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).cast("int"))
     # A fixed number of partitions: the words are few bytes but much work.  Pairs are dealt by word once, for the lattice and the join.
     pairs = words_of_slices(rows, shared).repartition(parts, "word")
-    found = encoded_words(pairs.select("word").distinct(), model)
+    found = encoded_words(words_of(pairs), model)
     if model.kind == UNIGRAM:  # Viterbi's fold has no path over a character without a piece
         found = found.where(~F.exists("ids", lambda i: i.isNull()))
-    routed = found.join(large(pairs.distinct()), "word").select("slice", F.lit(0).alias("kind"), "word", "ids")
-    both = routed.unionByName(rows.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    dealt = both.select("slice", "kind", "word", "ids", "doc_id", "text").repartitionById(slices, F.col("slice")).sortWithinPartitions("slice", "kind")
+    routed = packed_words(found.join(large(pairs.distinct()), "word")).withColumn("kind", F.lit(0))
+    both = routed.unionByName(packed_docs(rows).withColumn("kind", F.lit(1)))
+    dealt = both.repartitionById(slices, F.col("slice")).sortWithinPartitions("slice", "kind")
 
     def read(batches):
-        now, coder = None, None
-        for batch in batches:
-            at, kind = batch.column("slice").to_numpy(), batch.column("kind").to_numpy()
-            edges = [0, *(np.flatnonzero((np.diff(at) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(at)]
-            for a, b in zip(edges, edges[1:]):
-                if a == b:
-                    continue
-                if at[a] != now:
-                    now, coder = at[a], Coder(*shared.value)
-                part = batch.slice(a, b - a)
-                if kind[a] == 0:
-                    coder.learn(part.column("word"), pa.concat_arrays([part.column("ids")]))
-                else:
-                    for few in sliced([part]):
-                        yield out(coder, few)
+        now, coder, held = None, None, []
+        for at, kind, pack in (row for batch in batches for few in sliced([batch], 16) for row in zip(*(few.column(c).to_pylist() for c in ("slice", "kind", "pack")))):
+            if at != now:
+                if held:
+                    yield from outputs(coder, held)
+                coder, held = None, []  # its words go before those of another slice come
+                now, coder = at, Coder(*shared.value)
+            if kind == 0:
+                coder.learn(*unpacked(pack))
+                continue
+            held += pa.ipc.open_stream(pack).read_all().to_batches()
+            if sum(b.num_rows for b in held) >= TOGETHER:
+                yield from outputs(coder, held)
+                held = []
+        if held:
+            yield from outputs(coder, held)
+
+    def outputs(coder: Coder, held: list[pa.RecordBatch]):
+        for few in pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=TOGETHER):
+            yield out(coder, few)
 
     return dealt.mapInArrow(read, schema)
 
