@@ -49,3 +49,21 @@ def test_outcomes_count_every_population_and_no_failure_as_one(spark, monkeypatc
         assert reasons == dict.fromkeys(("ERROR", "few_years", "no_path", "never_moved"), 1) and sum(r["n"] for r in rows) == n
         assert all((r["outcome"] is None) == (r["pct"] is None) != (r["reason"] is None) for r in rows)
         assert sum(r["pct"] for r in rows if r["pct"] is not None) == pytest.approx(100)
+
+
+def test_ranges_count_every_population_and_no_failure_as_an_outcome(spark, monkeypatch):
+    monkeypatch.setattr(spatial_models, "_paths", made_paths)
+    placed = spatial_models._categorised(spark, SF).select("region", "species", "guild", "range").distinct()
+    lost = placed.groupBy("region").agg(F.max("species").alias("species"))  # these have paths, but no category
+    monkeypatch.setattr(spatial_models, "_categorised", lambda spark, d: placed.join(lost, ["region", "species"], "left_anti"))
+    o = optima(spark, SF)
+    many, regions = o.select("region", "species").distinct().count(), o.select("region").distinct().count()
+    got = plans.QUERIES["d28b_tested_outcome_range"](spark, SF).collect()
+    reasons = {}
+    for r in got:
+        assert (r["outcome"] is None) == (r["lo"] is None) == (r["hi"] is None) != (r["reason"] is None)
+        if r["reason"] is not None:
+            reasons[r["reason"]] = reasons.get(r["reason"], 0) + r["n"]
+    assert reasons == dict.fromkeys(("ERROR", "few_years", "no_path", "never_moved", "no_category"), regions)
+    assert sum(r["n"] for r in got) == many
+    assert {(r["guild"], r["outcome"]) for r in got if r["reason"] == "no_category"} == {(None, None)}
